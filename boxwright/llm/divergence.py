@@ -26,8 +26,9 @@ COMMON_WORDS = {
     "es": ["de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "un"],
     "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est"],
 }
-#: Java patterns of runs of the character classes; what is in none of them is the last class.
+#: Java patterns of runs of the character classes. The first two make one class; what is in none is the last class.
 CLASSES = {
+    "latin": r"[a-zß-öø-ÿ]+",
     "lower": r"\p{Ll}+",
     "space": r"[ \t-\r]+",
     "upper": r"\p{Lu}+",
@@ -44,9 +45,9 @@ class Limits:
 
     least_words: int = 10
     repeat_percent: int = 20
-    class_distance: float = 0.17
+    class_distance: float = 0.18
     word_distance: float = 0.75
-    class_least_chars: int = 100
+    class_least_chars: int = 200
     word_least_words: int = 50
     common: dict[str, list[str]] = field(default_factory=lambda: COMMON_WORDS)
 
@@ -56,10 +57,16 @@ def repeated_places(docs: DataFrame) -> DataFrame:
 
     Windows are compared by 64-bit hashes. Only if some hash repeats are they sorted with their places: n log n.
     """
-    starts = F.when(F.size("_words") >= 5, F.sequence(F.lit(1), F.size("_words") - 4)).otherwise(
-        F.array().cast("array<int>")
+    # windows of 1, 2, 4 and then 5 words; zip_with fills the last places with nulls, which the slice leaves out
+    after = lambda name, k: F.slice(name, k + 1, F.size(name))
+    joined = lambda name, other, k: F.zip_with(
+        name, after(other, k), lambda a, b: a.bitwiseXOR(F.shiftleft(b, k))
     )
-    docs = docs.withColumn("_hashes", F.transform(starts, lambda i: F.xxhash64(F.slice("_words", i, F.lit(5)))))
+    docs = docs.withColumn("_h1", F.transform("_words", lambda w: F.xxhash64(w)))
+    docs = docs.withColumn("_h2", joined("_h1", "_h1", 1))
+    docs = docs.withColumn("_h4", joined("_h2", "_h2", 2))
+    docs = docs.withColumn("_h5", joined("_h4", "_h1", 4))
+    docs = docs.withColumn("_hashes", F.slice("_h5", 1, F.greatest(F.lit(0), F.size("_words") - 4)))
     ordered = F.array_sort(F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), (i + 1).alias("i"))))
     repeated = F.size(F.array_distinct("_hashes")) < F.size("_hashes")
     docs = docs.withColumn("_ordered", F.when(repeated, ordered))
@@ -97,7 +104,7 @@ def text_counts(docs: DataFrame, limits: Limits, id_col: str, text_col: str, lan
     out = out.withColumn("_list", F.coalesce(F.try_element_at(lists, F.col("lang")), F.array().cast("array<string>")))
     longest = max([1, *(len(w.encode()) for ws in limits.common.values() for w in ws)])
     short = F.filter("_words", lambda w: F.octet_length(w) <= longest)
-    out = out.withColumn("_found", F.filter(F.transform(short, F.lower), lambda w: F.array_contains("_list", w)))
+    out = out.withColumn("_found", F.filter(short, lambda w: F.array_contains("_list", w)))
     # each class is taken out of what the classes before it have left, so only the first sees the whole text
     out = out.withColumn("_left", F.col("_text"))
     for name, pattern in CLASSES.items():
@@ -113,7 +120,7 @@ def text_counts(docs: DataFrame, limits: Limits, id_col: str, text_col: str, lan
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered(F.col("_places")), F.lit(0)).cast("long").alias("n_repeat_words"),
         F.length("_text").cast("long").alias("_chars"),
-        F.array(*[F.col(f"_{name}") for name in CLASSES]).alias("_classes"),
+        F.array(F.col("_latin") + F.col("_lower"), *[F.col(f"_{name}") for name in list(CLASSES)[2:]]).alias("_classes"),
         F.transform(
             "_list", lambda c: F.size(F.filter(F.col("_found"), lambda w: w == c)).cast("long")
         ).alias("_common"),
@@ -131,16 +138,15 @@ def text_counts(docs: DataFrame, limits: Limits, id_col: str, text_col: str, lan
     )
 
 
-def references(counts: DataFrame, limits: Limits) -> DataFrame:
-    """A row for each language: the summed histograms of its texts that pass the base rules."""
-    most = max([0, *map(len, limits.common.values())])
+def references(counts: DataFrame, most: int) -> DataFrame:
+    """A row for each language: the summed histograms of its texts. most: the longest word list."""
     total = lambda name, k: F.coalesce(F.sum(F.get(name, F.lit(k))), F.lit(0)).alias(f"{name}{k}")
-    sums = counts.where(~F.col("base_failed")).groupBy("lang").agg(
-        *[total("classes", k) for k in range(len(CLASSES) + 1)], *[total("common", k) for k in range(most + 1)]
+    sums = counts.groupBy("lang").agg(
+        *[total("classes", k) for k in range(len(CLASSES))], *[total("common", k) for k in range(most + 1)]
     )
     return sums.select(
         "lang",
-        F.array(*[F.col(f"classes{k}") for k in range(len(CLASSES) + 1)]).alias("ref_classes"),
+        F.array(*[F.col(f"classes{k}") for k in range(len(CLASSES))]).alias("ref_classes"),
         F.array(*[F.col(f"common{k}") for k in range(most + 1)]).alias("ref_common"),
     )
 
@@ -159,18 +165,10 @@ def js_distance(a: Column, b: Column) -> Column:
     return F.when((na > 0) & (nb > 0), F.sqrt(F.greatest(F.lit(0.0), js)))
 
 
-def judge(
-    docs: DataFrame,
-    limits: Limits | None = None,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    lang_col: str = "lang",
-) -> DataFrame:
-    """The base counts, base_failed, class_distance, word_distance (null: not judged by it) and kept, for each row."""
-    limits = limits or Limits()
-    counts = stored(text_counts(docs, limits, id_col, text_col, lang_col), "text-counts")
+def distances(counts: DataFrame, references: DataFrame, limits: Limits) -> DataFrame:
+    """Add class_distance and word_distance (null: too short to judge, or no reference) and _far."""
     # one row for each word list, and one more: far below any limit for a broadcast
-    out = counts.join(F.broadcast(references(counts, limits)), "lang", "left")
+    out = counts.join(F.broadcast(references), "lang", "left")
     judged = lambda ok, a, b: F.when(ok & F.col(b).isNotNull(), js_distance(F.col(a), F.col(b)))
     out = out.withColumn(
         "class_distance", judged(F.col("chars") >= limits.class_least_chars, "classes", "ref_classes")
@@ -181,7 +179,26 @@ def judge(
     far = (F.coalesce("class_distance", F.lit(0.0)) > limits.class_distance) | (
         F.coalesce("word_distance", F.lit(0.0)) > limits.word_distance
     )
+    return out.withColumn("_far", far).drop("ref_classes", "ref_common")
+
+
+def judge(
+    docs: DataFrame,
+    limits: Limits | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    lang_col: str = "lang",
+) -> DataFrame:
+    """The base counts, base_failed, class_distance, word_distance (null: not judged by it) and kept, for each row."""
+    limits = limits or Limits()
+    counts = stored(text_counts(docs, limits, id_col, text_col, lang_col), "text-counts")
+    # A first reference of all texts that pass the base rules also has the unusual ones in it; a second one, of the
+    # texts that are near the first, hasn't. Both have one row for each word list and one more.
+    passed = counts.where(~F.col("base_failed"))
+    most = max([0, *map(len, limits.common.values())])
+    passed = distances(passed, references(passed, most), limits).where(~F.col("_far"))
+    out = distances(counts, references(passed, most), limits)
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        "class_distance", "word_distance", (~F.col("base_failed") & ~far).alias("kept"),
+        "class_distance", "word_distance", (~F.col("base_failed") & ~F.col("_far")).alias("kept"),
     )
