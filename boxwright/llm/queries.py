@@ -10,12 +10,48 @@ from pyspark.sql import functions as F
 from boxwright.llm.chat import Template, format_chats, learned_text, read_turns
 from boxwright.llm.common import table
 from boxwright.llm.divergence import judge
+from boxwright.llm.mix import mix
+from boxwright.llm.order_minhash import near_duplicates
+from boxwright.llm.phrase_index import build_index, digest, search
 from boxwright.llm.shards import plan_shards
+from boxwright.llm.token_pack import packed_documents
+from boxwright.llm.toxicity import score
+from boxwright.llm.warc import archived_pages
+from boxwright.llm.weak_quality import scored
 
 #: A conversation whose texts hold control strings of the template.
 ODD_CHAT = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = scored(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("row.doc_id", "score", (F.col("score") >= 0.5).alias("kept"))
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = build_index(table(spark, sf_dir, "documents"))
+    return digest(search(index, table(spark, sf_dir, "benchmark")))
+
+
+def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_documents(table(spark, sf_dir, "documents"))
+
+
+def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), carry=["doc_id"]).select(
+        "row.doc_id",
+        "size",
+        "source_size",
+        "target",
+        (F.col("copies") * F.col("size")).cast("long").alias("taken"),
+        "copies",
+    )
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived_pages(table(spark, sf_dir, "pages"))
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     chats = chats.unionByName(spark.createDataFrame(ODD_CHAT, "conv_id long, turn long, role string, text string"))
@@ -46,14 +82,29 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
+    "op2_decontaminate": op2_decontaminate,
+    "op3_pack": op3_pack,
+    "op4_mix": op4_mix,
+    "op5_warc": op5_warc,
     "op6_chat": op6_chat,
     "op7_shards": op7_shards,
+    "op8_toxicity": op8_toxicity,
     "op9_quality_rules": op9_quality_rules,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 
 ORACLE_SQL: dict[str, str] = {
