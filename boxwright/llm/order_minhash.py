@@ -69,17 +69,13 @@ def kmers(words: np.ndarray) -> np.ndarray:
     for j in range(min(K, len(words))):
         h += words[j : j + n] * np.uint64(_PLACE[j])
     h = mixed(h)
+    labels = np.zeros(n, np.uint64)
     ordered = np.argsort(h, kind="stable")
-    s = h[ordered]
-    same = s[1:] == s[:-1]
+    same = h[ordered][1:] == h[ordered][:-1]
     if same.any():
-        first = np.concatenate([[True], ~same])
         place = np.arange(n)
-        before = place - np.maximum.accumulate(np.where(first, place, 0))
-        labels = np.zeros(n, np.uint64)
-        labels[ordered] = before.astype(np.uint64)
-        h = mixed(h + labels * _LABEL)
-    return h
+        labels[ordered] = place - np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), place, 0))
+    return mixed(h + labels * _LABEL)
 
 
 def sketch(words: np.ndarray) -> np.ndarray:
@@ -124,7 +120,9 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
         return min(max(n, m), most + 1)
     base = np.uint64(0xD6E8FEB86659FD93)
     with np.errstate(over="ignore"):
-        powers = np.cumprod(np.concatenate([[1], np.full(m, base, np.uint64)]).astype(np.uint64))
+        powers = np.full(m + 1, base)
+        powers[0] = 1
+        powers = np.cumprod(powers, dtype=np.uint64)
         pa_ = np.concatenate([[np.uint64(0)], np.cumsum(mixed(a) * powers[:n], dtype=np.uint64)])
         pb_ = np.concatenate([[np.uint64(0)], np.cumsum(mixed(b) * powers[:m], dtype=np.uint64)])
     steps = [1 << k for k in range(int(n).bit_length() - 1, -1, -1)]
@@ -153,8 +151,11 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
         look = np.full(2 * e + 3, -2, np.int64)  # reach of diagonals -e - 1 to e + 1 before this edit
         look[d + e + 1] = i
         at = nd + e + 1
-        reach = np.maximum(look[at] + 1, np.maximum(look[at + 1] + 1, look[at - 1]))
-        reach = np.minimum(reach, np.minimum(n, m - nd))
+        limit = np.minimum(n, m - nd)
+        within = lambda x: np.where(x <= limit, x, -2)  # noqa: B023, E731
+        # a word replaced, one of a left out, one of b left out
+        reach = np.maximum(within(look[at] + 1), np.maximum(within(look[at + 1] + 1), within(look[at - 1])))
+        reach = np.maximum(reach, look[at])
         ok = reach >= np.maximum(0, -nd)
         nd, reach = nd[ok], reach[ok]
         if not len(nd):
@@ -225,11 +226,11 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     Each round links every vertex's neighbours to the smallest of them (large star), then the smaller ones (small star);
     ends when nothing changes. Each round is a table in the shared folder.
     """
-    now = edges.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).where("a <> b").distinct()
+    now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     now = stored(now, "links")
     signature = lambda links: links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
     for _ in range(rounds):
-        both = now.union(now.select(F.col("a").alias("b"), F.col("b").alias("a")))
+        both = now.unionByName(now.select(F.col("a").alias("b"), F.col("b").alias("a")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         large = (
             both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
