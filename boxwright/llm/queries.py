@@ -17,7 +17,7 @@ from boxwright.llm.shards import plan_shards
 from boxwright.llm.token_pack import packed_documents
 from boxwright.llm.toxicity import score
 from boxwright.llm.warc import archived_pages
-from boxwright.llm.weak_quality import scored
+from boxwright.llm.weak_quality import LEAST_SCORE, scored
 
 #: A conversation whose texts hold control strings of the template.
 ODD_CHAT = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
@@ -25,7 +25,7 @@ ODD_CHAT = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scored(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return rows.select("row.doc_id", "score", (F.col("score") >= 0.5).alias("kept"))
+    return rows.select("row.doc_id", "score", (F.col("score") >= LEAST_SCORE).alias("kept"))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

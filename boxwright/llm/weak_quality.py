@@ -3,7 +3,7 @@
 Heuristic labellers vote on each text: good, bad, or no opinion. Nobody says how right they are: expectation
 maximisation estimates, for each labeller, how it votes on good and on bad texts, together with the share of bad ones.
 It needs only how often each pattern of votes occurs, so the corpus is read once for it, whatever its size, and at most
-3 ** labellers counts reach the driver.
+4 ** labellers counts reach the driver.
 
 The posterior of a text's votes is its label for a linear scorer over hashed byte n-grams (1 to 4 bytes, and the same
 of character classes), fitted on the driver to a bounded sample: at most MOST_TEXTS texts, those with the smallest
@@ -25,10 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-MOST_TEXTS = 4000
+MOST_TEXTS = 2500
 SPACE = 1 << 16
-ROUNDS = 200
-GOOD, BAD, NONE = 1, 0, -1
+#: Texts with a lower score are rejected. Below a half, so that short texts of which little is known stay.
+LEAST_SCORE = 0.35
+ROUNDS = 120
+#: NOT: too short to be judged, as if the labeller weren't there.
+GOOD, BAD, NONE, NOT = 1, 0, -1, 2
 
 _SPACE_BYTES = b" \t\n\x0b\x0c\r"
 _DROP = {
@@ -54,39 +57,37 @@ _CLASS = np.frombuffer(
 )
 
 
-def _share(vote_bad_over: float, vote_good_under: float, value: float) -> int:
-    return BAD if value > vote_bad_over else GOOD if value < vote_good_under else NONE
-
-
 def votes(text: bytes | None) -> list[int]:
     """What each labeller says of a text."""
     text = text or b""
     words = text.split()
     n, chars = len(words), sum(map(len, words))
     if not n:
-        return [NONE] * len(LABELLERS)
+        return [NOT] * len(LABELLERS)
     count = {k: len(text.translate(None, drop)) for k, drop in _DROP.items()}
     letters = max(1, count["letters"])
     lower = [w.strip(b".,;:!?").lower() for w in words]
     function = sum(map(_FUNCTION_WORDS.__contains__, lower))
     lines = [x for x in text.split(b"\n") if x.strip()]
     pairs = len(set(zip(words, words[1:], words[2:], strict=False)))
+    sentence = n / max(1, len(_SENTENCE.findall(text)))
     long_enough = n >= 20
+    bad = lambda found: BAD if found else NONE
     return [
-        _share(0.08, 0.02, count["symbols"] / chars),
-        _share(0.5, 0.15, count["upper"] / letters),
-        _share(0.1, 0.02, count["marks"] / n),
-        # function words are many in prose
-        (GOOD if function > 0.12 * n else BAD if function < 0.04 * n else NONE) if long_enough else NONE,
-        _share(0.35, 0.1, 1 - pairs / (n - 2)) if long_enough else NONE,
-        _share(0.3, 0.05, 1 - len(set(lines)) / len(lines)) if len(lines) >= 4 else NONE,
-        _share(0.3, 0.1, count["digits"] / chars),
-        # sentences of a usual length
-        _share(80, 45, n / max(1, len(_SENTENCE.findall(text)))) if long_enough else NONE,
+        # a detector of one fault says nothing of texts without it
+        bad(count["symbols"] > 0.06 * chars),
+        bad(count["upper"] > 0.4 * letters),
+        bad(count["marks"] > 0.15 * n),
+        bad(pairs < 0.7 * (n - 2)) if long_enough else NOT,
+        bad(len(set(lines)) < 0.75 * len(lines)) if len(lines) >= 4 else NOT,
+        bad(count["digits"] > 0.3 * chars),
+        # prose has many function words, and sentences of a usual length
+        (GOOD if function > 0.12 * n else BAD if function < 0.05 * n else NONE) if long_enough else NOT,
+        (GOOD if 3 <= sentence <= 45 else BAD if sentence > 80 else NONE) if long_enough else NOT,
     ]
 
 
-LABELLERS = ("symbols", "upper_case", "marks", "function_words", "repeats", "equal_lines", "digits", "sentences")
+LABELLERS = ("symbols", "upper_case", "marks", "repeats", "equal_lines", "digits", "function_words", "sentences")
 
 
 def _vote_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,49 +97,52 @@ def _vote_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class LabelModel:
-    """Two classes, independent labellers: how each votes on good and bad texts, and the share of good ones."""
+    """Two classes, independent labellers: how often each votes what on good and bad texts, and the share of good ones.
+
+    No opinion is a vote of its own. Prior counts say that votes are right more often than not; they weigh as much as
+    PRIOR of the texts.
+    """
+
+    PRIOR = 0.05
+    #: Shares of no opinion, bad and good, on bad and on good texts.
+    EXPECTED = np.array([[0.45, 0.45, 0.10], [0.39, 0.01, 0.60]])
 
     def __init__(self, patterns: dict[bytes, int], rounds: int = 100) -> None:
         keys = list(patterns)
-        vote = np.array([list(k) for k in keys], np.int64).reshape(len(keys), len(LABELLERS)) - 1
+        vote = np.array([list(k) for k in keys], np.int64).reshape(len(keys), len(LABELLERS))
         weight = np.array([patterns[k] for k in keys], float)
-        # to begin with, a labeller is right more often than not, and good texts are more frequent
-        self.rates = np.empty((len(LABELLERS), 2, 2))  # labeller, class, vote
-        self.rates[:, GOOD] = (0.1, 0.9)
-        self.rates[:, BAD] = (0.7, 0.3)
+        self.rates = np.repeat(self.EXPECTED[None], len(LABELLERS), 0)  # labeller, class, vote
         self.good = 0.8
-        for _ in range(rounds):
+        n = weight.sum()
+        for _ in range(rounds if n else 0):
             p = self._posterior(vote)
-            good, bad = weight * p, weight * (1 - p)
-            if weight.sum() == 0:
-                break
-            self.good = float(np.clip(good.sum() / weight.sum(), 0.01, 0.99))
+            shares = np.stack([weight * (1 - p), weight * p])
+            self.good = float(np.clip(shares[GOOD].sum() / n, 0.02, 0.98))
+            prior = self.PRIOR * n * np.array([1 - self.good, self.good])[:, None] * self.EXPECTED
             for k in range(len(LABELLERS)):
-                for kind, share in ((GOOD, good), (BAD, bad)):
-                    n = np.array([share[vote[:, k] == v].sum() for v in (BAD, GOOD)])
-                    # a prior of a few texts keeps the classes' meaning
-                    n = n + (2.0 * np.array([1.0, 9.0] if kind == GOOD else [7.0, 3.0]) if n.sum() else 1.0)
-                    self.rates[k, kind] = n / n.sum()
+                for kind in (BAD, GOOD):
+                    found = np.bincount(vote[:, k], shares[kind], 4)[:3] + prior[kind] + 1e-3
+                    self.rates[k, kind] = found / found.sum()
 
     def _posterior(self, vote: np.ndarray) -> np.ndarray:
         odds = np.full(len(vote), np.log(self.good / (1 - self.good)))
         for k in range(len(LABELLERS)):
-            ratio = np.log(self.rates[k, GOOD] / self.rates[k, BAD])
-            odds += np.where(vote[:, k] == NONE, 0.0, ratio[np.maximum(vote[:, k], 0)])
+            odds += np.append(np.log(self.rates[k, GOOD] / self.rates[k, BAD]), 0.0)[vote[:, k]]
         return 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
 
     def posterior(self, pattern: bytes) -> float:
-        """Probability that a text with these votes is good."""
-        return float(self._posterior(np.array([list(pattern)], np.int64) - 1)[0])
+        """Probability that a text with these votes (each one more than GOOD, BAD or NONE) is good."""
+        return float(self._posterior(np.array([list(pattern)], np.int64))[0])
 
     def accuracies(self) -> dict[str, float]:
-        """For each labeller the probability that a vote of its is right."""
-        right = self.good * self.rates[:, GOOD, GOOD] + (1 - self.good) * self.rates[:, BAD, BAD]
-        return dict(zip(LABELLERS, right.tolist(), strict=True))
+        """For each labeller the probability that an opinion of its is right."""
+        share = np.array([1 - self.good, self.good])[None, :, None] * self.rates
+        right = share[:, BAD, BAD + 1] + share[:, GOOD, GOOD + 1]
+        return dict(zip(LABELLERS, (right / (share[:, :, BAD + 1] + share[:, :, GOOD + 1]).sum(1)).tolist(), strict=True))
 
 
 def grams(text: bytes | None) -> np.ndarray:
-    """Numbers of all n-grams of a text, of its bytes and of its character classes."""
+    """Numbers of all n-grams of a text, of its bytes and of its character classes, and of how much of it repeats."""
     raw = np.frombuffer(text or b"", np.uint8)
     out = []
     for salt, x in ((1, raw), (2, _CLASS[raw])):
@@ -148,6 +152,11 @@ def grams(text: bytes | None) -> np.ndarray:
                 h = h[:-1] * np.uint32(0x01000193) ^ x[n - 1 :]
             if n > 2 or salt == 2 or n == 1:
                 out.append(((h * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.int32))
+        if salt == 1 and len(h) > 4:
+            # how much of the text repeats, in steps of a twentieth, as an eighth of all features
+            runs = h[:-4] * np.uint32(0x85EBCA6B) ^ h[4:]
+            step = int(20 * (1 - len(np.unique(runs)) / len(runs)))
+            out.append(np.full(len(raw), (step + 1) * 2999 % SPACE, np.int32))
     return np.concatenate(out)
 
 
@@ -185,15 +194,15 @@ def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray) -> t
         m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * g.sum(), 0.999 * vb + 0.001 * g.sum() ** 2
         c1, c2 = 1 - 0.9**t, 1 - 0.999**t
-        w -= 0.02 * (m / c1) / (np.sqrt(v / c2) + 1e-8)
-        b -= 0.02 * (mb / c1) / (np.sqrt(vb / c2) + 1e-8)
+        w -= 0.03 * (m / c1) / (np.sqrt(v / c2) + 1e-8)
+        b -= 0.03 * (mb / c1) / (np.sqrt(vb / c2) + 1e-8)
     return w * 100, float(b)
 
 
 def train(docs: DataFrame, text_col: str = "text") -> tuple[LabelModel, np.ndarray, float]:
     """The label model and the scorer's weights and bias."""
     rows = docs.select(F.col(text_col).cast("binary").alias("text"))
-    counts = rows.mapInArrow(_vote_rows, "votes binary").groupBy("votes").count().collect()  # at most 3 ** labellers
+    counts = rows.mapInArrow(_vote_rows, "votes binary").groupBy("votes").count().collect()  # at most 4 ** labellers
     model = LabelModel({bytes(r["votes"]): r["count"] for r in counts})
     n = sum(r["count"] for r in counts)
     place = F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 30))
@@ -227,6 +236,6 @@ def scored(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return rows.mapInArrow(run, StructType(list(rows.schema.fields)).add("score", DoubleType()))
 
 
-def keep_good(docs: DataFrame, least: float = 0.5, text_col: str = "text") -> DataFrame:
+def keep_good(docs: DataFrame, least: float = LEAST_SCORE, text_col: str = "text") -> DataFrame:
     """The rows of docs whose score is at least `least`."""
     return scored(docs, text_col).where(F.col("score") >= least).select("row.*")
