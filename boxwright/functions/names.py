@@ -1,0 +1,44 @@
+"""What file names carry, and category names, as column expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+LEFT, RIGHT = "left_hand", "right_hand"
+CATEGORIES = (LEFT, RIGHT)
+#: Names of the two categories, lower-cased, with single blanks.
+ALIASES = {"left": LEFT, "left hand": LEFT, "right": RIGHT, "right hand": RIGHT}
+
+
+def stable_image_key(file_name: Column) -> Column:
+    """The base name without an export tool's revision hash."""
+    return F.regexp_replace(F.regexp_extract(file_name, r"([^/]*)$", 1), r"(?i)_jpg\.rf\.[^.]+\.jpg$", ".jpg")
+
+
+def recording_id(file_name: Column) -> Column:
+    """The stable key before the first `_frame`; null if there is none or nothing before it."""
+    key = stable_image_key(file_name)
+    return F.when(F.instr(key, "_frame") > 1, F.substring_index(key, "_frame", 1))
+
+
+def timestamp_seconds(file_name: Column) -> Column:
+    """Seconds from the first ten-digit `ms` part; null without one."""
+    ms = F.regexp_extract(file_name, r"_([0-9]{10})ms(?:_|\.|$)", 1)
+    return F.nullif(ms, F.lit("")).cast("double") / 1000
+
+
+def frame_file_name(stem: Column, index: Column, seconds: Column) -> Column:
+    """A frame's name from its recording, index and time, with other characters than name characters replaced."""
+    clean = F.btrim(F.regexp_replace(stem, "[^A-Za-z0-9_.-]+", "_"), F.lit("._"))
+    return F.format_string("%s_frame%06d_%010dms.jpg", clean, index, F.bround(seconds * 1000).cast("long"))
+
+
+def canonical_category(name: Column) -> Column:
+    """The category that a name stands for; raises for an unknown name."""
+    plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower(name), "[-_]", " "), r"\s+", " "))
+    known = F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv])
+    found = F.try_element_at(known, plain)
+    return F.when(name.isNull() | found.isNotNull(), found).otherwise(
+        F.raise_error(F.concat(F.lit("unknown category: "), name))
+    )
