@@ -130,7 +130,7 @@ def error_manifest(images: DataFrame, matches: DataFrame, first: str, second: st
     return rows.select(
         "split", "model_name", "file_name", *provenance(), F.col("match_type").alias("error_type"), "category",
         "predicted_category", "confidence",
-        box_json(F.coalesce("p", "g")).alias("bbox_xyxy"), F.bround("iou", 6).alias("iou"),
+        F.coalesce(box_json(F.col("p")), box_json(F.col("g"))).alias("bbox_xyxy"), F.bround("iou", 6).alias("iou"),
         F.coalesce("review_priority", F.lit(PRIORITIES[0])).alias("review_priority"),
     )
 

@@ -169,9 +169,14 @@ def frame_names(s: SparkSession, d: str) -> DataFrame:
     )
 
 
+_AXIS = "case when {c}-{s}/2>=0 and {c}+{s}/2<=1 then {s} else round_even({s}-0.000001,6) end"
+
+
 @query(
-    f"""with {_VIEWS} select annotation_id, printf('%d %.6f %.6f %.6f %.6f', case when category='left_hand' then 0 else 1 end,
- round_even((x1+x2)/2/640,6), round_even((y1+y2)/2/480,6), round_even((x2-x1)/640,6), round_even((y2-y1)/480,6)) as line from gt"""
+    f"""with {_VIEWS}, a as (select annotation_id, category, round_even((x1+x2)/2/640,6) as cx, round_even((y1+y2)/2/480,6) as cy,
+ round_even((x2-x1)/640,6) as w, round_even((y2-y1)/480,6) as h from gt)
+select annotation_id, printf('%d %.6f %.6f %.6f %.6f', case when category='left_hand' then 0 else 1 end, cx, cy,
+ {_AXIS.format(c="cx", s="w")}, {_AXIS.format(c="cy", s="h")}) as line from a"""
 )
 def yolo_labels(s: SparkSession, d: str) -> DataFrame:
     return ds.yolo_lines(_gt(s, d), _images(s, d)).select("annotation_id", "line")
@@ -233,7 +238,7 @@ def match_counts(s: SparkSession, d: str) -> DataFrame:
 _SWEEP_EDGES = _EDGES.replace("where iou>=", "where phase=1 and iou>=")
 _SWEEP = f"""with recursive {_VIEWS}, {_MODELS}, pr as (select * from pr0),
 {_fold(_SWEEP_EDGES, "model_name,image_id", "det_pos", "ann_ord")},
-one as (select split, model_name, category, confidence, (k.det_pos is not null)::int as tp from pr join img using (image_id)
+one as (select split, model_name, pr.category, pr.confidence, (k.det_pos is not null)::int as tp from pr join img using (image_id)
   left join picks k using (model_name,image_id,det_pos)),
 two as (select * from one union all select split, model_name, 'overall_micro', confidence, tp from one),
 total0 as (select split, category from gt join img using (image_id)),
@@ -353,7 +358,7 @@ _AP = f"""with recursive {_VIEWS}, {_MODELS}, pr as (select * from pr0),
 {_fold(_AP_EDGES, "model_name,image_id,category,t", "det_pos", "ann_ord")},
 n as (select split, category, count(*) as n from gt join img using (image_id) group by all),
 ts as (select unnest(generate_series(0,9)) as t),
-det as (select split, model_name, category, t, row_number() over (partition by split,model_name,category,t order by confidence desc, image_id, det_pos) as rank,
+det as (select split, model_name, category, t, row_number() over (partition by split,model_name,category,t order by pr.confidence desc, image_id, det_pos) as rank,
   (k.det_pos is not null)::int as hit, pr.confidence, image_id, pr.det_pos
   from pr join img using (image_id) cross join ts left join picks k using (model_name,image_id,category,t,det_pos)),
 hits as (select *, sum(hit) over (partition by split,model_name,category,t order by rank) as tp from det),
@@ -458,7 +463,7 @@ _MANIFEST = (
  round_even(max(confidence) filter (where match_type='false_positive'),6) as hi from matches group by all),
 manifest as (select split, file_name, split_part(file_name,'_frame',1) as source_recording, cast(regexp_extract(file_name,'_([0-9]{10})ms',1) as double)/1000 as timestamp_seconds,
  model_name, coalesce(tp,0) as true_positive_count, coalesce(fp,0) as false_positive_count, coalesce(fn,0) as false_negative_count, coalesce(cc,0) as class_confusion_count,
- lo as minimum_true_positive_iou, round(mean,6) as mean_true_positive_iou, hi as maximum_false_positive_confidence
+ lo as minimum_true_positive_iou, round_even(mean,6) as mean_true_positive_iou, hi as maximum_false_positive_confidence
  from img cross join models left join c using (image_id, model_name))
 """
 )
