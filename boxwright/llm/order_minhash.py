@@ -11,9 +11,9 @@ counts as different. Classes are made in five steps.
 3. Links whose two sketches agree in fewer than AGREE functions are dropped.
 4. Connected components of the links, by label propagation with checkpoints, are candidate groups. Groups of more than
    BLOCK texts are dealt to blocks by hash, so a hot group is spread over many tasks.
-5. In a block, texts are compared by edit distance of words, aligned only within the band that SIMILARITY allows, until
-   each is in the class of one that it resembles; a text joins all classes that it resembles. Only texts already in one
-   class aren't compared. The leaders of a large group's blocks meet again in blocks of their own, until one block is
+5. In a block, all pairs whose sketches agree in AGREE functions are compared by edit distance of words, aligned only
+   within the band that SIMILARITY allows; a text joins all classes that it resembles. Only texts already in one class
+   aren't compared. The leaders of a large group's blocks meet again in blocks of their own, until one block is
    left; so all texts of a group are compared directly or through a leader.
 
 SIMILARITY is 1 - distance / words of the longer text. Words are lower-cased runs of letters and digits. Texts without
@@ -176,32 +176,26 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return abs(len(a) - len(b)) <= most and edit_distance(a, b, most) <= most
 
 
-def classes_of(texts: list[np.ndarray]) -> list[int]:
-    """For each text the number of its class's first text: connected components of similar ones, all compared but
-    those already in one class."""
-    members: list[list[int]] = []
-    for k, x in enumerate(texts):
-        joined: list[int] | None = None
-        rest = []
-        for group in sorted(members, key=len, reverse=True):
-            if any(similar(texts[g], x) for g in group):
-                if joined is None:
-                    joined = group
-                else:
-                    joined += group
-                    continue
-            rest.append(group)
-        members = rest
-        if joined is None:
-            members.append([k])
-        else:
-            joined.append(k)
-    out = [0] * len(texts)
-    for group in members:
-        first = min(group)
-        for k in group:
-            out[k] = first
-    return out
+def classes_of(texts: list[np.ndarray], sketches: np.ndarray) -> list[int]:
+    """For each text the number of its class's first text: connected components of similar ones.
+
+    All pairs whose sketches agree in AGREE functions are aligned, those that agree most first, but for pairs already
+    in one class.
+    """
+    parent = list(range(len(texts)))
+
+    def root(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = k = parent[parent[k]]
+        return k
+
+    for k in range(1, len(texts)):
+        agree = (sketches[:k] == sketches[k]).sum(1)
+        for g in np.argsort(-agree, kind="stable")[: np.count_nonzero(agree >= AGREE)].tolist():
+            a, b = root(g), root(k)
+            if a != b and similar(texts[g], texts[k]):
+                parent[max(a, b)] = min(a, b)
+    return [root(k) for k in range(len(texts))]
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,7 +258,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = sorted(range(len(keys)), key=keys.__getitem__)
         once = [k for n, k in enumerate(order) if not n or keys[order[n - 1]] != keys[k]]
         with np.errstate(over="ignore"):
-            first = classes_of([texts[k] for k in once])
+            chosen = [texts[k] for k in once]
+            first = classes_of(chosen, np.stack([sketch(t) for t in chosen]))
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([keys[k] for k in once], pa.binary()),
