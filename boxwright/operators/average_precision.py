@@ -63,7 +63,7 @@ def average_precision(
     split = images.select(key, "split")
     flags = _flags(image_rows(ground_truth, predictions, models, key), key).join(split, key)
     by = ["split", "model_name", "category"]
-    n_gt = ground_truth.join(split, key).groupBy("split", "category").agg(F.count(F.lit(1)).alias("n"))
+    n_gt = ground_truth.select(key, "category").join(split, key).groupBy("split", "category").agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy(*by, "t").orderBy(F.desc("confidence"), key, "place")
     flags = flags.join(F.broadcast(n_gt), ["split", "category"])  # a row for each split and category
     flags = flags.withColumn("rank", F.row_number().over(order)).withColumn(

@@ -91,7 +91,7 @@ def threshold_sweep(
     )
     by = ["split", "model_name", "category"]
     steps = with_micro(found).groupBy(*by, "confidence").agg(F.sum("tp").alias("tp"), F.count(F.lit(1)).alias("n"))
-    totals = with_micro(ground_truth.join(split, key).select("split", "category")).groupBy("split", "category").count()
+    totals = with_micro(ground_truth.select(key, "category").join(split, key).select("split", "category")).groupBy("split", "category").count()
     ends = totals.select(
         "split", F.explode(F.array(*map(F.lit, models))).alias("model_name"), "category",
         F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("confidence"), F.lit(0).cast("long").alias("tp"),
@@ -140,10 +140,10 @@ def evaluation_rows(
         F.explode(F.array(*map(F.lit, (MICRO, *CATEGORIES)))).alias("category"),
     )
     counts = match_counts(found, by)
-    n_gt = with_micro(ground_truth.join(split, key).select("split", "category")).groupBy("split", "category").agg(
+    n_gt = with_micro(ground_truth.select(key, "category").join(split, key).select("split", "category")).groupBy("split", "category").agg(
         F.count(F.lit(1)).alias("ground_truth_count")
     )
-    kept = predictions.where(F.col("confidence") >= threshold).join(split, key)
+    kept = predictions.where(F.col("confidence") >= threshold).select(key, "model_name", "category").join(split, key)
     n_pred = with_micro(kept.select(*by, "category")).groupBy(*by, "category").agg(
         F.count(F.lit(1)).alias("prediction_count")
     )

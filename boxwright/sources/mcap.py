@@ -6,7 +6,8 @@
 The driver reads each file's index records and skips over all payloads; every chunk is a partition, and chunks without
 a message of the wanted topic are never read. Paths are local or mounted files, as Python reads them; a file's chunks
 are independent, so a lost task reads one chunk again. Chunks may be plain or compressed with zstd; other compressions
-raise. Messages keep their order by chunk_no and message_no.
+raise. With the option pushdown (which needs spark.sql.python.filterPushdown.enabled) the topic can also be a filter on
+the column. Messages keep their order by chunk_no and message_no.
 """
 
 from __future__ import annotations
@@ -149,13 +150,6 @@ class McapReader(DataSourceReader):
         self.topic = options.get("topic")
         self.schema_name = options.get("schema_name")
 
-    def pushFilters(self, filters: list) -> Iterator:
-        for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("topic",) and self.topic in (None, f.value):
-                self.topic = f.value
-            else:
-                yield f
-
     def partitions(self) -> list[Chunk]:
         out = []
         for path in self.paths:
@@ -179,6 +173,17 @@ class McapReader(DataSourceReader):
                 yield partition.path, partition.chunk_no, k, topic, channel, name, encoding, time, data
 
 
+class PushingMcapReader(McapReader):
+    """Takes the topic from a filter, too."""
+
+    def pushFilters(self, filters: list) -> Iterator:
+        for f in filters:
+            if isinstance(f, EqualTo) and f.attribute == ("topic",) and self.topic in (None, f.value):
+                self.topic = f.value
+            else:
+                yield f
+
+
 class McapSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -188,4 +193,4 @@ class McapSource(DataSource):
         return COLUMNS
 
     def reader(self, schema) -> McapReader:
-        return McapReader(self.options)
+        return (PushingMcapReader if self.options.get("pushdown") == "true" else McapReader)(self.options)
