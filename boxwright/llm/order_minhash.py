@@ -8,13 +8,13 @@ counts as different. Classes are made in five steps.
 1. Equal texts are one vertex, known by 16 bytes of MD5.
 2. In each function, texts with the same pair meet in a bucket; each is linked to the bucket's centre, the member with
    the smallest key, which partial aggregation finds without gathering a bucket anywhere.
-3. Links whose two sketches agree in fewer than AGREE functions are dropped.
-4. Connected components of the links, by label propagation with checkpoints, are candidate groups. Groups of more than
-   BLOCK texts are dealt to blocks by hash, so a hot group is spread over many tasks.
-5. In a block, all pairs whose sketches agree in AGREE functions are compared by edit distance of words, aligned only
-   within the band that SIMILARITY allows; a text joins all classes that it resembles. Only texts already in one class
-   aren't compared. The leaders of a large group's blocks meet again in blocks of their own, until one block is
-   left; so all texts of a group are compared directly or through a leader.
+3. Links whose two sketches agree in fewer than AGREE functions are dropped. The others are the candidates; their
+   number grows with the texts, not with the square of a bucket.
+4. Candidates are verified by edit distance of words, aligned only within the band that SIMILARITY allows. First each
+   text's best link; then, between classes found so far, the best link of each pair of classes; then all links between
+   different classes that are left. Links within a class need no verification, so a large group of copies costs about
+   one alignment a text, and no candidate is passed over.
+5. Classes are the connected components of verified links, by label propagation with tables in the shared folder.
 
 SIMILARITY is 1 - distance / words of the longer text. Words are lower-cased runs of letters and digits. Texts without
 words are only equal to equal texts; a null text is in a class of its own row. A class is named by its smallest doc_id;
@@ -25,7 +25,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +37,6 @@ K = 5
 FUNCTIONS = 40
 AGREE = 3
 SIMILARITY = 0.8
-BLOCK = 400
 
 _rng = np.random.default_rng(20240501)
 _XOR = _rng.integers(0, 1 << 63, FUNCTIONS, dtype=np.uint64)[:, None]
@@ -171,31 +169,22 @@ def allowed(n: int, m: int) -> int:
     return int(np.floor((1 - SIMILARITY) * max(n, m) + 1e-9))
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    most = allowed(len(a), len(b))
-    return abs(len(a) - len(b)) <= most and edit_distance(a, b, most) <= most
-
-
-def classes_of(texts: list[np.ndarray], sketches: np.ndarray) -> list[int]:
-    """For each text the number of its class's first text: connected components of similar ones.
+def labelled(words: np.ndarray) -> np.ndarray:
+    """The words' hashes, sorted, each mixed with how often it occurred before."""
+    s = np.sort(words)
+    place = np.arange(len(s))
+    first = np.concatenate([[True], s[1:] != s[:-1]])
+    return mixed(s + (place - np.maximum.accumulate(np.where(first, place, 0))).astype(np.uint64) * _LABEL)
 
-    All pairs whose sketches agree in AGREE functions are aligned, those that agree most first, but for pairs already
-    in one class.
-    """
-    parent = list(range(len(texts)))
-
-    def root(k: int) -> int:
-        while parent[k] != k:
-            parent[k] = k = parent[parent[k]]
-        return k
 
-    for k in range(1, len(texts)):
-        agree = (sketches[:k] == sketches[k]).sum(1)
-        for g in np.argsort(-agree, kind="stable")[: np.count_nonzero(agree >= AGREE)].tolist():
-            a, b = root(g), root(k)
-            if a != b and similar(texts[g], texts[k]):
-                parent[max(a, b)] = min(a, b)
-    return [root(k) for k in range(len(texts))]
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Is the edit distance at most allowed()? Each word that only one text has takes an edit; that is tested first."""
+    most = allowed(len(a), len(b))
+    if abs(len(a) - len(b)) > most:
+        return False
+    both = np.concatenate([labelled(a), labelled(b)])
+    shared = len(both) - len(np.unique(both))
+    return max(len(a), len(b)) - shared <= most and edit_distance(a, b, most) <= most
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,36 +238,16 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     return now.select(F.col("a").alias("key"), F.col("b").alias("group")).unionByName(roots)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows of (block, key, text) sorted by block to (key, leader)."""
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From links (a, b, their texts) to those whose texts are similar."""
     hashes = _Hashes()
-    block, keys, texts = None, [], []
-
-    def done() -> pa.RecordBatch:
-        order = sorted(range(len(keys)), key=keys.__getitem__)
-        once = [k for n, k in enumerate(order) if not n or keys[order[n - 1]] != keys[k]]
-        with np.errstate(over="ignore"):
-            chosen = [texts[k] for k in once]
-            first = classes_of(chosen, np.stack([sketch(t) for t in chosen]))
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([keys[k] for k in once], pa.binary()),
-                pa.array([keys[once[f]] for f in first], pa.binary()),
-            ],
-            names=["key", "leader"],
-        )
-
+    numbers = lambda w: np.fromiter(map(hashes.__getitem__, w), np.uint64, len(w))
     for batch in batches:
-        for b, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            if b != block:
-                if keys:
-                    yield done()
-                block, keys, texts = b, [], []
-            words = words_of(text.as_py())
-            keys.append(key)
-            texts.append(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)))
-    if keys:
-        yield done()
+        keep = []
+        with np.errstate(over="ignore"):
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                keep.append(similar(numbers(words_of(x.as_py())), numbers(words_of(y.as_py()))))
+        yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -307,45 +276,48 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     agree = F.aggregate(
         F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x
     )
-    links = links.join(sketches("a"), "a").join(sketches("b"), "b").where(agree >= AGREE).select("a", "b")
-    groups = stored(components(stored(links, "links")), "groups")
-
-    # blocks of at most about BLOCK texts of one group
-    level = groups.withColumn("level", F.lit(0))
-    leaders = None
-    for _ in count():
-        sizes = level.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
-        dealt = level.join(sizes.withColumn("blocks", F.ceil(F.col("n") / BLOCK)), "group").withColumn(
-            "block", F.pmod(F.xxhash64("key", "level"), F.col("blocks"))
-        )
-        found = (
-            rows.select("key", "doc_id", "text")
-            .join(dealt.join(vertices.select("key", F.col("doc_id").alias("_d")), "key"), "key")
-            .where(F.col("doc_id").eqNullSafe(F.col("_d")))  # of equal texts only one is sent
-            .select(F.concat_ws(":", F.hex("group"), "block").alias("b"), "key", "text")
-            .repartition("b")
-            .sortWithinPartitions("b", "key")
-            .mapInArrow(_blocks, "key binary, leader binary")
-        )
-        found = stored(found, "leaders")
-        if leaders is None:
-            leaders = found
-        else:
-            step = found.select(F.col("key").alias("leader"), F.col("leader").alias("next"))
-            leaders = stored(
-                leaders.join(step, "leader", "left").select("key", F.coalesce("next", "leader").alias("leader")),
-                "leaders",
-            )
-        # groups of more than one block go on, with their leaders only
-        more = dealt.where("blocks > 1").select("key", "group", "level")
-        nexts = stored(
-            found.where("key = leader").join(more, "key").select("key", "group", (F.col("level") + 1).alias("level")),
-            "level",
-        )
-        before, after = dealt.where("blocks > 1").count(), nexts.count()
-        if not after or after == before:
-            break
-        level = nexts
+    links = stored(
+        links.join(sketches("a"), "a").join(sketches("b"), "b").withColumn("agree", agree)
+        .where(F.col("agree") >= AGREE).select("a", "b", "agree"),
+        "links",
+    )
+    # one row for each text that has a link, with the text
+    linked = links.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    linked = linked.join(vertices.select("key", F.col("doc_id").alias("_d")), "key")
+    texts = stored(
+        rows.select("key", "doc_id", "text").join(linked, "key").where(F.col("doc_id").eqNullSafe(F.col("_d")))
+        .select("key", "text").dropDuplicates(["key"]),
+        "texts",
+    )
+
+    def verify(some: DataFrame) -> DataFrame:
+        of = lambda v: texts.select(F.col("key").alias(v), F.col("text").alias(f"t{v}"))
+        whole = some.select("a", "b").join(of("a"), "a").join(of("b"), "b").select("a", "b", "ta", "tb")
+        # alignments are the work, not bytes: so dealt evenly, whatever their size
+        return stored(whole.repartition("a", "b").mapInArrow(_verified, "a binary, b binary"), "verified")
+
+    best = links.groupBy("a").agg(F.max_by(F.struct("b", "agree"), F.struct("agree", "b")).alias("x"))
+    sure = verify(best.select("a", "x.b"))
+    tried = best.select("a", "x.b")
+    groups = stored(components(sure), "groups")
+
+    def between(left: DataFrame, groups: DataFrame) -> DataFrame:
+        """Links between different classes, with the classes ga and gb."""
+        own = lambda v: groups.select(F.col("key").alias(v), F.col("group").alias(f"g{v}"))
+        named = left.join(own("a"), "a", "left").join(own("b"), "b", "left")
+        named = named.withColumns({f"g{v}": F.coalesce(f"g{v}", v) for v in ("a", "b")})
+        return named.where("ga <> gb")
+
+    rest = stored(between(links.join(tried, ["a", "b"], "left_anti"), groups), "rest")
+    pairs = rest.groupBy(F.least("ga", "gb").alias("low"), F.greatest("ga", "gb").alias("high")).agg(
+        F.max_by(F.struct("a", "b"), F.struct("agree", "a", "b")).alias("x")
+    )
+    tried = stored(pairs.select("x.a", "x.b"), "tried")
+    sure = stored(sure.unionByName(verify(tried)), "sure")
+    groups = stored(components(sure), "groups")
+    rest = between(rest.select("a", "b", "agree").join(tried, ["a", "b"], "left_anti"), groups)
+    sure = sure.unionByName(verify(rest))
+    leaders = components(sure).select("key", F.col("group").alias("leader"))
     named = vertices.select("key", "doc_id").join(leaders, "key", "left").withColumn("leader", F.coalesce("leader", "key"))
     names = named.groupBy("leader").agg(F.min("doc_id").alias("class_id"))
     by_key = named.join(names, "leader").select(F.col("key").alias("_key"), "class_id")
