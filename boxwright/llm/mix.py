@@ -9,7 +9,8 @@ counts; the driver only holds one row for each source.
 
 Rates become copies cell by cell: a cell is the documents of one source, size and salt. Within a source, cells are
 taken from long to short documents, and each gets the number of copies that brings the words taken so far nearest to
-those expected so far, so that errors of long documents are made up by shorter ones. A cell's copies go to its
+those expected so far, so that errors of long documents are made up by shorter ones. A source of many documents is rounded in
+parts, each by itself, so that a hot source is no single task. A cell's copies go to its
 documents evenly, the odd ones by a hash order. Cells are counts, so this doesn't depend on the number of documents;
 salting keeps a hot (source, size) from one task.
 
@@ -31,6 +32,8 @@ from pyspark.sql.window import Window
 from boxwright.llm.common import stored
 
 SALTS = 64
+#: A source with more documents than this is rounded in several parts, each of some salts.
+PART_ROWS = 2000
 ITERATIONS = 60
 
 
@@ -100,18 +103,18 @@ def tilts(cells: DataFrame, goal: dict[str | None, float], sizes: dict[str | Non
 
 def _copies(cap: int):
     def share_out(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Copies of each cell of one source, from long to short documents."""
+        """Copies of each cell of one source, or of one part of it, from long to short documents."""
         pdf = pdf.sort_values(["size", "salt"], ascending=[False, True], kind="stable").reset_index(drop=True)
         size, n, lam = pdf["size"].to_numpy(), pdf["n"].to_numpy(), float(pdf["lam"].iloc[0])
-        goal = float(pdf["target"].iloc[0])
+        whole = int(pdf["parts"].iloc[0]) == 1
         if math.isinf(lam):
             rate = np.full(len(size), float(cap) if lam > 0 else 0.0)
         else:
             rate = cap / (1 + np.exp(-np.clip(lam * size, -700, 700)))
         wanted = np.cumsum(rate * n * size)
-        if len(wanted) and wanted[-1] > 0:
-            wanted *= min(goal / wanted[-1], 1.0) if wanted[-1] > goal else 1.0
-            wanted[-1] = goal if math.isfinite(lam) and goal else wanted[-1]
+        # a part's goal is what its rates give; they are solved for the source's target
+        goal = float(pdf["target"].iloc[0]) if whole and math.isfinite(lam) else float(wanted[-1])
+        wanted[-1] = goal
         copies, taken = np.zeros(len(size), np.int64), 0
         for k, (s, c, want, r) in enumerate(zip(size.tolist(), n.tolist(), wanted.tolist(), rate.tolist(), strict=True)):
             if s:
@@ -167,15 +170,18 @@ def mix(
     goal = targets(sizes, weights, share, cap)
     flat = stored(cells.groupBy("source", "size").agg(F.sum("n").alias("n")), "mix-sizes")
     lams = dict(tilts(flat, goal, sizes, cap))
+    counts = {r["source"]: r["n"] for r in flat.groupBy("source").agg(F.sum("n").alias("n")).collect()}
+    parts = {s: min(SALTS, max(1, counts[s] // PART_ROWS)) for s in sizes}
     per_source = spark.createDataFrame(
-        [(s, sizes[s], goal[s], lams[s]) for s in sizes], "source string, source_size long, target double, lam double"
+        [(s, sizes[s], goal[s], lams[s], parts[s]) for s in sizes],
+        "source string, source_size long, target double, lam double, parts int",
     )
     # one row for each source
     known = cells.join(F.broadcast(per_source), cells["source"].eqNullSafe(per_source["source"])).select(
-        cells["source"], "size", "salt", "n", "lam", "target"
+        cells["source"], "size", "salt", "n", "lam", "target", "parts"
     )
-    # a source's cells: distinct sizes times salts, however many documents it has
-    shares = known.groupBy("source").applyInPandas(
+    # a part has at most as many cells as there are sizes times salts, however many documents the source has
+    shares = known.withColumn("part", F.pmod("salt", "parts")).groupBy("source", "part").applyInPandas(
         _copies(cap), "source string, size long, salt int, n long, rate double, copies long"
     )
     shares = stored(shares, "mix-copies").join(
