@@ -14,6 +14,9 @@ counts as different. Classes are made in five steps.
    text's best link; then, between classes found so far, the best link of each pair of classes; then all links between
    different classes that are left. Links within a class need no verification, so a large group of copies costs about
    one alignment a text, and no candidate is passed over.
+   A bucket that still holds several classes is then searched for all its pairs of different classes, as neither of
+   two similar texts need be its centre: an index of the bucket's rarest words gives the pairs that can be similar,
+   without loss, and they are aligned in place. Buckets of more than PART texts are searched in pairs of parts.
 5. Classes are the connected components of verified links, by label propagation with tables in the shared folder.
 
 SIMILARITY is 1 - distance / words of the longer text. Words are lower-cased runs of letters and digits. Texts without
@@ -34,6 +37,8 @@ from pyspark.sql import functions as F
 from boxwright.llm.common import drop_stored, stored, text_key, words_of
 
 K = 5
+#: Texts of a bucket that are searched at once are at most about twice as many.
+PART = 1000
 FUNCTIONS = 40
 AGREE = 3
 SIMILARITY = 0.8
@@ -250,6 +255,76 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
 
+def _searched(found: pa.Table) -> pa.Table:
+    """Similar texts of different classes in a part of a bucket, or in two of its parts: links (a, b).
+
+    found: f, low, high, block, key, class, sketch, text. Only links that join classes are returned; a pair that
+    meets in a function before f too is left to that one's bucket.
+    """
+    keys, classes = found.column("key").to_pylist(), found.column("class").to_pylist()
+    none = pa.table({"a": pa.array([], pa.binary()), "b": pa.array([], pa.binary())})
+    if len(set(classes)) < 2:
+        return none
+    f, two = found.column("f")[0].as_py(), found.column("low")[0].as_py() != found.column("high")[0].as_py()
+    block = np.array(found.column("block").to_pylist())
+    earlier = np.array(found.column("sketch").to_pylist(), np.int64)[:, :f]
+    hashes = _Hashes()
+    words = [words_of(t.as_py()) for t in found.column("text")]
+    words = [np.fromiter(map(hashes.__getitem__, w), np.uint64, len(w)) for w in words]
+    size = np.array([len(w) for w in words])
+    number = {c: k for k, c in enumerate(dict.fromkeys(classes))}
+    own = np.array([number[c] for c in classes])
+    links = []
+    with np.errstate(over="ignore"):
+        _, token = np.unique(np.concatenate([labelled(w) for w in words]), return_inverse=True)
+        owner = np.repeat(np.arange(len(words)), size)
+        often = np.bincount(token)
+        ordered = owner[np.argsort(token, kind="stable")]
+        start = np.concatenate([[0], np.cumsum(often)])
+        ends = np.cumsum(size)
+        # texts of the largest class need not look for each other; the others look for all
+        for a in np.flatnonzero(own != np.bincount(own).argmax()).tolist():
+            # a similar text lacks at most allowed() of a's words, so it has one of any allowed() + 1 of them
+            mine = token[ends[a] - size[a] : ends[a]]
+            rare = mine[np.argsort(often[mine], kind="stable")[: allowed(size[a], size[a]) + 1]]
+            near = np.unique(np.concatenate([ordered[start[t] : start[t + 1]] for t in rare]))
+            longer = np.maximum(size[near], size[a])
+            near = near[np.abs(size[near] - size[a]) <= np.floor((1 - SIMILARITY) * longer + 1e-9)]
+            near = near[(own[near] != own[a]) & ((block[near] != block[a]) | (not two))]
+            near = near[~(earlier[near] == earlier[a]).any(1)]
+            for b in near.tolist():
+                if own[b] != own[a] and similar(words[a], words[b]):
+                    links.append((keys[a], keys[b]))
+                    own[own == own[b]] = own[a]
+    if not links:
+        return none
+    return pa.table({"a": pa.array([x[0] for x in links], pa.binary()), "b": pa.array([x[1] for x in links], pa.binary())})
+
+
+def within_buckets(met: DataFrame, groups: DataFrame, texts: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Links between different classes of a bucket. met: f, h, key, n; groups: key, group; sketches: key, sketch."""
+    # in a bucket of two the centre's link is the only pair
+    many = met.where("n > 2").join(groups, "key", "left").withColumn("class", F.coalesce("group", "key"))
+    mixed_ = many.groupBy("f", "h").agg(
+        F.min("class").alias("_low"), F.max("class").alias("_high"), F.count(F.lit(1)).alias("_n"),
+        F.bit_xor(F.xxhash64("key")).alias("_x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("_y"),
+    ).where("_low <> _high")
+    # buckets of the same texts are searched once, in their first function
+    once = mixed_.groupBy("_n", "_x", "_y").agg(F.min(F.struct("f", "h")).alias("_q")).select("_q.f", "_q.h")
+    parts = F.ceil(F.col("n") / PART).cast("int")
+    found = stored(
+        many.join(once, ["f", "h"])
+        .withColumn("block", F.pmod(F.xxhash64("key", F.lit(2)), parts).cast("int"))
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), parts - 1)))
+        .select(
+            "f", "h", F.least("block", "_other").alias("low"), F.greatest("block", "_other").alias("high"), "block", "key", "class"
+        ),
+        "mixed",
+    )
+    whole = found.join(sketches, "key").join(texts, "key")
+    return whole.groupBy("f", "h", "low", "high").applyInArrow(_searched, "a binary, b binary")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, key (of the text; null for a null text) and class_id for each row of docs."""
     rows = docs.select(
@@ -266,9 +341,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     members = vertices.select(F.posexplode("sketch").alias("f", "h"), "key")
     centres = members.groupBy("f", "h").agg(F.min("key").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = stored(members.join(centres, ["f", "h"]), "met")
     links = (
-        members.join(centres.select("f", "h", "centre"), ["f", "h"])
-        .where("key <> centre")
+        met.where("key <> centre")
         .select(F.col("key").alias("a"), F.col("centre").alias("b"))
         .distinct()
     )
@@ -281,8 +356,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .where(F.col("agree") >= AGREE).select("a", "b", "agree"),
         "links",
     )
-    # one row for each text that has a link, with the text
-    linked = links.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    # one row for each text that shares a bucket, with the text
+    linked = met.select("key").distinct()
     linked = linked.join(vertices.select("key", F.col("doc_id").alias("_d")), "key")
     texts = stored(
         rows.select("key", "doc_id", "text").join(linked, "key").where(F.col("doc_id").eqNullSafe(F.col("_d")))
@@ -317,6 +392,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = stored(components(sure), "groups")
     rest = between(rest.select("a", "b", "agree").join(tried, ["a", "b"], "left_anti"), groups)
     sure = sure.unionByName(verify(rest))
+    sure = sure.unionByName(stored(within_buckets(met, groups, texts, vertices.select("key", "sketch")), "searched"))
     leaders = components(sure).select("key", F.col("group").alias("leader"))
     named = vertices.select("key", "doc_id").join(leaders, "key", "left").withColumn("leader", F.coalesce("leader", "key"))
     names = named.groupBy("leader").agg(F.min("doc_id").alias("class_id"))
