@@ -1,6 +1,6 @@
 """Near-duplicate classes by Order MinHash, verified by banded alignment.
 
-A text's k-mers are its runs of five words (all words, if it has fewer), each labelled with how often it occurred
+A text's k-mers are its runs of K words (all words, if it has fewer), each labelled with how often it occurred
 before. Each of FUNCTIONS hash functions takes the two k-mers with the smallest hashes and keeps them in the order of
 the text; so two texts agree in a function with a probability that falls with their edit distance, and moved text
 counts as different. Classes are made in five steps.
@@ -8,8 +8,8 @@ counts as different. Classes are made in five steps.
 1. Equal texts are one vertex, known by 16 bytes of MD5.
 2. In each function, texts with the same pair meet in a bucket; each is linked to the bucket's centre, the member with
    the smallest key, which partial aggregation finds without gathering a bucket anywhere.
-3. Links whose two sketches agree in fewer than AGREE functions are dropped. The others are the candidates; their
-   number grows with the texts, not with the square of a bucket.
+3. All links are candidates, also those whose sketches agree in one function only. Their number grows with the texts,
+   not with the square of a bucket.
 4. Candidates are verified by edit distance of words, aligned only within the band that SIMILARITY allows. First each
    text's best link; then, between classes found so far, the best link of each pair of classes; then all links between
    different classes that are left. Links within a class need no verification, so a large group of copies costs about
@@ -21,7 +21,8 @@ counts as different. Classes are made in five steps.
 
 SIMILARITY is 1 - distance / words of the longer text. Words are lower-cased runs of letters and digits. Texts without
 words are only equal to equal texts; a null text is in a class of its own row. A class is named by its smallest doc_id;
-null doc_ids count in no class's name. Texts of five to nine words have few k-mers, and a change may leave none.
+null doc_ids count in no class's name. Texts of five to nine words have few k-mers, and a change may leave none. Pairs
+that meet in no bucket are not found; README.md has the share of pairs that meet, by similarity and length.
 """
 
 from __future__ import annotations
@@ -36,11 +37,11 @@ from pyspark.sql import functions as F
 
 from boxwright.llm.common import drop_stored, stored, text_key, words_of
 
-K = 5
+#: With k-mers of three words, scattered changes down to SIMILARITY leave enough of them for nearly all pairs to meet.
+K = 3
 #: Texts of a bucket that are searched at once are at most about twice as many.
 PART = 1000
 FUNCTIONS = 40
-AGREE = 3
 SIMILARITY = 0.8
 
 _rng = np.random.default_rng(20240501)
@@ -292,8 +293,15 @@ def _searched(found: pa.Table) -> pa.Table:
             near = near[np.abs(size[near] - size[a]) <= np.floor((1 - SIMILARITY) * longer + 1e-9)]
             near = near[(own[near] != own[a]) & ((block[near] != block[a]) | (not two))]
             near = near[~(earlier[near] == earlier[a]).any(1)]
+            if not len(near):
+                continue
+            # the words that each text shares with a, counted for all at once: the same bound as in similar()
+            shared = np.bincount(np.concatenate([ordered[start[t] : start[t + 1]] for t in mine]), minlength=len(words))[near]
+            longer = np.maximum(size[near], size[a])
+            near = near[longer - shared <= np.floor((1 - SIMILARITY) * longer + 1e-9)]
             for b in near.tolist():
-                if own[b] != own[a] and similar(words[a], words[b]):
+                most = allowed(size[a], size[b])
+                if own[b] != own[a] and edit_distance(words[a], words[b], most) <= most:
                     links.append((keys[a], keys[b]))
                     own[own == own[b]] = own[a]
     if not links:
@@ -352,10 +360,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x
     )
     links = stored(
-        links.join(sketches("a"), "a").join(sketches("b"), "b").withColumn("agree", agree)
-        .where(F.col("agree") >= AGREE).select("a", "b", "agree"),
-        "links",
-    )
+        links.join(sketches("a"), "a").join(sketches("b"), "b").withColumn("agree", agree).select("a", "b", "agree"), "links"
+    )
     # one row for each text that shares a bucket, with the text
     linked = met.select("key").distinct()
     linked = linked.join(vertices.select("key", F.col("doc_id").alias("_d")), "key")
