@@ -46,7 +46,8 @@ class Limits:
     least_words: int = 10
     repeat_percent: int = 20
     class_distance: float = 0.18
-    word_distance: float = 0.75
+    #: Common words are under a fifth of usual text, so a text without any is only about 0.3 away from its reference.
+    word_distance: float = 0.25
     class_least_chars: int = 200
     word_least_words: int = 50
     common: dict[str, list[str]] = field(default_factory=lambda: COMMON_WORDS)

@@ -1,11 +1,15 @@
 """Small inputs on which the operators once did less than the whole job."""
 
+import os
 import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from boxwright.llm import order_minhash
+from boxwright.llm import divergence, order_minhash
+
+SF = "/root/testdata/sf0.001"
 
 
 def own_words(rng, n, kind):
@@ -49,3 +53,20 @@ def test_scattered_changes(spark):
     found = sum(got[2 * k] == got[2 * k + 1] for k in range(120))
     print("found", found, "of 120")
     assert found >= 117
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_wrong_language_and_no_common_words(spark):
+    """Usual letters and punctuation, but the words of another language or none of the common ones."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    shift = F.when(F.col("lang") == "en", "de").otherwise("en")
+    wrong = docs.where("lang in ('de', 'es', 'fr')").limit(12).select(F.col("doc_id") + 10**9, "text", shift.alias("lang"))
+    rng = random.Random(5)
+    bare = [(2 * 10**9 + k, " ".join(rng.choice(["river", "stone", "walks", "green", "light", "old"]) + "aeiounst"[rng.randrange(8)] + "lmnrst"[rng.randrange(6)] for _ in range(150)) + ".", "en") for k in range(5)]
+    rows = docs.unionByName(wrong.toDF("doc_id", "text", "lang")).unionByName(spark.createDataFrame(bare, docs.schema))
+    got = {r.doc_id: r for r in divergence.judge(rows).collect()}
+    odd = [r for k, r in got.items() if k >= 10**9 and r.word_distance is not None]
+    assert len(odd) >= 10 and not any(r.kept for r in odd), odd
+    assert all(r.class_distance < divergence.Limits().class_distance for k, r in got.items() if k >= 2 * 10**9)
+    usual = [r for k, r in got.items() if k < 10**9 and not r.base_failed]
+    assert sum(r.kept for r in usual) > 0.8 * len(usual)
