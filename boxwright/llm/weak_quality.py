@@ -6,8 +6,8 @@ It needs only how often each pattern of votes occurs, so the corpus is read once
 4 ** labellers counts reach the driver.
 
 The posterior of a text's votes is its label for a linear scorer over hashed byte n-grams (1 to 4 bytes, and the same
-of character classes), fitted on the driver to a bounded sample: at most MOST_TEXTS texts, those with the smallest
-hashes. The scorer then reads every whole text. A text's features are mean weights over its n-grams, so long texts are
+of character classes), fitted on the driver to a bounded sample: at most MOST_TEXTS different texts, those with the
+smallest hashes. The scorer then reads every whole text. A text's features are mean weights over its n-grams, so long texts are
 like short ones.
 
 Null and empty texts give no votes and no features: their score is that of the scorer's bias. If all texts of the
@@ -204,10 +204,12 @@ def train(docs: DataFrame, text_col: str = "text") -> tuple[LabelModel, np.ndarr
     rows = docs.select(F.col(text_col).cast("binary").alias("text"))
     counts = rows.mapInArrow(_vote_rows, "votes binary").groupBy("votes").count().collect()  # at most 4 ** labellers
     model = LabelModel({bytes(r["votes"]): r["count"] for r in counts})
-    n = sum(r["count"] for r in counts)
-    place = F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 30))
-    chosen = rows.where(place < int(min(1.0, MOST_TEXTS / max(1, n)) * (1 << 30)))
-    sample = chosen.orderBy(place).limit(MOST_TEXTS).mapInArrow(_sample_rows, "numbers binary, shares binary, votes binary")
+    # copies of a text are one text of the sample, so that no group of them can fill it
+    hashed = rows.withColumn("hash", F.xxhash64("text", F.lit(5)))
+    n = hashed.agg(F.approx_count_distinct("hash", 0.02)).first()[0]
+    place = F.pmod("hash", F.lit(1 << 30))
+    chosen = hashed.where(place < int(min(1.0, 1.2 * MOST_TEXTS / max(1, n)) * (1 << 30))).dropDuplicates(["hash"])
+    sample = chosen.orderBy(place, "hash").limit(MOST_TEXTS).select("text").mapInArrow(_sample_rows, "numbers binary, shares binary, votes binary")
     found = sample.collect()
     features = [(np.frombuffer(r["numbers"], np.int32), np.frombuffer(r["shares"], np.float32)) for r in found]
     good = np.array([model.posterior(bytes(r["votes"])) for r in found])

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from boxwright.llm import divergence, order_minhash
+from boxwright.llm import divergence, order_minhash, weak_quality
 
 SF = "/root/testdata/sf0.001"
 
@@ -70,3 +70,17 @@ def test_wrong_language_and_no_common_words(spark):
     assert all(r.class_distance < divergence.Limits().class_distance for k, r in got.items() if k >= 2 * 10**9)
     usual = [r for k, r in got.items() if k < 10**9 and not r.base_failed]
     assert sum(r.kept for r in usual) > 0.8 * len(usual)
+
+
+def test_copies_do_not_fill_the_sample(spark, monkeypatch):
+    """600 copies of the text with the smallest hash, and 400 other texts."""
+    rng = random.Random(6)
+    texts = spark.createDataFrame([(" ".join(own_words(rng, 30, "w")),) for _ in range(401)], "text string")
+    place = F.pmod(F.xxhash64(F.col("text").cast("binary"), F.lit(5)), F.lit(1 << 30))
+    texts = [r.text for r in texts.orderBy(place).collect()]
+    docs = spark.createDataFrame([(t,) for t in texts[:1] * 600 + texts[1:]], "text string")
+    seen = []
+    monkeypatch.setattr(weak_quality, "MOST_TEXTS", 50)
+    monkeypatch.setattr(weak_quality, "fit_scorer", lambda rows, good: seen.extend(rows) or (np.zeros(weak_quality.SPACE), 0.0))
+    weak_quality.train(docs)
+    assert len(seen) == len({r[0].tobytes() for r in seen}) and len(seen) >= 40
