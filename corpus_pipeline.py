@@ -57,7 +57,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("token ids", packed),
 ]
 
-#: Models, sketches and tokenisers have no counterpart in SQL; tests compare the stages with brute force.
+#: Models, sketches and tokenisers have no counterpart in SQL. Tests compare parts of operators 2, 3, 4, 7, 9 and 10 with
+#: brute force; of the pipeline itself they only check that three documents are dropped from about 30 rows.
 ORACLE_SQL: str | None = None
 
 
