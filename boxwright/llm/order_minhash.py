@@ -7,28 +7,31 @@ counts as different. Classes are made in five steps.
 
 1. Equal texts are one vertex, known by 16 bytes of MD5.
 2. In each function, texts with the same pair meet in a bucket; each is linked to the bucket's centre, the member with
-   the smallest key, which partial aggregation finds without gathering a bucket anywhere.
-3. All links are candidates, also those whose sketches agree in one function only. Their number grows with the texts,
-   not with the square of a bucket.
-4. Candidates are verified by edit distance of words, aligned only within the band that SIMILARITY allows. First each
-   text's best link; then, between classes found so far, the best link of each pair of classes; then all links between
-   different classes that are left. Links within a class need no verification, so a large group of copies costs about
-   one alignment a text, and no candidate is passed over.
-   A bucket that still holds several classes is then searched for all its pairs of different classes, as neither of
-   two similar texts need be its centre: an index of the bucket's rarest words gives the pairs that can be similar,
-   without loss, and they are aligned in place. Buckets of more than PART texts are searched in pairs of parts.
+   the smallest key, which partial aggregation finds without gathering a bucket anywhere. Texts of up to SHORT words,
+   of which a change may leave no k-mer, also meet under what is left of them without as many words as may differ, so
+   that no similar pair of short texts is missed.
+3. Each text's best link is verified by edit distance of words, aligned only within the band that SIMILARITY allows.
+   A large group of copies costs about one alignment a text.
+4. A bucket that then still holds several classes is searched for all its pairs of different classes, as neither of
+   two similar texts need be its centre: an index of the rarest word pairs of its texts and a count of shared words
+   leave out only pairs that can't be similar. The search is split by length, and into pairs of parts of at most PART
+   texts and PART_WORDS words. Of the pairs left, first the best of each two classes is verified, then all others whose
+   classes still differ. Links within a class need no verification; no pair that meets in a bucket is passed over.
 5. Classes are the connected components of verified links, by label propagation with tables in the shared folder.
 
 SIMILARITY is 1 - distance / words of the longer text. Words are lower-cased runs of letters and digits. Texts without
 words are only equal to equal texts; a null text is in a class of its own row. A class is named by its smallest doc_id;
-null doc_ids count in no class's name. Texts of five to nine words have few k-mers, and a change may leave none. Pairs
-that meet in no bucket are not found; README.md has the share of pairs that meet, by similarity and length.
+null doc_ids count in no class's name. Repeated rows are rows of one class. An empty table gives an empty result; other
+columns are ignored, whatever their names. Whole texts are aligned, however long they are: time grows with length times
+allowed distance. Pairs that meet in no bucket are not found; README.md has the share of pairs that meet, by similarity
+and length. A bucket of n texts that stays mixed costs about n * n / PART rows of the search.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -39,10 +42,13 @@ from boxwright.llm.common import drop_stored, stored, text_key, words_of
 
 #: With k-mers of three words, scattered changes down to SIMILARITY leave enough of them for nearly all pairs to meet.
 K = 3
-#: Texts of a bucket that are searched at once are at most about twice as many.
-PART = 1000
 FUNCTIONS = 40
 SIMILARITY = 0.8
+#: Texts of so many words or fewer also meet by what is left of them without some words.
+SHORT = 14
+#: Texts and words of one part of a bucket that is searched; two parts meet in a task.
+PART = 2000
+PART_WORDS = 1_500_000
 
 _rng = np.random.default_rng(20240501)
 _XOR = _rng.integers(0, 1 << 63, FUNCTIONS, dtype=np.uint64)[:, None]
@@ -99,6 +105,22 @@ def sketch(words: np.ndarray) -> np.ndarray:
     return out
 
 
+def remainders(words: np.ndarray) -> np.ndarray:
+    """Hashes of what is left of a short text without any allowed() words or fewer: similar short texts share one."""
+    n = len(words)
+    if n > SHORT:
+        return np.zeros(0, np.uint64)
+    out = set()
+    for left_out in range(allowed(n, n) + 1):
+        for gone in combinations(range(n), left_out):
+            h = 0
+            for k, w in enumerate(words.tolist()):
+                if k not in gone:
+                    h = (h * 0x100000001B3 + w + 1) % (1 << 64)
+            out.add(h)
+    return mixed(np.array(sorted(out), np.uint64))
+
+
 def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     """Edit distance of two arrays if it is at most `most`, else most + 1.
 
@@ -194,26 +216,34 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (key, doc_id, text) to (key, doc_id, sketch); an empty sketch if there is no word."""
+    """From (key, doc_id, text) to (key, doc_id, sketch, words): FUNCTIONS hashes, after them the remainders of a short text.
+
+    An empty sketch if there is no word.
+    """
     hashes = _Hashes()
     for batch in batches:
-        out, ends = [], [0]
+        out, ends, sizes = [], [0], []
         for text in batch.column(2):
             words = words_of(text.as_py())
             if words:
                 with np.errstate(over="ignore"):
-                    out.append(sketch(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))))
-            ends.append(ends[-1] + (FUNCTIONS if words else 0))
+                    numbers = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+                    out += [sketch(numbers), remainders(numbers)]
+            ends.append(ends[-1] + (len(out[-1]) + FUNCTIONS if words else 0))
+            sizes.append(len(words))
         flat = np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
         made = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), made], names=["key", "doc_id", "sketch"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), made, pa.array(sizes, pa.int32())], names=["key", "doc_id", "sketch", "words"]
+        )
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(key, group): the smallest key of each vertex's connected component. edges: a, b; each undirected link once.
+    """A stored table of (key, group): the smallest key of each vertex's connected component. edges: a, b; each undirected link once.
 
     Each round links every vertex's neighbours to the smallest of them (large star), then the smaller ones (small star);
-    ends when nothing changes. Each round is a table in the shared folder.
+    ends when nothing changes, which takes about the logarithm of the longest path. Each round is a table in the shared
+    folder. Raises if it hasn't ended after so many rounds.
     """
     now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     now = stored(now, "links")
@@ -240,8 +270,12 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         now = small
         if not changed:
             break
+    else:
+        raise RuntimeError(f"the components are not complete after {rounds} rounds")
     roots = now.select(F.col("b").alias("key"), F.col("b").alias("group")).distinct()
-    return now.select(F.col("a").alias("key"), F.col("b").alias("group")).unionByName(roots)
+    out = stored(now.select(F.col("a").alias("key"), F.col("b").alias("group")).unionByName(roots), "groups")
+    drop_stored(now)
+    return out
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,120 +290,209 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
 
-def _searched(found: pa.Table) -> pa.Table:
-    """Similar texts of different classes in a part of a bucket, or in two of its parts: links (a, b).
+def _numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (key, text) to (key, 32-bit hashes of the words)."""
+    hashes = _Hashes()
+    for batch in batches:
+        made = []
+        for text in batch.column(1):
+            words = words_of(text.as_py())
+            made.append(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)).astype(np.uint32).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["key", "numbers"])
+
+
+def _tokens(owner: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Numbers from 0 on of the different (hash, how often it occurred before in its text)."""
+    order = np.lexsort((h, owner))
+    o, x = owner[order], h[order]
+    place = np.arange(len(h))
+    first = np.ones(len(h), bool)
+    first[1:] = (o[1:] != o[:-1]) | (x[1:] != x[:-1])
+    label = np.empty(len(h), np.uint64)
+    label[order] = place - np.maximum.accumulate(np.where(first, place, 0))
+    return np.unique(mixed(h + label * _LABEL), return_inverse=True)[1]
+
 
-    found: f, low, high, block, key, class, sketch, text. Only links that join classes are returned; a pair that
-    meets in a function before f too is left to that one's bucket.
+def _most(n: np.ndarray) -> np.ndarray:
+    """allowed() for texts of which the longer has n words."""
+    return np.floor((1 - SIMILARITY) * n + 1e-9).astype(np.int64)
+
+
+def _steps(weights: np.ndarray, most: int = 1 << 21) -> Iterator[slice]:
+    """Slices of about `most` in weight."""
+    ends = np.cumsum(weights)
+    at = 0
+    while at < len(weights):
+        upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right"))
+        upto = max(upto, at + 1)
+        yield slice(at, upto)
+        at = upto
+
+
+def close_pairs(texts: list[np.ndarray], own: np.ndarray, block: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of texts of different classes that can be similar, and the words they share.
+
+    texts: 32-bit hashes of words; own: classes as numbers; block: parts, if only pairs of different parts are wanted.
+    An edit touches two pairs of neighbouring words, so similar texts share one of their 2 * allowed() + 1 pairs that
+    are rarest here; and they share all but allowed() words.
     """
-    keys, classes = found.column("key").to_pylist(), found.column("class").to_pylist()
-    none = pa.table({"a": pa.array([], pa.binary()), "b": pa.array([], pa.binary())})
-    if len(set(classes)) < 2:
-        return none
-    f, two = found.column("f")[0].as_py(), found.column("low")[0].as_py() != found.column("high")[0].as_py()
-    block = np.array(found.column("block").to_pylist())
-    earlier = np.array(found.column("sketch").to_pylist(), np.int64)[:, :f]
-    hashes = _Hashes()
-    words = [words_of(t.as_py()) for t in found.column("text")]
-    words = [np.fromiter(map(hashes.__getitem__, w), np.uint64, len(w)) for w in words]
-    size = np.array([len(w) for w in words])
-    number = {c: k for k, c in enumerate(dict.fromkeys(classes))}
-    own = np.array([number[c] for c in classes])
-    links = []
+    none = (np.zeros(0, np.int64),) * 3
+    size = np.array([len(w) for w in texts])
+    most = _most(size)
+    words = np.concatenate(texts).astype(np.uint64)
+    owner = np.repeat(np.arange(len(texts)), size)
     with np.errstate(over="ignore"):
-        _, token = np.unique(np.concatenate([labelled(w) for w in words]), return_inverse=True)
-        owner = np.repeat(np.arange(len(words)), size)
-        often = np.bincount(token)
-        ordered = owner[np.argsort(token, kind="stable")]
-        start = np.concatenate([[0], np.cumsum(often)])
-        ends = np.cumsum(size)
-        # texts of the largest class need not look for each other; the others look for all
-        for a in np.flatnonzero(own != np.bincount(own).argmax()).tolist():
-            # a similar text lacks at most allowed() of a's words, so it has one of any allowed() + 1 of them
-            mine = token[ends[a] - size[a] : ends[a]]
-            rare = mine[np.argsort(often[mine], kind="stable")[: allowed(size[a], size[a]) + 1]]
-            near = np.unique(np.concatenate([ordered[start[t] : start[t + 1]] for t in rare]))
-            longer = np.maximum(size[near], size[a])
-            near = near[np.abs(size[near] - size[a]) <= np.floor((1 - SIMILARITY) * longer + 1e-9)]
-            near = near[(own[near] != own[a]) & ((block[near] != block[a]) | (not two))]
-            near = near[~(earlier[near] == earlier[a]).any(1)]
-            if not len(near):
-                continue
-            # the words that each text shares with a, counted for all at once: the same bound as in similar()
-            shared = np.bincount(np.concatenate([ordered[start[t] : start[t + 1]] for t in mine]), minlength=len(words))[near]
-            longer = np.maximum(size[near], size[a])
-            near = near[longer - shared <= np.floor((1 - SIMILARITY) * longer + 1e-9)]
-            for b in near.tolist():
-                most = allowed(size[a], size[b])
-                if own[b] != own[a] and edit_distance(words[a], words[b], most) <= most:
-                    links.append((keys[a], keys[b]))
-                    own[own == own[b]] = own[a]
-    if not links:
+        inner = np.flatnonzero(owner[1:] == owner[:-1])
+        pair_owner = owner[inner]
+        pair = _tokens(pair_owner, mixed(words[inner] * np.uint64(_PLACE[0]) + words[inner + 1]))
+        word = _tokens(owner, mixed(words))
+    often = np.bincount(pair)
+    order = np.lexsort((pair, often[pair], pair_owner))
+    o, p = pair_owner[order], pair[order]
+    start = np.searchsorted(o, np.arange(len(texts)))
+    rank = np.arange(len(o)) - start[o]
+    keep = (rank <= 2 * most[o] + 1) & (often[p] > 1)
+    # postings by pair, and there by class; members of a pair's largest class need not look for each other
+    o, p = o[keep], p[keep]
+    # texts of one word or none have no pairs, and are similar to texts of the same words only
+    order = np.lexsort((own[o], p))
+    o, p = o[order], p[order]
+    if not len(o):
         return none
-    return pa.table({"a": pa.array([x[0] for x in links], pa.binary()), "b": pa.array([x[1] for x in links], pa.binary())})
+    run = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
+    part = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (own[o][1:] != own[o][:-1])]))
+    n_run, n_part = np.diff(np.append(run, len(p))), np.diff(np.append(part, len(p)))
+    run_of = np.repeat(np.arange(len(run)), n_run)
+    part_run = run_of[part]
+    best = np.lexsort((n_part, part_run))
+    largest = best[np.append(np.flatnonzero(np.diff(part_run[best])), len(best) - 1)]
+    seeks = np.ones(len(p), bool)
+    for a, n in zip(part[largest].tolist(), n_part[largest].tolist(), strict=True):
+        seeks[a : a + n] = False
+    seekers = np.flatnonzero(seeks)
+    found = [np.zeros(0, np.int64)]
+    for s in _steps(n_run[run_of[seekers]]):
+        at = seekers[s]
+        n, a = n_run[run_of[at]], run[run_of[at]]
+        one = np.repeat(o[at], n)
+        other = o[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)]
+        longer = np.maximum(size[one], size[other])
+        ok = (own[one] != own[other]) & (np.abs(size[one] - size[other]) <= _most(longer))
+        if block is not None:
+            ok &= block[one] != block[other]
+        one, other = one[ok], other[ok]
+        found.append(np.unique(np.minimum(one, other) * len(texts) + np.maximum(one, other)))
+        if sum(map(len, found)) > 1 << 23:
+            found = [np.unique(np.concatenate(found))]
+    code = np.unique(np.concatenate(found))
+    one, other = code // len(texts), code % len(texts)
+    # words that both have: those of the first, looked up among those of the second
+    n_words = int(word.max()) + 1
+    has = np.sort(owner * n_words + word)
+    first = np.concatenate([[0], np.cumsum(size)])
+    shared = np.zeros(len(code), np.int64)
+    for s in _steps(size[one]):
+        n = size[one[s]]
+        mine = word[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[one[s]], n)]
+        want = np.repeat(other[s], n) * n_words + mine
+        at = np.minimum(np.searchsorted(has, want), len(has) - 1)
+        shared[s] = np.bincount(np.repeat(np.arange(len(n)), n), has[at] == want, len(n)).astype(np.int64)
+    longer = np.maximum(size[one], size[other])
+    ok = longer - shared <= _most(longer)
+    return one[ok], other[ok], shared[ok]
 
 
-def within_buckets(met: DataFrame, groups: DataFrame, texts: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Links between different classes of a bucket. met: f, h, key, n; groups: key, group; sketches: key, sketch."""
+def _searched(found: pa.Table) -> pa.Table:
+    """Texts of different classes in a part of a bucket, or in two of its parts, that can be similar: a, b, agree.
+
+    found: low, high, block, key, class, numbers.
+    """
+    classes = found.column("class").to_pylist()
+    number = {c: k for k, c in enumerate(dict.fromkeys(classes))}
+    one, other, shared = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if len(number) > 1:
+        two = found.column("low")[0].as_py() != found.column("high")[0].as_py()
+        block = np.array(found.column("block").to_pylist()) if two else None
+        texts = [np.frombuffer(x.as_py(), np.uint32) for x in found.column("numbers")]
+        one, other, shared = close_pairs(texts, np.array([number[c] for c in classes]), block)
+    key = found.column("key").combine_chunks()
+    return pa.table({"a": key.take(pa.array(one)), "b": key.take(pa.array(other)), "agree": pa.array(shared, pa.int64())})
+
+
+def within_buckets(met: DataFrame, groups: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b, agree: pairs of different classes of a bucket that can be similar. met: f, h, key, n, words."""
     # in a bucket of two the centre's link is the only pair
     many = met.where("n > 2").join(groups, "key", "left").withColumn("class", F.coalesce("group", "key"))
+    many = stored(many.select("f", "h", "key", "words", "class"), "many")
     mixed_ = many.groupBy("f", "h").agg(
         F.min("class").alias("_low"), F.max("class").alias("_high"), F.count(F.lit(1)).alias("_n"),
         F.bit_xor(F.xxhash64("key")).alias("_x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("_y"),
     ).where("_low <> _high")
     # buckets of the same texts are searched once, in their first function
     once = mixed_.groupBy("_n", "_x", "_y").agg(F.min(F.struct("f", "h")).alias("_q")).select("_q.f", "_q.h")
-    parts = F.ceil(F.col("n") / PART).cast("int")
+    once = stored(once, "mixed")
+    # similar texts are in one band of length or in neighbouring ones: each text looks in its own and in the one above
+    band = F.floor(F.log(F.greatest("words", F.lit(1))) / F.log(F.lit(1 / SIMILARITY)) + 1e-9).cast("int")
+    there = many.join(once, ["f", "h"]).withColumn("band", F.explode(F.array(band, band + 1)))
+    sizes = there.groupBy("f", "h", "band").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("words").alias("_w"), F.min("class").alias("_low"), F.max("class").alias("_high")
+    )
+    parts = F.greatest(F.ceil(F.col("_n") / PART), F.ceil(F.col("_w") / PART_WORDS)).cast("int")
+    sizes = stored(sizes.where("_low <> _high").select("f", "h", "band", parts.alias("parts")), "bands")
     found = stored(
-        many.join(once, ["f", "h"])
-        .withColumn("block", F.pmod(F.xxhash64("key", F.lit(2)), parts).cast("int"))
-        .withColumn("_other", F.explode(F.sequence(F.lit(0), parts - 1)))
+        there.join(sizes, ["f", "h", "band"])
+        .withColumn("block", F.pmod(F.xxhash64("key", F.lit(2)), "parts").cast("int"))
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select(
-            "f", "h", F.least("block", "_other").alias("low"), F.greatest("block", "_other").alias("high"), "block", "key", "class"
+            "f", "h", "band", F.least("block", "_other").alias("low"), F.greatest("block", "_other").alias("high"), "block",
+            "key", "class",
         ),
-        "mixed",
+        "search",
     )
-    whole = found.join(sketches, "key").join(texts, "key")
-    return whole.groupBy("f", "h", "low", "high").applyInArrow(_searched, "a binary, b binary")
+    numbers = texts.join(found.select("key").distinct(), "key", "left_semi").select("key", "text")
+    numbers = stored(numbers.mapInArrow(_numbers, "key binary, numbers binary"), "numbers")
+    out = found.join(numbers, "key").groupBy("f", "h", "band", "low", "high").applyInArrow(
+        _searched, "a binary, b binary, agree long"
+    )
+    # a pair may meet in several buckets
+    out = stored(out.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("agree").alias("agree")), "close")
+    for t in (many, once, sizes, found, numbers):
+        drop_stored(t)
+    return out
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, key (of the text; null for a null text) and class_id for each row of docs."""
+def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each different text of docs: key, class_id (null if the class has no doc_id), and chosen.
+
+    chosen: is it the text of its class with the smallest doc_id (of equal doc_ids, the one with the smallest key)?
+    """
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         text_key(F.col(text_col)).alias("key"),
         F.col(text_col).cast("binary").alias("text"),
     )
     made = rows.where("key is not null").select("key", "doc_id", "text").mapInArrow(
-        _sketches, "key binary, doc_id long, sketch array<long>"
+        _sketches, "key binary, doc_id long, sketch array<long>, words int"
     )
     # a vertex for each different text; partial aggregation leaves one row for each task that has the text
     vertices = stored(
-        made.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch")), "vertices"
+        made.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"), F.first("words").alias("words")),
+        "vertices",
     )
-    members = vertices.select(F.posexplode("sketch").alias("f", "h"), "key")
+    members = vertices.select(F.posexplode("sketch").alias("f", "h"), "key", "words")
+    members = members.withColumn("f", F.least("f", F.lit(FUNCTIONS)))
     centres = members.groupBy("f", "h").agg(F.min("key").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    centres = stored(centres, "centres")
     met = stored(members.join(centres, ["f", "h"]), "met")
-    links = (
-        met.where("key <> centre")
-        .select(F.col("key").alias("a"), F.col("centre").alias("b"))
-        .distinct()
-    )
-    sketches = lambda v: vertices.select(F.col("key").alias(v), F.col("sketch").alias(f"s{v}"))
-    agree = F.aggregate(
-        F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x
-    )
-    links = stored(
-        links.join(sketches("a"), "a").join(sketches("b"), "b").withColumn("agree", agree).select("a", "b", "agree"), "links"
+    links = met.where("key <> centre").groupBy(F.col("key").alias("a"), F.col("centre").alias("b")).agg(
+        F.count(F.lit(1)).alias("agree"), F.min("n").alias("n")
     )
+    links = stored(links, "links")
     # one row for each text that shares a bucket, with the text
-    linked = met.select("key").distinct()
-    linked = linked.join(vertices.select("key", F.col("doc_id").alias("_d")), "key")
-    texts = stored(
-        rows.select("key", "doc_id", "text").join(linked, "key").where(F.col("doc_id").eqNullSafe(F.col("_d")))
-        .select("key", "text").dropDuplicates(["key"]),
-        "texts",
-    )
+    linked = met.select(F.col("key").alias("_key")).distinct()
+    linked = linked.join(vertices.select(F.col("key").alias("_key"), F.col("doc_id").alias("_d")), "_key")
+    same = (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_d"))
+    texts = stored(rows.join(linked, same).select("key", "text").dropDuplicates(["key"]), "texts")
 
     def verify(some: DataFrame) -> DataFrame:
         of = lambda v: texts.select(F.col("key").alias(v), F.col("text").alias(f"t{v}"))
@@ -377,11 +500,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         # alignments are the work, not bytes: so dealt evenly, whatever their size
         return stored(whole.repartition("a", "b").mapInArrow(_verified, "a binary, b binary"), "verified")
 
-    best = links.groupBy("a").agg(F.max_by(F.struct("b", "agree"), F.struct("agree", "b")).alias("x"))
-    sure = verify(best.select("a", "x.b"))
-    tried = best.select("a", "x.b")
-    groups = stored(components(sure), "groups")
-
     def between(left: DataFrame, groups: DataFrame) -> DataFrame:
         """Links between different classes, with the classes ga and gb."""
         own = lambda v: groups.select(F.col("key").alias(v), F.col("group").alias(f"g{v}"))
@@ -389,22 +507,57 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         named = named.withColumns({f"g{v}": F.coalesce(f"g{v}", v) for v in ("a", "b")})
         return named.where("ga <> gb")
 
-    rest = stored(between(links.join(tried, ["a", "b"], "left_anti"), groups), "rest")
+    best = links.groupBy("a").agg(F.max_by("b", F.struct("agree", "b")).alias("b"))
+    first = verify(best)
+    groups = components(first)
+    # links to the centre of a larger bucket are among the pairs that its search finds
+    rest = links.where("n = 2").select("a", "b", "agree").unionByName(within_buckets(met, groups, texts))
+    rest = stored(between(rest, groups), "rest")
     pairs = rest.groupBy(F.least("ga", "gb").alias("low"), F.greatest("ga", "gb").alias("high")).agg(
         F.max_by(F.struct("a", "b"), F.struct("agree", "a", "b")).alias("x")
     )
     tried = stored(pairs.select("x.a", "x.b"), "tried")
-    sure = stored(sure.unionByName(verify(tried)), "sure")
-    groups = stored(components(sure), "groups")
-    rest = between(rest.select("a", "b", "agree").join(tried, ["a", "b"], "left_anti"), groups)
-    sure = sure.unionByName(verify(rest))
-    sure = sure.unionByName(stored(within_buckets(met, groups, texts, vertices.select("key", "sketch")), "searched"))
-    leaders = components(sure).select("key", F.col("group").alias("leader"))
+    second = verify(tried)
+    sure = first.unionByName(second)
+    drop_stored(groups)
+    groups = components(sure)
+    third = verify(between(rest.select("a", "b", "agree").join(tried, ["a", "b"], "left_anti"), groups))
+    drop_stored(groups)
+    groups = components(sure.unionByName(third))
+    leaders = groups.select("key", F.col("group").alias("leader"))
     named = vertices.select("key", "doc_id").join(leaders, "key", "left").withColumn("leader", F.coalesce("leader", "key"))
-    names = named.groupBy("leader").agg(F.min("doc_id").alias("class_id"))
-    by_key = named.join(names, "leader").select(F.col("key").alias("_key"), "class_id")
-    return (
-        rows.select("doc_id", "key")
-        .join(by_key, F.col("key") == F.col("_key"), "left")
-        .select("doc_id", "key", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
-    )
+    # stored, so that a large class is no single task of the join below
+    named = stored(named, "named")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
+    names = stored(named.groupBy("leader").agg(F.min("doc_id").alias("class_id"), F.min_by("key", order).alias("_chosen")), "names")
+    out = named.join(names, "leader").select("key", "class_id", (F.col("key") == F.col("_chosen")).alias("chosen"))
+    out = stored(out, "classes")
+    for t in (vertices, centres, met, links, texts, first, second, third, tried, rest, groups, named, names):
+        drop_stored(t)
+    return out
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, key (of the text; null for a null text) and class_id for each row of docs."""
+    by_key = text_classes(docs, id_col, text_col).select(F.col("key").alias("_key"), "class_id")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(F.col(text_col)).alias("key"))
+    named = rows.where("key is not null").join(by_key, F.col("key") == F.col("_key"), "left").select("doc_id", "key", "class_id")
+    return named.unionByName(rows.where("key is null").withColumn("class_id", F.col("doc_id")))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with one row of each class: of its chosen text the row that is smallest, doc_id first.
+
+    Rows with a null text all stay. Rows are told apart by their texts, so null and repeated doc_ids do no harm.
+    """
+    classes = text_classes(docs, id_col, text_col)
+    keyed = docs.withColumn("_key", text_key(F.col(text_col)))
+    often = keyed.where("_key is not null").groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_key")
+    copied = stored(often.join(classes.where("chosen").select(F.col("key").alias("_key")), "_key", "left_semi"), "copied")
+    gone = classes.where("not chosen").select(F.col("key").alias("_key")).unionByName(copied)
+    single = keyed.join(gone, "_key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = [id_col, *[c for c in docs.columns if c not in (id_col, text_col)]]
+    order = F.struct(F.col(id_col).isNull().alias("null"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)])
+    one = keyed.join(copied, "_key", "left_semi").groupBy("_key").agg(F.min(order).alias("_row"), F.first(text_col).alias("_text"))
+    fields = {c: F.col("_row")[f"c{k}"] for k, c in enumerate(names)} | {text_col: F.col("_text")}
+    return single.unionByName(one.select(*[fields[c].alias(c) for c in docs.columns]))

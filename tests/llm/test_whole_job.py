@@ -19,7 +19,7 @@ def own_words(rng, n, kind):
 @pytest.mark.parametrize("part", [1000, 40])
 def test_copies_among_quotations(spark, monkeypatch, part):
     """Two copies of a passage, in buckets whose centre is always one of many longer texts that quote it."""
-    monkeypatch.setattr(order_minhash, "PART", part, raising=False)
+    monkeypatch.setattr(order_minhash, "PART", part)
     rng = random.Random(11)
     rows, pairs = [], []
     for p in range(3):
