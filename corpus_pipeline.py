@@ -1,6 +1,12 @@
 """The corpus pipeline: stages that each read what the stage before them kept.
 
 Quality classifier, near-duplicates, benchmark decontamination, mixing to target weights, packed token ids.
+
+No stage tells rows apart by doc_id, so null and repeated ids are rows like any other. Documents with a null text have
+no features, words or windows: the quality stage scores them like empty texts, the next two keep them if it does, the
+mix takes them once, and packing lists them without tokens. Of repeated rows, and of copies of a text, one stays. Of
+rows that tie in the mix, those with the smaller hash of text and id are taken more often. Texts are never cut. Other
+columns than those of documents are dropped at the start, whatever their names. Without rows, every stage is empty.
 """
 
 from __future__ import annotations
@@ -8,10 +14,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from boxwright.llm.common import stored, table
+from boxwright.llm.common import drop_stored, stored, table
 from boxwright.llm.mix import mix, repeated
-from boxwright.llm.order_minhash import near_duplicates
+from boxwright.llm.order_minhash import keep_one
 from boxwright.llm.phrase_index import build_index, search
 from boxwright.llm.token_pack import pack
 from boxwright.llm.weak_quality import keep_good
@@ -26,17 +33,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document with the smallest id; documents without a text stay."""
-    classes = near_duplicates(docs)
-    others = classes.where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(others, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each class of near-duplicates one row: of the text with the smallest id, the smallest row. Null texts stay."""
+    return keep_one(docs.select(*COLUMNS))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of a benchmark item."""
-    found = search(build_index(docs), table(spark, sf_dir, "benchmark"))
-    hit = found.where("n_hit > 0").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(hit, "doc_id", "left_anti").select(*COLUMNS)
+    """Documents without a window of a benchmark item. Rows are told apart by their texts, which alone decide."""
+    keyed = docs.select(*COLUMNS).withColumn("_key", F.xxhash64("text"))
+    index = build_index(keyed, id_col="_key")
+    hit = stored(search(index, table(spark, sf_dir, "benchmark")).where("n_hit > 0").select(F.col("doc_id").alias("_key")).distinct(), "hit")
+    drop_stored(index)
+    return keyed.join(hit, "_key", "left_anti").select(*COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
