@@ -15,8 +15,10 @@ counts as different. Classes are made in five steps.
 4. A bucket that then still holds several classes is searched for all its pairs of different classes, as neither of
    two similar texts need be its centre: an index of the rarest word pairs of its texts and a count of shared words
    leave out only pairs that can't be similar. The search is split by length, and into pairs of parts of at most PART
-   texts and PART_WORDS words. Of the pairs left, first the best of each two classes is verified, then all others whose
-   classes still differ. Links within a class need no verification; no pair that meets in a bucket is passed over.
+   texts and PART_WORDS words; the pairs left are aligned in place, by 32-bit word hashes, until their classes are linked.
+   Links found there, and those of buckets of two texts, are verified with whole words: first the best of each two
+   classes, then all others whose classes still differ. Links within a class need no verification; no pair that meets in
+   a bucket is passed over.
 5. Classes are the connected components of verified links, by label propagation with tables in the shared folder.
 
 SIMILARITY is 1 - distance / words of the longer text. Words are lower-cased runs of letters and digits. Texts without
@@ -30,12 +32,12 @@ and length. A bucket of n texts that stays mixed costs about n * n / PART rows o
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxwright.llm.common import drop_stored, stored, text_key, words_of
@@ -46,8 +48,10 @@ FUNCTIONS = 40
 SIMILARITY = 0.8
 #: Texts of so many words or fewer also meet by what is left of them without some words.
 SHORT = 14
+#: Edits up to which an alignment follows furthest-reaching paths.
+FEW = 10
 #: Texts and words of one part of a bucket that is searched; two parts meet in a task.
-PART = 2000
+PART = 500
 PART_WORDS = 1_500_000
 
 _rng = np.random.default_rng(20240501)
@@ -121,11 +125,12 @@ def remainders(words: np.ndarray) -> np.ndarray:
     return mixed(np.array(sorted(out), np.uint64))
 
 
-def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
-    """Edit distance of two arrays if it is at most `most`, else most + 1.
+def edit_distance(a: np.ndarray, b: np.ndarray, most: int, least: int = 0) -> int:
+    """Edit distance of two arrays if it is at most `most`, else most + 1. It is known to be at least `least`.
 
     Furthest-reaching paths on the diagonals -most to most, the band: after e edits each diagonal is known by the
-    furthest place that it reaches. Equal stretches are run through at once, by binary search over prefix hashes.
+    furthest place that it reaches. Equal stretches are run through at once, by binary search over prefix hashes. That
+    is quick for few edits; for more than FEW the band is walked column by column instead.
     """
     if len(a) > len(b):
         a, b = b, a
@@ -144,6 +149,8 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     n, m = len(a), len(b)
     if not n or not m:
         return min(max(n, m), most + 1)
+    if least > FEW:
+        return banded_distance(a.tolist(), b.tolist(), most)
     base = np.uint64(0xD6E8FEB86659FD93)
     with np.errstate(over="ignore"):
         powers = np.full(m + 1, base)
@@ -171,7 +178,7 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     i = run(np.zeros(1, np.int64), d)
     if goal == 0 and i[0] >= n:
         return 0
-    for e in range(1, most + 1):
+    for e in range(1, min(most, FEW) + 1):
         lo, hi = max(-e, -n, goal - (most - e)), min(e, m, goal + (most - e))
         nd = np.arange(lo, hi + 1)
         look = np.full(2 * e + 3, -2, np.int64)  # reach of diagonals -e - 1 to e + 1 before this edit
@@ -189,7 +196,47 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
         d, i = nd, run(reach, nd)
         if lo <= goal <= hi and ((d == goal) & (i >= n)).any():
             return e
-    return most + 1
+    return banded_distance(a.tolist(), b.tolist(), most) if most > FEW else most + 1
+
+
+def banded_distance(a: list[int], b: list[int], most: int) -> int:
+    """Edit distance of two lists, b no shorter than a, if it is at most `most`, else most + 1.
+
+    A column of the alignment's table for each word of a. Of a column only the band of 2 * most + 1 rows around the
+    diagonal is kept, as the bits of two numbers: where a cell is one more, or one less, than the cell above it. Bit k
+    of column j is row j - most + k.
+    """
+    n, m = len(a), len(b)
+    most = min(most, m)
+    if m - n > most:
+        return most + 1
+    places: dict[int, int] = {}
+    for k, w in enumerate(b):
+        places[w] = places.get(w, 0) | 1 << k
+    width = 2 * most + 1
+    full = (1 << width) - 1
+    up, down = full >> most << most, 0
+    # the cell at the band's lower edge, then, once that has come to the last row, the cell of that row
+    cost, last = most, 1 << (width - 1)
+    limit = most + n - (m - most)  # in the last row the cost can fall by one a column
+    for j in range(1, n + 1):
+        equal = places.get(a[j - 1], 0)
+        shift = j - most - 1
+        equal = (equal >> shift if shift >= 0 else equal << -shift) & full
+        level = (((equal & up) + up) ^ up | equal | down) & full  # no more than the cell up and left of it
+        right = down | full ^ (level | up)
+        left = level & up
+        if j <= m - most:
+            cost += not level & last
+        else:
+            last >>= 1
+            cost += bool(right & last) - bool(left & last)
+        if cost > limit:
+            return most + 1
+        level >>= 1
+        up = left | full ^ (level | right)
+        down = level & right
+    return cost if cost <= most else most + 1
 
 
 def allowed(n: int, m: int) -> int:
@@ -212,7 +259,8 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
         return False
     both = np.concatenate([labelled(a), labelled(b)])
     shared = len(both) - len(np.unique(both))
-    return max(len(a), len(b)) - shared <= most and edit_distance(a, b, most) <= most
+    least = max(len(a), len(b)) - shared
+    return least <= most and edit_distance(a, b, most, least) <= most
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,14 +377,13 @@ def _steps(weights: np.ndarray, most: int = 1 << 21) -> Iterator[slice]:
         at = upto
 
 
-def close_pairs(texts: list[np.ndarray], own: np.ndarray, block: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def close_pairs(texts: list[np.ndarray], own: np.ndarray, wanted: Callable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of texts of different classes that can be similar, and the words they share.
 
-    texts: 32-bit hashes of words; own: classes as numbers; block: parts, if only pairs of different parts are wanted.
+    texts: 32-bit hashes of words; own: classes as numbers; wanted(one, other): which of these pairs of texts to look at.
     An edit touches two pairs of neighbouring words, so similar texts share one of their 2 * allowed() + 1 pairs that
     are rarest here; and they share all but allowed() words.
     """
-    none = (np.zeros(0, np.int64),) * 3
     size = np.array([len(w) for w in texts])
     most = _most(size)
     words = np.concatenate(texts).astype(np.uint64)
@@ -358,7 +405,7 @@ def close_pairs(texts: list[np.ndarray], own: np.ndarray, block: np.ndarray | No
     order = np.lexsort((own[o], p))
     o, p = o[order], p[order]
     if not len(o):
-        return none
+        return (np.zeros(0, np.int64),) * 3
     run = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
     part = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (own[o][1:] != own[o][:-1])]))
     n_run, n_part = np.diff(np.append(run, len(p))), np.diff(np.append(part, len(p)))
@@ -370,57 +417,83 @@ def close_pairs(texts: list[np.ndarray], own: np.ndarray, block: np.ndarray | No
     for a, n in zip(part[largest].tolist(), n_part[largest].tolist(), strict=True):
         seeks[a : a + n] = False
     seekers = np.flatnonzero(seeks)
-    found = [np.zeros(0, np.int64)]
+    met = np.zeros(len(texts) ** 2, bool)
     for s in _steps(n_run[run_of[seekers]]):
         at = seekers[s]
         n, a = n_run[run_of[at]], run[run_of[at]]
         one = np.repeat(o[at], n)
         other = o[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)]
-        longer = np.maximum(size[one], size[other])
-        ok = (own[one] != own[other]) & (np.abs(size[one] - size[other]) <= _most(longer))
-        if block is not None:
-            ok &= block[one] != block[other]
-        one, other = one[ok], other[ok]
-        found.append(np.unique(np.minimum(one, other) * len(texts) + np.maximum(one, other)))
-        if sum(map(len, found)) > 1 << 23:
-            found = [np.unique(np.concatenate(found))]
-    code = np.unique(np.concatenate(found))
-    one, other = code // len(texts), code % len(texts)
-    # words that both have: those of the first, looked up among those of the second
-    n_words = int(word.max()) + 1
-    has = np.sort(owner * n_words + word)
+        met[np.minimum(one, other) * len(texts) + np.maximum(one, other)] = True
+    one, other = np.divmod(np.flatnonzero(met), len(texts))
+    ok = (own[one] != own[other]) & (np.abs(size[one] - size[other]) <= _most(np.maximum(size[one], size[other])))
+    one, other = one[ok], other[ok]
+    ok = wanted(one, other)
+    one, other = one[ok], other[ok]
+    # words that both have: those of the second that are marked as the first's
     first = np.concatenate([[0], np.cumsum(size)])
-    shared = np.zeros(len(code), np.int64)
-    for s in _steps(size[one]):
-        n = size[one[s]]
-        mine = word[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[one[s]], n)]
-        want = np.repeat(other[s], n) * n_words + mine
-        at = np.minimum(np.searchsorted(has, want), len(has) - 1)
-        shared[s] = np.bincount(np.repeat(np.arange(len(n)), n), has[at] == want, len(n)).astype(np.int64)
+    shared = np.zeros(len(one), np.int64)
+    marked = np.zeros(int(word.max()) + 1, bool)
+    edge = np.append(np.flatnonzero(np.diff(one, prepend=-1)), len(one)).tolist()
+    for a, b in zip(edge, edge[1:], strict=False):
+        mine = word[first[one[a]] : first[one[a] + 1]]
+        marked[mine] = True
+        for s in _steps(size[other[a:b]]):
+            their = other[a:b][s]
+            n = size[their]
+            places = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[their], n)
+            shared[a:b][s] = np.add.reduceat(marked[word[places]], np.cumsum(n) - n, dtype=np.int64)
+        marked[mine] = False
     longer = np.maximum(size[one], size[other])
     ok = longer - shared <= _most(longer)
     return one[ok], other[ok], shared[ok]
 
 
 def _searched(found: pa.Table) -> pa.Table:
-    """Texts of different classes in a part of a bucket, or in two of its parts, that can be similar: a, b, agree.
+    """Links between classes in a part of a bucket, or in two of its parts: a, b, agree (words that they share).
 
-    found: low, high, block, key, class, numbers.
+    found: f, low, high, block, key, class, lower, numbers, sketch. Pairs that meet in a function before f are left to
+    that one's bucket, and those of one band of length to the group of that band (`lower` tells the texts from below).
     """
-    classes = found.column("class").to_pylist()
+    column = lambda n: found.column(n).combine_chunks()
+    classes, key = column("class").to_pylist(), column("key")
     number = {c: k for k, c in enumerate(dict.fromkeys(classes))}
-    one, other, shared = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    own = np.array([number[c] for c in classes])
+    out: list[tuple[int, int, int]] = []
     if len(number) > 1:
-        two = found.column("low")[0].as_py() != found.column("high")[0].as_py()
-        block = np.array(found.column("block").to_pylist()) if two else None
-        texts = [np.frombuffer(x.as_py(), np.uint32) for x in found.column("numbers")]
-        one, other, shared = close_pairs(texts, np.array([number[c] for c in classes]), block)
-    key = found.column("key").combine_chunks()
-    return pa.table({"a": key.take(pa.array(one)), "b": key.take(pa.array(other)), "agree": pa.array(shared, pa.int64())})
+        f, two = column("f")[0].as_py(), column("low")[0] != column("high")[0]
+        block, lower = np.array(column("block")), np.array(column("lower"))
+        texts = [np.frombuffer(x.as_py(), np.uint32) for x in column("numbers")]
+        earlier = np.frombuffer(b"".join(x.as_py() for x in column("sketch")), np.int32).reshape(len(texts), -1)[:, :f]
+
+        def wanted(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+            ok = ~(lower[one] & lower[other]) & ((block[one] != block[other]) | (not two))
+            at = np.flatnonzero(ok)
+            for s in _steps(np.full(len(at), f + 1)):
+                ok[at[s]] = ~(earlier[one[at[s]]] == earlier[other[at[s]]]).any(1)
+            return ok
+
+        one, other, shared = close_pairs(texts, own, wanted)
+        order = np.argsort(-shared, kind="stable")
+        for x, y, n in zip(one[order].tolist(), other[order].tolist(), shared[order].tolist(), strict=True):
+            if own[x] != own[y]:
+                a, b = texts[x].astype(np.uint64), texts[y].astype(np.uint64)
+                most, least = allowed(len(a), len(b)), max(len(a), len(b)) - n
+                with np.errstate(over="ignore"):
+                    if edit_distance(a, b, most, least) <= most:
+                        out.append((x, y, n))
+                        own[own == own[y]] = own[x]
+    take = lambda k: key.take(pa.array([x[k] for x in out], pa.int64()))
+    return pa.table({"a": take(0), "b": take(1), "agree": pa.array([x[2] for x in out], pa.int64())})
+
 
+def _short_sketch(sketch: Column) -> Column:
+    """32 bits of each function, as bytes."""
+    low = F.transform(F.slice(sketch, 1, FUNCTIONS), lambda x: F.lpad(F.hex(x.bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))
+    return F.unhex(F.array_join(low, ""))
 
-def within_buckets(met: DataFrame, groups: DataFrame, texts: DataFrame) -> DataFrame:
-    """a, b, agree: pairs of different classes of a bucket that can be similar. met: f, h, key, n, words."""
+
+def within_buckets(met: DataFrame, groups: DataFrame, texts: DataFrame, sketches: DataFrame) -> DataFrame:
+    """a, b, agree: links between classes of a bucket, by word hashes. met: f, h, key, n, words; sketches: key, sketch."""
     # in a bucket of two the centre's link is the only pair
     many = met.where("n > 2").join(groups, "key", "left").withColumn("class", F.coalesce("group", "key"))
     many = stored(many.select("f", "h", "key", "words", "class"), "many")
@@ -433,10 +506,12 @@ def within_buckets(met: DataFrame, groups: DataFrame, texts: DataFrame) -> DataF
     once = stored(once, "mixed")
     # similar texts are in one band of length or in neighbouring ones: each text looks in its own and in the one above
     band = F.floor(F.log(F.greatest("words", F.lit(1))) / F.log(F.lit(1 / SIMILARITY)) + 1e-9).cast("int")
-    there = many.join(once, ["f", "h"]).withColumn("band", F.explode(F.array(band, band + 1)))
+    there = many.join(once, ["f", "h"]).withColumn("lower", F.explode(F.array(F.lit(False), F.lit(True))))
+    there = there.withColumn("band", band + F.col("lower").cast("int"))
     sizes = there.groupBy("f", "h", "band").agg(
-        F.count(F.lit(1)).alias("_n"), F.sum("words").alias("_w"), F.min("class").alias("_low"), F.max("class").alias("_high")
-    )
+        F.count(F.lit(1)).alias("_n"), F.sum("words").alias("_w"), F.min("class").alias("_low"), F.max("class").alias("_high"),
+        F.min("lower").alias("_lower"),
+    ).where("not _lower")
     parts = F.greatest(F.ceil(F.col("_n") / PART), F.ceil(F.col("_w") / PART_WORDS)).cast("int")
     sizes = stored(sizes.where("_low <> _high").select("f", "h", "band", parts.alias("parts")), "bands")
     found = stored(
@@ -445,12 +520,13 @@ def within_buckets(met: DataFrame, groups: DataFrame, texts: DataFrame) -> DataF
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select(
             "f", "h", "band", F.least("block", "_other").alias("low"), F.greatest("block", "_other").alias("high"), "block",
-            "key", "class",
+            "key", "class", "lower",
         ),
         "search",
     )
     numbers = texts.join(found.select("key").distinct(), "key", "left_semi").select("key", "text")
-    numbers = stored(numbers.mapInArrow(_numbers, "key binary, numbers binary"), "numbers")
+    numbers = numbers.mapInArrow(_numbers, "key binary, numbers binary").join(sketches, "key")
+    numbers = stored(numbers.select("key", "numbers", _short_sketch(F.col("sketch")).alias("sketch")), "numbers")
     out = found.join(numbers, "key").groupBy("f", "h", "band", "low", "high").applyInArrow(
         _searched, "a binary, b binary, agree long"
     )
@@ -511,7 +587,7 @@ def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     first = verify(best)
     groups = components(first)
     # links to the centre of a larger bucket are among the pairs that its search finds
-    rest = links.where("n = 2").select("a", "b", "agree").unionByName(within_buckets(met, groups, texts))
+    rest = links.where("n = 2").select("a", "b", "agree").unionByName(within_buckets(met, groups, texts, vertices.select("key", "sketch")))
     rest = stored(between(rest, groups), "rest")
     pairs = rest.groupBy(F.least("ga", "gb").alias("low"), F.greatest("ga", "gb").alias("high")).agg(
         F.max_by(F.struct("a", "b"), F.struct("agree", "a", "b")).alias("x")

@@ -42,6 +42,49 @@ def test_banded_alignment():
             most = rng.randint(0, 12)
             got = order_minhash.edit_distance(np.array(a, np.uint64), np.array(b, np.uint64), most)
             assert got == min(edit_distance(a, b), most + 1)
+            short, long_ = sorted((a, b), key=len)
+            assert order_minhash.banded_distance(short, long_, most) == got
+            assert order_minhash.edit_distance(np.array(a, np.uint64), np.array(b, np.uint64), most, got) == got
+
+
+def test_search_of_a_bucket_leaves_out_no_similar_pair():
+    rng = random.Random(13)
+    for _ in range(40):
+        texts = []
+        for _ in range(25):
+            a = [rng.randrange(12) for _ in range(rng.randint(1, 30))]
+            texts.append(a)
+            b = list(a)
+            for _ in range(rng.randint(0, 1 + len(a) // 5)):
+                k, op = rng.randrange(len(b) + 1), rng.random()
+                b[k : k + (op < 0.6)] = [] if op < 0.3 else [rng.randrange(12)]
+            texts.append(b)
+        own = np.array([rng.randrange(40) for _ in texts])
+        made = [np.array(t, np.uint32) for t in texts]
+        one, other, shared = order_minhash.close_pairs(made, own, lambda x, y: np.ones(len(x), bool))
+        found = set(zip(one.tolist(), other.tolist(), strict=True))
+        for x in range(len(texts)):
+            for y in range(x + 1, len(texts)):
+                longer = max(len(texts[x]), len(texts[y]))
+                if own[x] != own[y] and longer > 1 and edit_distance(texts[x], texts[y]) <= order_minhash.allowed(longer, longer):
+                    assert (x, y) in found, (texts[x], texts[y])
+        for x, y, n in zip(one.tolist(), other.tolist(), shared.tolist(), strict=True):
+            both = collections.Counter(texts[x]) & collections.Counter(texts[y])
+            assert n == both.total()
+
+
+def test_short_texts_meet():
+    rng = random.Random(14)
+    with np.errstate(over="ignore"):
+        for _ in range(300):
+            a = [rng.randrange(1 << 40) for _ in range(rng.randint(1, order_minhash.SHORT))]
+            b = list(a)
+            for _ in range(rng.randint(0, 2)):
+                k, op = rng.randrange(len(b) + 1), rng.random()
+                b[k : k + (op < 0.6)] = [] if op < 0.3 else [rng.randrange(1 << 40)]
+            x, y = (np.array(t, np.uint64) for t in (a, b))
+            if 0 < len(b) <= order_minhash.SHORT and order_minhash.similar(x, y):
+                assert set(order_minhash.remainders(x).tolist()) & set(order_minhash.remainders(y).tolist())
 
 
 def test_order_matters_to_sketches():
