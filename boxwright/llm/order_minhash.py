@@ -51,7 +51,7 @@ SHORT = 14
 #: Edits up to which an alignment follows furthest-reaching paths.
 FEW = 10
 #: Texts and words of one part of a bucket that is searched; two parts meet in a task.
-PART = 500
+PART = 1500
 PART_WORDS = 1_500_000
 
 _rng = np.random.default_rng(20240501)
