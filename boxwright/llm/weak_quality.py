@@ -7,11 +7,13 @@ It needs only how often each pattern of votes occurs, so the corpus is read once
 
 The posterior of a text's votes is its label for a linear scorer over hashed byte n-grams (1 to 4 bytes, and the same
 of character classes), fitted on the driver to a bounded sample: at most MOST_TEXTS different texts, those with the
-smallest hashes. The scorer then reads every whole text. A text's features are mean weights over its n-grams, so long texts are
-like short ones.
+smallest hashes (ties go by the text itself), and of those the first that have MOST_FEATURES features together. A text has at
+most SPACE features of 4 bytes, so the sample takes at most 4 * MOST_FEATURES bytes, however long its texts are. The scorer then
+reads every whole text. A text's features are mean weights over its n-grams, so long texts are like short ones.
 
 Null and empty texts give no votes and no features: their score is that of the scorer's bias. If all texts of the
-sample are of one kind, every score is that kind's. Rows repeat as they are.
+sample are of one kind, every score is that kind's. Rows repeat as they are, copies of a text have one score. An empty table gives
+an empty result. The columns of docs come back inside a struct, so none of them can clash with what is added.
 """
 
 from __future__ import annotations
@@ -26,10 +28,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
 MOST_TEXTS = 2500
+MOST_FEATURES = 1 << 24
+#: Features of the sample that one step of the fit looks at at once.
+STEP_FEATURES = 1 << 19
 SPACE = 1 << 16
 #: Texts with a lower score are rejected. Below a half, so that short texts of which little is known stay.
 LEAST_SCORE = 0.35
 ROUNDS = 120
+#: Shares of n-grams are kept as 16-bit floats of this unit.
+SHARE_UNIT = 100.0
 #: NOT: too short to be judged, as if the labeller weren't there.
 GOOD, BAD, NONE, NOT = 1, 0, -1, 2
 
@@ -167,8 +174,8 @@ def _sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = t.as_py()
             g = grams(text)
             number, often = np.unique(g, return_counts=True)
-            made.append(number.astype(np.int32).tobytes())
-            shares.append((often / max(1, len(g))).astype(np.float32).tobytes())
+            made.append(number.astype(np.uint16).tobytes())
+            shares.append((often / max(1, len(g)) * SHARE_UNIT).astype(np.float16).tobytes())
             vote.append(bytes(v + 1 for v in votes(text)))
         yield pa.RecordBatch.from_arrays(
             [pa.array(made, pa.binary()), pa.array(shares, pa.binary()), pa.array(vote, pa.binary())],
@@ -177,26 +184,38 @@ def _sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic scorer for soft labels, classes weighed alike, by Adam."""
+    """Weights and bias of a logistic scorer for soft labels, classes weighed alike, by Adam.
+
+    rows: numbers of features (16 bits) and their shares in SHARE_UNIT (16 bits). A step goes over them in slices of about
+    STEP_FEATURES features, so that nothing wider than they are is made of all of them.
+    """
     w, b = np.zeros(SPACE), 0.0
     if not rows or good.sum() < 1 or (1 - good).sum() < 1:
         return w, (3.0 if not len(rows) or good.mean() >= 0.5 else -3.0)
-    col = np.concatenate([r[0] for r in rows])
-    val = np.concatenate([r[1] for r in rows]).astype(float) * 100
-    row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+    size = np.array([len(r[0]) for r in rows])
+    col, val = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
+    rows.clear()
+    ends = np.cumsum(size)
+    edges = np.unique(np.concatenate([[0], np.searchsorted(ends, np.arange(STEP_FEATURES, ends[-1], STEP_FEATURES), "right"), [len(size)]])).tolist()
     weight = good / good.sum() + (1 - good) / (1 - good).sum()
     weight /= weight.sum()
     m, v, mb, vb = np.zeros(SPACE), np.zeros(SPACE), 0.0, 0.0
     for t in range(1, ROUNDS + 1):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[col] * val, len(rows)) + b, -50, 50)))
-        g = weight * (p - good)
-        gw = np.bincount(col, g[row] * val, SPACE) + 1e-6 * w
+        gw, gb = 1e-6 * w, 0.0
+        for first, last in zip(edges, edges[1:], strict=False):
+            at = slice(ends[first] - size[first], ends[last - 1])
+            x, share = col[at].astype(np.int64), val[at].astype(float)
+            row = np.repeat(np.arange(last - first), size[first:last])
+            p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[x] * share, last - first) + b, -50, 50)))
+            g = weight[first:last] * (p - good[first:last])
+            gw += np.bincount(x, g[row] * share, SPACE)
+            gb += g.sum()
         m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw
-        mb, vb = 0.9 * mb + 0.1 * g.sum(), 0.999 * vb + 0.001 * g.sum() ** 2
+        mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb**2
         c1, c2 = 1 - 0.9**t, 1 - 0.999**t
         w -= 0.03 * (m / c1) / (np.sqrt(v / c2) + 1e-8)
         b -= 0.03 * (mb / c1) / (np.sqrt(vb / c2) + 1e-8)
-    return w * 100, float(b)
+    return w * SHARE_UNIT, float(b)
 
 
 def train(docs: DataFrame, text_col: str = "text") -> tuple[LabelModel, np.ndarray, float]:
@@ -209,11 +228,15 @@ def train(docs: DataFrame, text_col: str = "text") -> tuple[LabelModel, np.ndarr
     n = hashed.agg(F.approx_count_distinct("hash", 0.02)).first()[0]
     place = F.pmod("hash", F.lit(1 << 30))
     chosen = hashed.where(place < int(min(1.0, 1.2 * MOST_TEXTS / max(1, n)) * (1 << 30))).dropDuplicates(["hash"])
-    sample = chosen.orderBy(place, "hash").limit(MOST_TEXTS).select("text").mapInArrow(_sample_rows, "numbers binary, shares binary, votes binary")
-    found = sample.collect()
-    features = [(np.frombuffer(r["numbers"], np.int32), np.frombuffer(r["shares"], np.float32)) for r in found]
-    good = np.array([model.posterior(bytes(r["votes"])) for r in found])
-    weights, bias = fit_scorer(features, good)
+    sample = chosen.orderBy(place, "hash", "text").limit(MOST_TEXTS).select("text").mapInArrow(_sample_rows, "numbers binary, shares binary, votes binary")
+    features, good, n = [], [], 0
+    for r in sample.toLocalIterator():
+        n += len(r["shares"]) // 2
+        if n > MOST_FEATURES:
+            break
+        features.append((np.frombuffer(r["numbers"], np.uint16), np.frombuffer(r["shares"], np.float16)))
+        good.append(model.posterior(bytes(r["votes"])))
+    weights, bias = fit_scorer(features, np.array(good))
     return model, weights, bias
 
 
