@@ -12,7 +12,7 @@ from boxwright.llm.common import table
 from boxwright.llm.divergence import judge
 from boxwright.llm.mix import mix
 from boxwright.llm.order_minhash import near_duplicates
-from boxwright.llm.phrase_index import build_index, digest, search
+from boxwright.llm.phrase_index import SLOP, build_index, digest, search
 from boxwright.llm.shards import plan_shards
 from boxwright.llm.token_pack import packed_documents
 from boxwright.llm.toxicity import score
@@ -30,7 +30,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = build_index(table(spark, sf_dir, "documents"))
-    return digest(search(index, table(spark, sf_dir, "benchmark")))
+    return digest(search(index, table(spark, sf_dir, "benchmark"), SLOP))
 
 
 def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

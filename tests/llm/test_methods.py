@@ -191,7 +191,7 @@ def test_proximity():
     (segment,) = phrase_index._segments(iter([batch]))
     s = phrase_index.Segment(segment.to_pylist()[0])
     windows = [(b"a", b"b", b"c"), (b"e", b"d"), (b"a", b"a"), (b"q", b"a")]
-    which, start, end = s.near(windows, 1)
+    which, start, end = s.near(phrase_index.Windows(windows), 1)
     want = set()
     for w, window in enumerate(windows):
         for doc in (range(200), range(200, 400)):
@@ -205,12 +205,43 @@ def test_proximity():
     assert set(zip(which.tolist(), start.tolist(), end.tolist(), strict=True)) == want
 
 
-def test_several_blocks_are_one(spark, monkeypatch):
-    docs = spark.createDataFrame([(k, " ".join(f"w{(k + j) % 50}" for j in range(30))) for k in range(40)], "doc_id long, text string")
-    items = spark.createDataFrame([(k, " ".join(f"w{k + j}" for j in range(14))) for k in range(20)], "item_id long, text string")
-    once = sorted(phrase_index.digest(phrase_index.search(phrase_index.build_index(docs), items)).collect())
-    monkeypatch.setattr(phrase_index, "BLOCK_WORDS", 50)
-    assert sorted(phrase_index.digest(phrase_index.search(phrase_index.build_index(docs), items)).collect()) == once
+@pytest.mark.parametrize("block", [1 << 19, 50, 9])
+def test_search_against_all_stretches(spark, monkeypatch, block):
+    """Exact and proximity matches against every stretch of every text; items in one block, in several, in pieces."""
+    monkeypatch.setattr(phrase_index, "BLOCK_WORDS", block)
+    rng = random.Random(10)
+    text = lambda n, v: " ".join(f"w{rng.randrange(v)}" for _ in range(n))
+    items = [(k, text(rng.choice([0, 3, 10, 25]), 9 if k % 2 else 300)) for k in range(12)]
+    docs = [(k, text(rng.randint(0, 60), 9)) for k in range(30)]
+    for k in range(30, 50):  # texts that hold an item, or its words with others between them and two of them swapped
+        w = rng.choice([i for _, i in items if i]).split()
+        if k % 2:
+            a = rng.randrange(len(w))
+            w = [*w[:a], "between", *w[a:]]
+            w[:2] = w[1::-1]
+        docs.append((k, f"{text(5, 50)} {' '.join(w)} {text(5, 50)}"))
+    want = {}
+    for k, t in docs:
+        w, hit, near, found, found_near = t.split(), set(), set(), set(), set()
+        for i, item in items:
+            for x in phrase_index.windows_of(item.split()):
+                n = len(x)
+                for a in range(len(w)):
+                    if tuple(w[a : a + n]) == x:
+                        hit.update(range(a, a + n))
+                        found.add(str(i))
+                    if w[a] in x:
+                        for b in range(a + 1, min(a + n + 2, len(w)) + 1):
+                            if set(x) <= set(w[a:b]):
+                                near.update(range(a, b))
+                                found_near.add(str(i))
+                                break
+        want[k] = (len(w), len(hit), sorted(found), len(near), sorted(found_near))
+    schema = "doc_id long, text string"
+    index = phrase_index.build_index(spark.createDataFrame(docs, schema).repartition(3))
+    got = phrase_index.search(index, spark.createDataFrame(items, schema.replace("doc", "item")), 2).collect()
+    assert {r.doc_id: (r.n_words, r.n_hit, r.items, r.n_near, r.near_items) for r in got} == want
+    assert all(sum(x.length for x in r.spans) == r.n_hit for r in got) and any(v[3] > v[1] for v in want.values())
 
 
 def test_label_model_finds_accuracies():
