@@ -12,8 +12,9 @@ chunked framing is decoded. Records in one segment need no shuffle. Nothing is r
 says what is wrong with it, and its payload is null.
 
 Null html is an empty payload, a null url has no target; a null page_id is the largest, and pages without an id never
-share a response. If rows repeat the smallest page_id of a payload, all of them are responses. Other columns are
-ignored; an empty table gives an empty archive.
+share a response. If rows repeat the smallest page_id of a payload, all of them are responses; a page_id may also repeat
+with different payloads, as a response is found by its digest and its page_id. Long payloads are written in segments and
+never cut. Other columns are ignored, whatever their names; an empty table gives an empty archive.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxwright.llm.common import shared_folder, stored
+from boxwright.llm.common import drop_stored, shared_folder, stored
 
 SEGMENT_BYTES = 1 << 16
 RECORDS_PER_FILE = 1000
@@ -133,6 +134,8 @@ def write_archive(
         .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
         .where("n > 1")
     )
+    # as a table its size is known: it is sent to all tasks if it is small, else a hot payload can be split
+    shared = stored(shared, "warc-shared")
     joined = rows.join(shared, F.col("sha") == F.col("_sha"), "left")
     refers = F.when((F.length("payload") >= least_bytes) & (F.col("page_id") != F.col("first")), F.col("first"))
 
@@ -159,6 +162,7 @@ def write_archive(
         .option("maxRecordsPerFile", RECORDS_PER_FILE)
         .text(path)
     )
+    drop_stored(shared)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -313,16 +317,20 @@ def archived_pages(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
         "error",
     )
     read = stored(read, "warc-read")
+    revisits = read.where("refers_to is not null")
+    # the responses that revisits refer to, one row for each; only revisits are joined, so no key is null
+    wanted = revisits.select(F.col("payload_digest").alias("_digest"), F.col("refers_to").alias("_id")).distinct()
     responses = (
-        read.where("record_type = 'response'").select(F.col("page_id").alias("_id"), F.col("payload_bytes").alias("_n"))
-    ).dropDuplicates(["_id"])
-    return read.join(responses, F.col("refers_to") == F.col("_id"), "left").select(
-        "page_id",
-        F.coalesce("payload_bytes", "_n").alias("payload_bytes"),
-        "payload_digest",
-        "record_type",
-        "refers_to",
-        F.when(F.col("refers_to").isNotNull() & F.col("_n").isNull(), "its response is missing")
-        .otherwise(F.col("error"))
-        .alias("error"),
+        read.where("record_type = 'response' and page_id is not null and payload_bytes is not null")
+        .join(wanted, (F.col("payload_digest") == F.col("_digest")) & (F.col("page_id") == F.col("_id")), "left_semi")
+        .groupBy(F.col("payload_digest").alias("_digest"), F.col("page_id").alias("_id"))
+        .agg(F.max("payload_bytes").alias("_n"))
     )
+    responses = stored(responses, "warc-responses")
+    found = revisits.join(
+        responses, (F.col("payload_digest") == F.col("_digest")) & (F.col("refers_to") == F.col("_id")), "left"
+    ).select(
+        "page_id", F.col("_n").alias("payload_bytes"), "payload_digest", "record_type", "refers_to",
+        F.when(F.col("_n").isNull(), "its response is missing").otherwise(F.col("error")).alias("error"),
+    )
+    return read.where("refers_to is null").unionByName(found)
