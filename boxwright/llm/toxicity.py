@@ -10,12 +10,15 @@ learned from. Several classifiers with different initial weights and halves of t
 
 A text is its set of hashed words, whatever its length: the features are present or not. Only words that are clearly
 more or less frequent among the positives get a weight, and a proximal step in each round takes small weights to zero,
-so that the thousands of neutral words of a long text add nothing. Classifiers are fitted on the driver to bounded samples: at most MOST_POSITIVE
-and MOST_UNLABELLED texts, those with the smallest hashes of their ids. Scoring reads every whole text once.
-
-Nothing but the text enters a score. Null and empty texts have the score of a text without known words. Labels of
-texts that aren't there have no effect; repeated labels count as toxic if one of them says so. If there are no
-positives or no unlabelled texts, every score is the prior (0 without any label).
+so that the thousands of neutral words of a long text add nothing. Classifiers are fitted on the driver to bounded samples of
+different texts: at most MOST_POSITIVE confirmed ones, of as many ids, and MOST_UNLABELLED others, those with the smallest
+hashes. Samples are of texts, so repeated ids or rows can't make them larger. Scoring reads every whole text once.
+
+Nothing but the text enters a score, so equal texts have equal scores. Null and empty texts have the score of a text without
+known words. Labels of texts that aren't there have no effect; repeated labels count as toxic if one of them says so, null
+labels and labels of a null id don't count. Rows with a null id are not held out; rows with a repeated id share its label. If
+there are no positives or no unlabelled texts, every score is the prior (0 without any label). An empty table gives an empty
+result; of both tables only the named columns are read, whatever the others are called.
 """
 
 from __future__ import annotations
@@ -38,7 +41,6 @@ MOST_UNLABELLED = 12000
 SPACE = 1 << 20
 LEAST_TEXTS = 5
 DEVIATIONS = 5.0
-MOST_WORDS = 2000
 LASSO = 0.00003
 ROUNDS = 1000
 MODELS = 3
@@ -106,7 +108,7 @@ def nn_pu(positive: Sparse, unlabelled: Sparse, size: int, prior: float, seed: i
 
 
 def telling(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
-    """The words whose shares of positive and of unlabelled texts differ by DEVIATIONS or more: at most MOST_WORDS."""
+    """The words whose shares of positive and of unlabelled texts differ by DEVIATIONS or more."""
     count = lambda rows: np.unique(np.concatenate(rows), return_counts=True)
     (a, na), (b, nb) = count(positive), count(unlabelled)
     words = np.union1d(a, b)
@@ -115,8 +117,7 @@ def telling(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndar
     p = (n + m) / (len(positive) + len(unlabelled))
     spread = np.sqrt(p * (1 - p) * (1 / len(positive) + 1 / len(unlabelled))) + 1e-12
     z = np.where(n + m >= LEAST_TEXTS, np.abs(n / len(positive) - m / len(unlabelled)) / spread, 0)
-    best = np.argsort(-z, kind="stable")[:MOST_WORDS]
-    return np.sort(words[best[z[best] >= DEVIATIONS]])
+    return np.sort(words[z >= DEVIATIONS])
 
 
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> tuple[np.ndarray, np.ndarray, float]:
@@ -135,16 +136,19 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float)
     return known[used].astype(np.int32), w[used], float(np.mean([m[1] for m in models]))
 
 
-def _sample(docs: DataFrame) -> list[np.ndarray]:
-    """Features of the texts of a bounded sample."""
+def _sample(docs: DataFrame, most: int, share: float = 1.0) -> list[np.ndarray]:
+    """Features of at most `most` different texts: of about `share` of all, those with the smallest hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = _Numbers()
         for batch in batches:
-            made = [features(t.as_py(), numbers).tobytes() for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["features"])
+            made = [features(t.as_py(), numbers).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["place", "features"])
 
-    rows = docs.select(F.col("text").cast("binary")).mapInArrow(run, "features binary").collect()
+    place = F.xxhash64("text", F.lit(11))
+    few = docs.select(place.alias("place"), "text").where(F.pmod("place", F.lit(1 << 30)) < int(share * (1 << 30)))
+    rows = few.mapInArrow(run, "place long, features binary").groupBy("place").agg(F.min("features").alias("features"))
+    rows = rows.orderBy(F.pmod("place", F.lit(1 << 30)), "place").limit(most).collect()
     return [np.frombuffer(r["features"], np.int32) for r in rows]
 
 
@@ -161,17 +165,13 @@ def score(
     )
     counts = known.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("toxic")).first()
     prior = (counts["toxic"] or 0) / counts["n"] if counts["n"] else 0.0
-    mixed = F.xxhash64("doc_id", F.lit(11))
     # bounded by MOST_POSITIVE: small enough to be sent to all executors
-    chosen = known.where("label = 1").orderBy(mixed, "doc_id").limit(MOST_POSITIVE).select("doc_id")
-    positive = _sample(rows.join(F.broadcast(chosen), "doc_id", "left_semi"))
-    n = rows.count()
+    chosen = known.where("label = 1").orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(MOST_POSITIVE).select("doc_id")
+    positive = _sample(rows.join(F.broadcast(chosen), "doc_id", "left_semi"), MOST_POSITIVE)
+    n = rows.agg(F.approx_count_distinct(F.xxhash64("text"), 0.02)).first()[0]
     # a share of the texts by hash, some more than wanted; those with the smallest hashes stay
     share = min(1.0, 1.2 * MOST_UNLABELLED / max(1, n))
-    of_all = rows.where(~held_out(F.col("doc_id")) | F.col("doc_id").isNull())
-    few = of_all.where(F.pmod(mixed, F.lit(1 << 30)) < int(share * (1 << 30)))
-    ids = few.select("doc_id").orderBy(mixed, "doc_id").limit(MOST_UNLABELLED)
-    unlabelled = _sample(few.join(F.broadcast(ids.distinct()), "doc_id", "left_semi"))
+    unlabelled = _sample(rows.where(~held_out(F.col("doc_id")) | F.col("doc_id").isNull()), MOST_UNLABELLED, share)
     used, weights, bias = fit(positive, unlabelled, prior)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
