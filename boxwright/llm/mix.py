@@ -7,16 +7,19 @@ the source's expected words its target. The lambdas solve the convex dual by New
 bisection. Each iteration is one distributed aggregation over a table of distinct (source, size) pairs and their
 counts; the driver only holds one row for each source.
 
-Rates become copies cell by cell: a cell is the documents of one source, size and salt. Within a source, cells are
-taken from long to short documents, and each gets the number of copies that brings the words taken so far nearest to
-those expected so far, so that errors of long documents are made up by shorter ones. A source of many documents is rounded in
-parts, each by itself, so that a hot source is no single task. A cell's copies go to its
-documents evenly, the odd ones by a hash order. Cells are counts, so this doesn't depend on the number of documents;
-salting keeps a hot (source, size) from one task.
-
-Lambdas are rounded to a grid, all else is integers and hashes: reruns agree. Null texts have size 0; rows with a null
-source are a source of their own, the last one; repeated rows are documents of their own. Documents of size 0, and
-sources without words, have a target of 0 words and are taken once each (0 words).
+Rates become copies cell by cell: a cell is the documents of one source and size. Within a source, cells are taken from
+long to short documents, and each gets the number of copies that brings the words taken so far nearest to those expected
+so far, so that errors of long documents are made up by shorter ones. That takes a row for each different size of a source,
+however many documents it has. A cell's copies go to its documents evenly, the odd ones by a hash order of id and text; the
+order of a cell of more than SALT_ROWS documents is that of its salts and then of the documents of a salt, so that no cell is one
+task. The rule is the same for all sizes.
+
+Lambdas are rounded to a grid, all else is integers and hashes: reruns agree. Null and empty texts have size 0; rows with a null
+source are a source of their own, the last one; null and repeated ids and repeated rows are documents of their own, and
+which of two rows of equal id, source and text is taken more often makes no difference. Documents of size 0, and sources
+without words, have a target of 0 words and are taken once each (0 words). An empty table gives an empty result. Other
+columns come back inside a struct, so their names can't clash. The driver holds a row for each source: more than MOST_SOURCES
+raise an error (domains of pages are no sources for this operator).
 """
 
 from __future__ import annotations
@@ -29,11 +32,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from boxwright.llm.common import stored
+from boxwright.llm.common import drop_stored, stored
 
-SALTS = 64
-#: A source with more documents than this is rounded in several parts, each of some salts.
-PART_ROWS = 2000
+#: Documents of a cell that are put in order at once.
+SALT_ROWS = 2000
+MOST_SOURCES = 100_000
 ITERATIONS = 60
 
 
@@ -97,23 +100,22 @@ def tilts(cells: DataFrame, goal: dict[str | None, float], sizes: dict[str | Non
             v[2 if gap > 0 else 1] = v[0]
             step = v[0] - gap / r["slope"] if r["slope"] > 0 else math.nan
             v[0] = step if v[1] < step < v[2] else (v[1] + v[2]) / 2
-    done |= {s: v[0] for s, v in state.items()}
+    if state:
+        raise RuntimeError(f"sources {sorted(map(str, state))[:5]} are not solved after {ITERATIONS} steps")
     return [(s, round(x, 12) if math.isfinite(x) else x) for s, x in done.items()]
 
 
 def _copies(cap: int):
     def share_out(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Copies of each cell of one source, or of one part of it, from long to short documents."""
-        pdf = pdf.sort_values(["size", "salt"], ascending=[False, True], kind="stable").reset_index(drop=True)
+        """Copies of each cell of one source, from long to short documents."""
+        pdf = pdf.sort_values("size", ascending=False, kind="stable").reset_index(drop=True)
         size, n, lam = pdf["size"].to_numpy(), pdf["n"].to_numpy(), float(pdf["lam"].iloc[0])
-        whole = int(pdf["parts"].iloc[0]) == 1
         if math.isinf(lam):
             rate = np.full(len(size), float(cap) if lam > 0 else 0.0)
         else:
             rate = cap / (1 + np.exp(-np.clip(lam * size, -700, 700)))
         wanted = np.cumsum(rate * n * size)
-        # a part's goal is what its rates give; they are solved for the source's target
-        goal = float(pdf["target"].iloc[0]) if whole and math.isfinite(lam) else float(wanted[-1])
+        goal = float(pdf["target"].iloc[0]) if math.isfinite(lam) else float(wanted[-1])
         wanted[-1] = goal
         copies, taken = np.zeros(len(size), np.int64), 0
         for k, (s, c, want, r) in enumerate(zip(size.tolist(), n.tolist(), wanted.tolist(), rate.tolist(), strict=True)):
@@ -133,7 +135,7 @@ def _copies(cap: int):
             more = min(cap * int(n[k]), max(0, int(copies[k]) + round((goal - taken) / s)))
             taken += (more - int(copies[k])) * s
             copies[k] = more
-        return pdf[["source", "size", "salt", "n"]].assign(rate=rate, copies=copies)
+        return pdf[["source", "size", "n", "source_size", "target"]].assign(rate=rate, all=copies)
 
     return share_out
 
@@ -158,44 +160,46 @@ def mix(
     carried = [F.col(f"`{c}`") for c in (carry or docs.columns)]
     rows = docs.select(
         F.struct(*carried).alias("row"),
-        F.col(id_col).alias("id"),
         F.col(source_col).cast("string").alias("source"),
         words.cast("long").alias("size"),
-    ).withColumn("salt", F.pmod(F.xxhash64("id", "size"), F.lit(SALTS)).cast("int"))
-    cells = stored(rows.groupBy("source", "size", "salt").agg(F.count(F.lit(1)).alias("n")), "mix-cells")
-    sizes = {
-        r["source"]: int(r["size"])
-        for r in cells.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("size")).collect()
-    }
+        F.xxhash64(F.col(id_col), F.col(id_col).isNull(), F.col(text_col), F.lit(7)).alias("order"),
+    )
+    light = stored(rows.select("source", "size", "order"), "mix-sizes")
+    cells = stored(light.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-cells")
+    sums = cells.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("size")).limit(MOST_SOURCES + 1).collect()
+    if len(sums) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
+    sizes = {r["source"]: int(r["size"]) for r in sums}
     goal = targets(sizes, weights, share, cap)
-    flat = stored(cells.groupBy("source", "size").agg(F.sum("n").alias("n")), "mix-sizes")
-    lams = dict(tilts(flat, goal, sizes, cap))
-    counts = {r["source"]: r["n"] for r in flat.groupBy("source").agg(F.sum("n").alias("n")).collect()}
-    parts = {s: min(SALTS, max(1, counts[s] // PART_ROWS)) for s in sizes}
+    lams = dict(tilts(cells, goal, sizes, cap))
     per_source = spark.createDataFrame(
-        [(s, sizes[s], goal[s], lams[s], parts[s]) for s in sizes],
-        "source string, source_size long, target double, lam double, parts int",
+        [(s, sizes[s], goal[s], lams[s]) for s in sizes], "source string, source_size long, target double, lam double"
     )
-    # one row for each source
+    # one row for each source, at most MOST_SOURCES
     known = cells.join(F.broadcast(per_source), cells["source"].eqNullSafe(per_source["source"])).select(
-        cells["source"], "size", "salt", "n", "lam", "target", "parts"
-    )
-    # a part has at most as many cells as there are sizes times salts, however many documents the source has
-    shares = known.withColumn("part", F.pmod("salt", "parts")).groupBy("source", "part").applyInPandas(
-        _copies(cap), "source string, size long, salt int, n long, rate double, copies long"
+        cells["source"], "size", "n", "source_size", "lam", "target"
     )
-    shares = stored(shares, "mix-copies").join(
-        F.broadcast(per_source.select(F.col("source").alias("_s"), "source_size", "target")),
-        F.col("source").eqNullSafe(F.col("_s")),
+    # a row for each different size: their number is bounded by the longest text, not by the documents
+    shares = known.groupBy("source").applyInPandas(
+        _copies(cap), "source string, size long, n long, source_size long, target double, rate double, all long"
     )
-    shares = shares.select(source_key().alias("key"), "size", "salt", "n", "copies", "rate", "source_size", "target")
-    shares = shares.withColumnRenamed("copies", "all")
+    shares = stored(shares.withColumn("key", source_key()).drop("source"), "mix-copies")
+    # large cells are put in order by salts: first how many documents each salt has
+    salts = lambda df: F.pmod("order", F.ceil(df["n"] / SALT_ROWS)).cast("int")
+    hot = shares.where(F.col("n") > SALT_ROWS).select("key", "size", "n")
+    hot = light.withColumn("key", source_key()).join(hot, ["key", "size"])
+    hot = hot.withColumn("salt", salts(hot)).groupBy("key", "size", "salt").agg(F.count(F.lit(1)).alias("m"))
+    before = Window.partitionBy("key", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    hot = stored(hot.withColumn("before", F.coalesce(F.sum("m").over(before), F.lit(0))).drop("m"), "mix-salts")
     by = ["key", "size", "salt"]
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64("id", F.lit(7)), "id"))
-    out = rows.withColumn("key", source_key()).join(shares, by).withColumn("rank", rank)
+    out = rows.withColumn("key", source_key()).join(shares, ["key", "size"])
+    out = out.withColumn("salt", salts(out)).join(hot, by, "left")
+    rank = F.coalesce("before", F.lit(0)) + F.row_number().over(Window.partitionBy(*by).orderBy("order"))
     each = F.floor(F.col("all") / F.col("n"))
     odd = F.col("all") - each * F.col("n")
-    copies = (each + F.when(F.col("rank") <= odd, 1).otherwise(0)).cast("int")
+    copies = (each + F.when(rank <= odd, 1).otherwise(0)).cast("int")
+    for t in (light, cells):
+        drop_stored(t)
     return out.select("row", "size", "source_size", "target", "rate", copies.alias("copies"))
 
 
