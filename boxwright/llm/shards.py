@@ -1,17 +1,20 @@
 """Sharding: minimax contiguous partition of ordered atomic groups.
 
-Equal texts form a group; groups are ordered by a 64-bit hash of their text and gathered into at most `atoms` hash
-ranges, the ordered atoms of the partition. A binary search finds the smallest capacity with which a greedy walk over
-the atoms needs no more shards than asked for; the cuts follow from it. Atoms that alone exceed an even share (a hot
-text) come first in the order, each with a shard of its own, so that they don't set the capacity for all others.
-
-Slots come without gathering a shard in one task: a cell (an atom, or a salted part of an atom with many rows) has a
-known number of rows, so its first slot is known, and only a cell's own rows are ranked.
-
-Everything that reaches the driver is bounded by `atoms` and CELL_SHARE, whatever the size of the input.
-
-Null texts count as empty ones; a null or repeated doc_id is a row like any other; an empty table gives an empty
-result. Other columns are ignored.
+Equal texts form a group, which is never split; groups are ordered by a 64-bit hash of their text. A group of at least one
+`atoms`-th of all bytes is an atom of its own; the smaller ones are gathered into `atoms` ranges of the hash, in front of the
+large groups of their range. A binary search finds the smallest capacity with which a greedy walk over the ordered atoms needs no
+more shards than asked for; the cuts follow from it. Groups that alone exceed an even share (a hot text) come first in the
+order, each with a shard of its own, so that they don't set the capacity for all others. The capacity is the least for the
+atoms; for the groups themselves it could be less by at most the largest range of small groups, of the order of 1 / `atoms`
+of all bytes.
+
+Slots come without gathering a shard in one task: an atom's rows are dealt to cells of about CELL_ROWS by a hash of id and text,
+equal rows as one with its count; sums over the cells of a shard give each cell's first slot, and only a cell's own rows are
+ranked. What reaches the driver is bounded by three times `atoms`, whatever the size of the input.
+
+Null texts count as empty ones; a null or repeated doc_id is a row like any other; rows of one id and text are told apart by their
+slots only; an empty table gives an empty result. Texts are hashed and measured whole, however long. Other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,11 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from boxwright.llm.common import drop_stored, stored
+
 #: Bytes that a row takes besides its text.
 ROW_BYTES = 16
-#: An atom with more than this share of all rows is salted into parts of about that many.
-CELL_SHARE = 1 / 2048
-CELL_LEAST = 2000
+#: Different rows of an atom that are put in order at once.
+CELL_ROWS = 2000
 
 
 def feasible(prefix: list[int], capacity: int, shards: int, start: int = 0) -> bool:
@@ -106,61 +110,70 @@ def assign(sizes: list[int], shards: int) -> list[int]:
 def plan_shards(
     docs: DataFrame, shards: int, atoms: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """doc_id, size, text_crc32, shard, slot of every row of docs; see the module's docstring."""
+    """doc_id, size, text_crc32, shard, slot and hash (of the text) of every row of docs; see the module's docstring."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.shiftrightunsigned(F.xxhash64(text), 64 - (atoms.bit_length() - 1)).cast("int").alias("atom"),
+        F.xxhash64(text).alias("hash"),
     )
-    found = rows.groupBy("atom").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
-    found.sort(key=lambda r: r["atom"])
-    shard_of = assign([r["size"] for r in found], shards)
-    most = max(CELL_LEAST, int(sum(r["n"] for r in found) * CELL_SHARE))
-    parts = {r["atom"]: -(-r["n"] // most) for r in found if r["n"] > most}
-    rows = rows.withColumn("part", F.lit(0))
-    cells = [(r["atom"], 0, shard, r["n"]) for r, shard in zip(found, shard_of, strict=True)]
-    if parts:
-        salted = spark.createDataFrame(list(parts.items()), "atom int, parts int")
-        rows = (
-            rows.drop("part")
-            .join(F.broadcast(salted), "atom", "left")  # fewer rows than 1 / CELL_SHARE
-            .withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc_id", "size"), F.col("parts")), F.lit(0)).cast("int"))
-            .drop("parts")
-        )
-        hot = rows.where(F.col("atom").isin(list(parts))).groupBy("atom", "part").count().collect()
-        of = {r["atom"]: shard for r, shard in zip(found, shard_of, strict=True)}
-        cells = [c for c in cells if c[0] not in parts]
-        cells += [(r["atom"], r["part"], of[r["atom"]], r["count"]) for r in hot]
-    cells.sort(key=lambda c: (c[2], c[0], c[1]))
-    starts, shard, at = [], None, 0
-    for atom, part, in_shard, n in cells:
-        at = 0 if in_shard != shard else at
-        starts.append((atom, part, in_shard, at))
-        shard, at = in_shard, at + n
-    where = spark.createDataFrame(starts, "atom int, part int, shard int, start long")
-    rank = F.row_number().over(Window.partitionBy("atom", "part").orderBy("doc_id", "text_crc32", "size"))
+    # equal rows are one from here on: a hot text without ids is one row for each task that has it
+    by = ["hash", "size", "text_crc32", "doc_id"]
+    rows = stored(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")), "shard-rows")
+    range_ = F.shiftrightunsigned("hash", 64 - (atoms.bit_length() - 1)).cast("int").alias("range")
+    groups = rows.groupBy("hash").agg(F.sum(F.col("n") * F.col("size")).alias("bytes"), F.count(F.lit(1)).alias("rows"))
+    groups = stored(groups.select(range_, "hash", "bytes", "rows"), "shard-groups")
+    total = groups.agg(F.sum("bytes")).first()[0] or 0
+    large = F.col("bytes") >= max(1, total // atoms)
+    # at most `atoms` of either kind; a range's small groups come before its large ones
+    single = [(r["range"], 1, r["hash"], r["bytes"], r["rows"]) for r in groups.where(large).collect()]
+    small = groups.where(~large).groupBy("range").agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows")).collect()
+    found = sorted(single + [(r["range"], 0, 0, r["bytes"], r["rows"]) for r in small])
+    shard_of = assign([r[3] for r in found], shards)
+    plan = spark.createDataFrame(
+        [(*r[:3], k, -(-r[4] // CELL_ROWS), shard) for k, (r, shard) in enumerate(zip(found, shard_of, strict=True))],
+        "range int, own int, large_hash long, atom int, cells long, shard int",
+    )
+    of_large = plan.where("own = 1").select(F.col("large_hash").alias("hash"), "atom", "cells", "shard")
+    of_small = plan.where("own = 0").select("range", *[F.col(c).alias(f"_{c}") for c in ("atom", "cells", "shard")])
+    # both are bounded by `atoms` rows
+    rows = rows.select("*", range_).join(F.broadcast(of_large), "hash", "left").join(F.broadcast(of_small), "range", "left")
+    rows = rows.withColumns({c: F.coalesce(c, f"_{c}") for c in ("atom", "cells", "shard")})
+    cell = F.pmod(F.xxhash64("hash", "doc_id"), "cells").cast("int")
+    rows = stored(rows.select("doc_id", "size", "text_crc32", "hash", "n", "shard", "atom", cell.alias("cell")), "shard-cells")
+    sums = rows.groupBy("shard", "atom", "cell").agg(F.sum("n").alias("n"))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sums.select("atom", "cell", before(Window.partitionBy("shard").orderBy("atom", "cell")).alias("start"))
+    starts = stored(starts, "shard-starts")
+    within = before(Window.partitionBy("atom", "cell").orderBy("doc_id", "hash", "text_crc32", "size"))
+    first = F.col("start") + within
+    drop_stored(groups)
     return (
-        rows.join(F.broadcast(where), ["atom", "part"])  # at most `atoms` + 1 / CELL_SHARE rows
-        .withColumn("slot", F.col("start") + rank - 1)
-        .select("doc_id", "size", "text_crc32", "shard", "slot")
+        rows.join(starts, ["atom", "cell"])
+        .withColumn("first", first)
+        .withColumn("slot", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)))
+        .select("doc_id", "size", "text_crc32", "shard", "slot", "hash")
     )
 
 
 def write_shards(docs: DataFrame, path: str, shards: int, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write docs with shard and slot as one folder for each shard, each file in the order of slots.
+    """Write docs with their shard as one folder for each, `_shard=k`, in the order of groups and ids.
 
-    doc_id has to be a key of docs here, as the plan is joined back to the rows.
+    A row's shard depends on its text alone, so rows find theirs by the text, and null or repeated ids do no harm.
     """
-    plan = plan_shards(docs, shards, id_col=id_col, text_col=text_col).select(
-        F.col("doc_id").alias(id_col), F.col("shard").alias("_shard"), F.col("slot").alias("_slot")
-    )
+    plan = plan_shards(docs, shards, id_col=id_col, text_col=text_col)
+    by_text = ["_size", "_crc", "_hash"]
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keys = [(F.octet_length(text) + ROW_BYTES).cast("long"), F.crc32(text.cast("binary")), F.xxhash64(text)]
+    rows = docs.withColumns(dict(zip(by_text, keys, strict=True)))
+    hashed = plan.select(F.col("size").alias("_size"), F.col("text_crc32").alias("_crc"), F.col("hash").alias("_hash"), F.col("shard").alias("_shard"))
     (
-        docs.join(plan, id_col)
-        .repartitionByRange(F.col("_shard"), F.col("_slot"))
-        .sortWithinPartitions("_shard", "_slot")
+        rows.join(hashed.distinct(), by_text)
+        .repartitionByRange("_shard", "_hash", id_col)
+        .sortWithinPartitions("_shard", "_hash", id_col)
+        .drop(*by_text)
         .write.partitionBy("_shard")
         .parquet(path)
     )
