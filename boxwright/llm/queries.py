@@ -67,6 +67,8 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("_learned").cast("long").alias("loss_chars"),
         F.sha2(F.col("_learned"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        "valid",
+        "end_state",
     )
 
 
@@ -109,7 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op6_chat": """
-with chats as (
+with recursive chats as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
   union all values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
 ), turns as (
@@ -117,12 +119,41 @@ with chats as (
     when 'system' then 11 when 'user' then 13 when 'assistant' then 4
     else 20 + length(role) + length(role) - length(translate(role, '[<', '')) end as n
   from chats
-)
+), orders as (
+  select conv_id, list(role order by turn nulls first, role, text) as roles from chats group by conv_id
+), walk as (
+  select conv_id, roles, 0 as k, '' as state from orders
+  union all
+  select conv_id, roles, k + 1, case
+    when state || '>' || roles[k + 1] in ('>system', '>user', 'system>user', 'user>assistant', 'assistant>user')
+    then roles[k + 1] else '!' end
+  from walk where k < len(roles)
+), ends as (select conv_id as _id, state as end_state from walk where k = len(roles))
 select conv_id, count(*) as n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
   cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
   sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
-  cast(sum(n) as bigint) as formatted_chars
-from turns group by conv_id
-"""
+  cast(sum(n) as bigint) as formatted_chars, first(end_state) = 'assistant' as valid, first(end_state) as end_state
+from turns join ends on conv_id is not distinct from _id group by conv_id
+""",
+    # a digest's 40 hex digits are 160 bits, which are 32 digits of 5 bits
+    "op5_warc": """
+with rows as (
+  select page_id, encode(coalesce(html, '')) as payload from pages
+), hashed as (
+  select page_id, octet_length(payload) as payload_bytes, sha1(payload) as h from rows
+), bits as (
+  select *, min(page_id) over (partition by h) as least,
+    array_to_string(list_transform(range(1, 41), lambda i: ['0000', '0001', '0010', '0011', '0100', '0101', '0110', '0111', '1000',
+      '1001', '1010', '1011', '1100', '1101', '1110', '1111'][cast(instr('0123456789abcdef', h[i]) as int)]), '') as b
+  from hashed
+)
+select page_id, cast(payload_bytes as bigint) as payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + 16 * cast(b[5 * i + 1] as int)
+    + 8 * cast(b[5 * i + 2] as int) + 4 * cast(b[5 * i + 3] as int) + 2 * cast(b[5 * i + 4] as int)
+    + cast(b[5 * i + 5] as int)]), '') as payload_digest,
+  case when least is null or page_id is null or page_id = least then 'response' else 'revisit' end as record_type,
+  case when page_id <> least then least end as refers_to, cast(null as varchar) as error
+from bits
+""",
 }
