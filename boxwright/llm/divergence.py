@@ -1,13 +1,15 @@
 """Quality rules: base counts of a text, and its distance from its language's character classes and common words.
 
 For every text two histograms are made: of character classes and of the language's common words (each word its own bin,
-all other words one more). A language's reference is the sum of the histograms of all its texts that pass the base
+all other words one more; capitals and marks around a word don't matter). A language's reference is the sum of the histograms of all its texts that pass the base
 rules. A text is rejected if the Jensen-Shannon distance (base 2, from 0 to 1) of one histogram to the reference
 exceeds its limit; texts with fewer characters or words than a guard are not judged by that histogram, as short texts
 scatter. DataFrame functions only; the texts are read and split once, and only counts are kept.
 
-Null texts have no words; rows with a null lang, or one without a word list, share the reference "". doc_ids may be
-null or repeat. An empty table gives an empty result.
+Null and empty texts have no words; rows with a null lang, or one without a word list, share the reference "". doc_ids may be
+null or repeat, and repeated rows are rows like any other, each with its share in the reference. A distance that equals its
+limit passes. Whole texts are counted, however long. An empty table gives an empty result; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -37,6 +39,9 @@ CLASSES = {
     "counted": r"[#*$%&|<>]+",
     "symbol": r"[=+_/\\^~`@\[\]{}]+",
 }
+#: Characters that don't belong to a word at its ends, and how many bytes of them a common word may have around it.
+MARKS = ".,;:!?'\"()-"
+MOST_MARKS = 4
 
 
 @dataclass(frozen=True)
@@ -47,7 +52,7 @@ class Limits:
     repeat_percent: int = 20
     class_distance: float = 0.18
     #: Common words are under a fifth of usual text, so a text without any is only about 0.3 away from its reference.
-    word_distance: float = 0.25
+    word_distance: float = 0.26
     class_least_chars: int = 200
     word_least_words: int = 50
     common: dict[str, list[str]] = field(default_factory=lambda: COMMON_WORDS)
@@ -103,9 +108,11 @@ def text_counts(docs: DataFrame, limits: Limits, id_col: str, text_col: str, lan
     out = out.withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: F.regexp_like(x, F.lit("[^ \t-\r]"))))
     lists = F.create_map(*[x for k, v in limits.common.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     out = out.withColumn("_list", F.coalesce(F.try_element_at(lists, F.col("lang")), F.array().cast("array<string>")))
+    # a common word may have capitals, and marks around it
     longest = max([1, *(len(w.encode()) for ws in limits.common.values() for w in ws)])
-    short = F.filter("_words", lambda w: F.octet_length(w) <= longest)
-    out = out.withColumn("_found", F.filter(short, lambda w: F.array_contains("_list", w)))
+    short = F.filter("_words", lambda w: F.octet_length(w) <= longest + MOST_MARKS)
+    plain = F.transform(short, lambda w: F.lower(F.btrim(w, F.lit(MARKS))))
+    out = out.withColumn("_found", F.filter(plain, lambda w: F.array_contains("_list", w)))
     # each class is taken out of what the classes before it have left, so only the first sees the whole text
     out = out.withColumn("_left", F.col("_text"))
     for name, pattern in CLASSES.items():
