@@ -8,49 +8,47 @@ read at each recall point. Ties of confidence between images are in the order of
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from boxwright.functions.geometry import fields, iou
 from boxwright.operators.evaluation import MICRO
-from boxwright.operators.matching import image_rows
+from boxwright.operators.matching import edges, greedy, image_rows
 
 THRESHOLDS = tuple(round(0.5 + 0.05 * k, 2) for k in range(10))
 MOST_DETECTIONS = 100
 
 
+BINS = 1024
+
+
 def _flags(rows: DataFrame, key: str) -> DataFrame:
-    """For each prediction the thresholds' numbers at which it takes a box; each class of an image on its own."""
+    """A row for each detection; `hits`: for each threshold whether it takes a box. Each class of an image on its own."""
     rows = rows.withColumn("category", F.explode(F.array_distinct(F.transform("p", lambda p: p["category"]))))
     mine = lambda c: F.filter(c, lambda x: x["category"] == F.col("category"))
     rows = rows.withColumn("p", F.slice(mine("p"), 1, MOST_DETECTIONS)).withColumn("g", mine("g"))
-    # places among the class's own boxes
-    rows = rows.withColumn("g", F.transform("g", lambda g, i: F.struct(i.cast("int").alias("i"), *[g[c].alias(c) for c in ("x1", "y1", "x2", "y2")])))
-    rows = rows.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(len(THRESHOLDS) - 1))))
-    least = F.element_at(F.array(*map(F.lit, THRESHOLDS)), F.col("t") + 1)
-
-    def step(state, p):
-        free = F.filter(F.col("g"), lambda g: ~F.array_contains(state["used"], g["i"]))
-        rated = F.transform(free, lambda g: F.struct(iou(fields(p), fields(g)).alias("iou"), g["i"].alias("i")))
-        best = F.array_max(F.filter(rated, lambda c: c["iou"] >= F.least(least, F.lit(1 - 1e-10))))
-        after = F.transform(
-            F.array(best),
-            lambda b: F.struct(
-                F.when(b.isNull(), state["used"]).otherwise(F.array_append(state["used"], b["i"])).alias("used"),
-                F.array_append(state["hit"], b.isNotNull()).alias("hit"),
-            ),
-        )
-        return F.element_at(after, 1)
-
-    start = F.expr("struct(cast(array() as array<int>) as used, cast(array() as array<boolean>) as hit)")
-    rows = rows.withColumn("hit", F.aggregate("p", start, step)["hit"])
-    pairs = F.arrays_zip(F.transform("p", lambda p: p["confidence"]).alias("confidence"), F.col("hit").alias("hit"))
-    return rows.select(key, "model_name", "category", "t", F.posexplode(pairs).alias("place", "d")).select(
-        key, "model_name", "category", "t", "place", F.col("d.confidence").alias("confidence"),
-        F.col("d.hit").cast("long").alias("hit"),
+    # places among the class's own boxes, the last one first as it wins ties
+    box = ("x1", "y1", "x2", "y2")
+    rows = rows.withColumn("p", F.transform("p", lambda p, i: F.struct(i.cast("int").alias("i"), p["confidence"].alias("confidence"), *[p[c].alias(c) for c in box])))
+    rows = rows.withColumn("g", F.transform("g", lambda g, i: F.struct((-i).cast("int").alias("i"), *[g[c].alias(c) for c in box])))
+    phase = lambda p, g, overlap: F.when(overlap >= THRESHOLDS[0], F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
+    rows = rows.withColumn("edges", edges("p", "g", phase))
+    # the overlaps are computed once, and each threshold is a walk over the edges that reach it
+    for k, t in enumerate(THRESHOLDS):
+        least = F.lit(min(t, 1 - 1e-10))
+        rows = rows.withColumn(f"edges{k}", F.filter("edges", lambda e: -e["back"] >= least))  # noqa: B023
+        rows = rows.withColumn(f"t{k}", F.transform(greedy(f"edges{k}"), lambda e: e["i"]))
+    found = F.transform(
+        "p",
+        lambda p: F.struct(
+            p["confidence"].alias("confidence"), p["i"].alias("place"),
+            F.array(*[F.array_contains(f"t{k}", p["i"]).cast("int") for k in range(len(THRESHOLDS))]).alias("hits"),
+        ),
     )
+    return rows.select(key, "model_name", "category", F.explode(found).alias("d")).select(key, "model_name", "category", "d.*")
 
 
 def average_precision(
@@ -59,32 +57,53 @@ def average_precision(
     """ap50, ap75 and map_50_95 for each split, model and category, and overall as the mean of categories with boxes.
 
     Not rounded. Categories without ground truth have no row; without predictions all is 0.
+
+    The detections of a class are ranked in two steps, so that no class is one task: inside bins of confidence, and over
+    the bins' sums. The same goes for the largest precision from a place on.
     """
     split = images.select(key, "split")
+    by, n = ["split", "model_name", "category"], range(len(THRESHOLDS))
     flags = _flags(image_rows(ground_truth, predictions, models, key), key).join(split, key)
-    by = ["split", "model_name", "category"]
     n_gt = ground_truth.select(key, "category").join(split, key).groupBy("split", "category").agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy(*by, "t").orderBy(F.desc("confidence"), key, "place")
-    flags = flags.join(F.broadcast(n_gt), ["split", "category"])  # a row for each split and category
-    flags = flags.withColumn("rank", F.row_number().over(order)).withColumn(
-        "tp", F.sum("hit").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    order = [F.desc("confidence"), key, "place"]
+    flags = flags.withColumn("bin", F.floor(-F.col("confidence") * BINS).cast("int"))
+    inside = Window.partitionBy(*by, "bin").orderBy(*order)
+    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
+    hit = lambda k: F.col("hits")[k]
+    flags = flags.withColumns(
+        {"rank": F.row_number().over(inside)} | {f"tp{k}": F.sum(hit(k)).over(so_far) for k in n}
+    ).persist(StorageLevel.DISK_ONLY)  # read three times: for the bins' sums, their largest precisions, and the result
+    # at most BINS rows for each split, model and category from here on in `bins`
+    before = Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = flags.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"), *[F.sum(hit(k)).alias(f"s{k}") for k in n])
+    bins = bins.select(
+        *by, "bin", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"before_{c}") for c in ("n", *(f"s{k}" for k in n))]
     )
+    flags = flags.join(bins, [*by, "bin"])
     # precision only matters where a box is taken: elsewhere recall stays and precision falls
-    flags = flags.where("hit = 1").withColumn("precision", F.col("tp") / F.col("rank"))
-    right = Window.partitionBy(*by, "t").orderBy(F.desc("rank")).rowsBetween(Window.unboundedPreceding, 0)
-    flags = flags.withColumn("best", F.max("precision").over(right))
+    flags = flags.withColumn("rank", F.col("rank") + F.col("before_n")).withColumns(
+        {f"tp{k}": F.col(f"tp{k}") + F.col(f"before_s{k}") for k in n}
+    )
+    flags = flags.withColumns({f"p{k}": F.when(hit(k) == 1, F.col(f"tp{k}") / F.col("rank")) for k in n})
+    after = Window.partitionBy(*by).orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
+    best = flags.groupBy(*by, "bin").agg(*[F.max(f"p{k}").alias(f"m{k}") for k in n])
+    best = best.select(*by, "bin", *[F.max(f"m{k}").over(after).alias(f"after{k}") for k in n])
+    right = Window.partitionBy(*by, "bin").orderBy(F.desc("rank")).rowsBetween(Window.unboundedPreceding, 0)
+    flags = flags.withColumns({f"best{k}": F.max(f"p{k}").over(right) for k in n}).join(best, [*by, "bin"])
+    flags = flags.join(n_gt.withColumnRenamed("n", "n_gt"), ["split", "category"])
     # recall points that lie above the recall before this hit and not above its own
-    point = lambda tp: F.floor(tp * F.lit(100) / F.col("n"))
-    flags = flags.withColumn(
-        "points",
-        point(F.col("tp")) - F.when(F.col("tp") == 1, F.lit(-1)).otherwise(point(F.col("tp") - 1)),
+    point = lambda tp: F.floor(tp * F.lit(100) / F.col("n_gt"))
+    points = lambda k: point(F.col(f"tp{k}")) - F.when(F.col(f"tp{k}") == 1, F.lit(-1)).otherwise(point(F.col(f"tp{k}") - 1))
+    each = flags.groupBy(*by).agg(
+        *[F.sum(F.when(hit(k) == 1, F.greatest(f"best{k}", f"after{k}") * points(k))).alias(f"ap{k}") for k in n]
     )
-    each = flags.groupBy(*by, "t").agg((F.sum(F.col("best") * F.col("points")) / 101).alias("ap"))
     keys = n_gt.select("split", F.explode(F.array(*map(F.lit, models))).alias("model_name"), "category")
-    keys = keys.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(len(THRESHOLDS) - 1))))
-    each = keys.join(each, [*by, "t"], "left").fillna(0.0, ["ap"])
-    at = lambda k: F.avg(F.when(F.col("t") == k, F.col("ap")))
-    wanted = [at(0).alias("ap50"), at(5).alias("ap75"), F.avg("ap").alias("map_50_95")]
-    return each.groupBy(*by).agg(*wanted).unionByName(
-        each.groupBy("split", "model_name").agg(F.lit(MICRO).alias("category"), *wanted)
+    each = keys.join(each, by, "left").fillna(0.0, [f"ap{k}" for k in n])
+    each = each.select(
+        *by, (F.col("ap0") / 101).alias("ap50"), (F.col("ap5") / 101).alias("ap75"),
+        (reduce(Column.__add__, [F.col(f"ap{k}") for k in n]) / (101 * len(THRESHOLDS))).alias("map_50_95"),
+    )
+    overall = each.groupBy("split", "model_name").agg(
+        F.lit(MICRO).alias("category"), *[F.avg(c).alias(c) for c in ("ap50", "ap75", "map_50_95")]
     )
+    return each.unionByName(overall)

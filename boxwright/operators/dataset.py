@@ -123,16 +123,19 @@ def estimated_fps(messages: DataFrame, by: str, time_ns: str, order: Sequence[st
 
 
 def gop_gate(packets: DataFrame, by: str, order: Sequence[str], sps: str = "has_sps", params_only: str = "params_only", idr: str = "has_idr") -> DataFrame:
-    """Packets that can be decoded: from the first key frame on that has parameter sets in it or before it.
+    """Packets that can be decoded: all from the first key frame on that has parameter sets in it or before it.
 
-    Packets of parameter sets alone are kept back, not written.
+    If that key frame lacks its own, the packets of parameter sets alone before it are kept too: `in_front` marks them.
     """
     before = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     until = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    from_here = Window.partitionBy(by).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
     seen = F.coalesce(F.max(F.col(params_only)).over(before), F.lit(False))
     rows = packets.withColumn("_start", F.col(idr) & (F.col(sps) | seen))
     rows = rows.withColumn("_open", F.max("_start").over(until))
-    return rows.where(F.col("_open") & ~F.col(params_only)).drop("_start", "_open")
+    first = F.first(F.when(F.col("_start"), F.col(sps)), ignorenulls=True).over(from_here)
+    rows = rows.withColumn("in_front", ~F.col("_open") & F.col(params_only) & (first == F.lit(False)))
+    return rows.where(F.col("_open") | F.col("in_front")).drop("_start", "_open")
 
 
 def latency_summary(times: DataFrame, by: Sequence[str], value: str = "ms") -> DataFrame:

@@ -5,12 +5,13 @@ same order, take the best free box of another class (a class confusion). What is
 false negative. Ties go to the earlier prediction and to the earlier ground-truth box.
 
 An image is one row with its boxes as arrays, so all boxes of an image meet through one exchange on its key for both
-sides, and the greedy walk is a fold over arrays inside the JVM.
+sides. Overlaps are computed once, as an array of the edges that are large enough; in the order of phase, prediction, overlap and
+ground-truth box, an edge is taken if both of its ends are still free. That walk is a fold over the few edges left.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,44 +45,36 @@ def iou_pairs(ground_truth: DataFrame, predictions: DataFrame, least: float = 0.
     )
 
 
-def _take(state: Column, one: Column, others: Column, same: bool | None, least: float, used: str, mine: str) -> Column:
-    """The state after `one` has taken the best free one of `others`."""
-    free = F.filter(
-        others,
-        lambda g: ~F.array_contains(state[used], g["i"])
-        & (F.lit(True) if same is None else (g["category"] == one["category"]) == F.lit(same)),
-    )
-    rated = F.transform(
-        free, lambda g: F.struct(iou(fields(one), fields(g)).alias("iou"), (-g["i"]).alias("back"), g["i"].alias("i"))
-    )
-    best = F.array_max(F.filter(rated, lambda c: (c["iou"] >= least) & (c["iou"] > 0)))
-    # a one-element transform names the best candidate, so that it is evaluated once
-    after = F.transform(
-        F.array(best),
-        lambda b: F.when(b.isNull(), state).otherwise(
-            F.struct(
-                F.array_append(state["left"], one["i"] if mine == "left" else b["i"]).alias("left"),
-                F.array_append(state["right"], b["i"] if mine == "left" else one["i"]).alias("right"),
-                F.array_append(state["iou"], b["iou"]).alias("iou"),
-            )
-        ),
-    )
-    return F.element_at(after, 1)
+def edges(left: str, right: str, phase: Callable[[Column, Column, Column], Column]) -> Column:
+    """Sorted edges between the elements of two arrays: phase, i, back (minus the overlap), j, the places i and j in the arrays.
 
+    phase(one, other, overlap): the walks in which an edge can be taken, an array of numbers.
+    """
 
-_EMPTY = "struct(cast(array() as array<int>) as left, cast(array() as array<int>) as right, cast(array() as array<double>) as iou)"
+    def rated(x: Column) -> Column:
+        near = F.transform(right, lambda y: F.struct(y.alias("y"), iou(fields(x), fields(y)).alias("iou")))
+        made = F.transform(
+            F.filter(near, lambda e: e["iou"] > 0),
+            lambda e: F.transform(
+                phase(x, e["y"], e["iou"]),
+                lambda n: F.struct(n.alias("phase"), x["i"].alias("i"), (-e["iou"]).alias("back"), e["y"]["i"].alias("j")),
+            ),
+        )
+        return F.flatten(made)
 
+    return F.array_sort(F.flatten(F.transform(left, rated)))
 
-def greedy(df: DataFrame, name: str, left: str, right: str, same: bool | None, least: float, before: str | None = None) -> DataFrame:
-    """Add the column `name`: the pairs that elements of `left`, in order, take among `right`.
 
-    A struct of arrays left, right (places in the two) and iou. `before`: pairs of an earlier walk, whose members are
-    taken; they stay at the head of the result.
-    """
-    start = F.col(before) if before else F.expr(_EMPTY)
-    df = df.withColumn("_todo", F.filter(left, lambda p: ~F.array_contains(F.col(before)["left"], p["i"])) if before else F.col(left))
-    walk = F.aggregate("_todo", start, lambda s, p: _take(s, p, F.col(right), same, least, "right", "left"))
-    return df.withColumn(name, walk).drop("_todo")
+def greedy(sorted_edges: str) -> Column:
+    """The edges that are taken: in order, each of which both ends are free."""
+    none = F.expr("cast(array() as array<struct<phase:int,i:int,back:double,j:int>>)")
+    return F.aggregate(
+        sorted_edges,
+        none,
+        lambda taken, e: F.when(
+            F.exists(taken, lambda t: (t["i"] == e["i"]) | (t["j"] == e["j"])), taken
+        ).otherwise(F.array_append(taken, e)),
+    )
 
 
 def numbered(column: str, names: Sequence[str]) -> Column:
@@ -126,8 +119,11 @@ def match(
     predicted_category, confidence, iou, det_pos, annotation_id, p (the prediction) and g (the ground-truth box).
     """
     rows = image_rows(ground_truth, confident(predictions, threshold), models, key)
-    rows = greedy(rows, "first", "p", "g", True, least)
-    rows = greedy(rows, "second", "p", "g", False, least, before="first") if confusions else rows.withColumn("second", F.col("first"))
+    phase = lambda p, g, overlap: F.when(
+        (overlap >= least) & (F.lit(confusions) | (p["category"] == g["category"])),
+        F.array(F.when(p["category"] == g["category"], 1).otherwise(2)),
+    ).otherwise(F.array().cast("array<int>"))
+    rows = rows.withColumn("edges", edges("p", "g", phase)).withColumn("taken", greedy("edges"))
     kinds = dict(rows.dtypes)
     p_kind, g_kind = (kinds[c].removeprefix("array<")[:-1] for c in ("p", "g"))
 
@@ -136,18 +132,17 @@ def match(
 
     no_p, no_g, no_iou = F.lit(None).cast(p_kind), F.lit(None).cast(g_kind), F.lit(None).cast("double")
     pairs = F.transform(
-        F.col("second")["left"],
-        lambda i, k: out(
-            F.when(k < F.size(F.col("first")["left"]), TRUE_POSITIVE).otherwise(CONFUSION),
-            F.get("p", i), F.get("g", F.get(F.col("second")["right"], k)), F.get(F.col("second")["iou"], k),
+        "taken",
+        lambda t: out(
+            F.when(t["phase"] == 1, TRUE_POSITIVE).otherwise(CONFUSION), F.get("p", t["i"]), F.get("g", t["j"]), -t["back"]
         ),
-    )
+    )
     alone = F.transform(
-        F.filter("p", lambda x: ~F.array_contains(F.col("second")["left"], x["i"])),
+        F.filter("p", lambda x: ~F.exists("taken", lambda t: t["i"] == x["i"])),
         lambda x: out(F.lit(FALSE_POSITIVE), x, no_g, no_iou),
     )
     missed = F.transform(
-        F.filter("g", lambda x: ~F.array_contains(F.col("second")["right"], x["i"])),
+        F.filter("g", lambda x: ~F.exists("taken", lambda t: t["j"] == x["i"])),
         lambda x: out(F.lit(FALSE_NEGATIVE), no_p, x, no_iou),
     )
     found = rows.select(key, "model_name", F.explode(F.concat(pairs, alone, missed)).alias("m"))

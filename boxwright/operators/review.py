@@ -94,44 +94,57 @@ def error_images(matches: DataFrame, key: str = "image_id") -> DataFrame:
     return matches.where(F.col("match_type") != TRUE_POSITIVE).select(key, "model_name").distinct()
 
 
-def review_priority(matches: DataFrame, first: str, second: str, key: str = "image_id") -> DataFrame:
-    """The most urgent reason to look at an image for a model; a row for each image and model with an error."""
-    rank = lambda name: F.lit(PRIORITIES.index(name)).alias("rank")
-    errors = error_images(matches, key)
-    missed = matches.where(F.col("match_type") == FALSE_NEGATIVE).join(
-        shared_false_negatives(matches, first, second), "annotation_id", "left_semi"
+def judged_errors(matches: DataFrame, first: str, second: str, key: str = "image_id") -> DataFrame:
+    """A row for each image with an error: `errors`, its matches that are no true positives, and `priorities`, by model.
+
+    All errors of an image meet in its row, so the models are compared inside it, without joining matches to themselves.
+    """
+    columns = ("model_name", "match_type", "category", "predicted_category", "confidence", "iou", "annotation_id", "p", "g")
+    wrong = matches.where(F.col("match_type") != TRUE_POSITIVE)
+    rows = wrong.groupBy(key).agg(F.collect_list(F.struct(*columns)).alias("errors"))
+    of = lambda m, kind: F.filter("errors", lambda e: (e["model_name"] == m) & (e["match_type"] == kind))
+    ids = lambda m: F.transform(of(m, FALSE_NEGATIVE), lambda e: e["annotation_id"])
+    both_miss = F.arrays_overlap(ids(first), ids(second))
+    both_find = F.exists(
+        of(first, FALSE_POSITIVE),
+        lambda a: F.exists(
+            of(second, FALSE_POSITIVE),
+            lambda b: (a["category"] == b["category"]) & (iou(fields(a["p"]), fields(b["p"])) >= 0.5),
+        ),
     )
-    doubled = shared_false_positives(matches, first, second, 0.5, key).select(key).distinct()
-    alone = errors.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.max("model_name").alias("model_name")).where("n = 1")
-    rows = (
-        errors.select(key, "model_name", rank("model_error"))
-        .unionByName(missed.select(key, "model_name", rank("shared_missed_gt")))
-        .unionByName(
-            doubled.select(
-                key, F.explode(F.array(F.lit(first), F.lit(second))).alias("model_name"),
-                rank("shared_high_confidence_fp"),
-            )
-        )
-        .unionByName(alone.select(key, "model_name", rank("model_only_error")))
-        .unionByName(
-            matches.where(F.col("match_type") == CONFUSION).select(key, "model_name", rank("left_right_disagreement"))
+    has = lambda m: F.exists("errors", lambda e: e["model_name"] == m)
+
+    def priority(model: str, other: str) -> Column:
+        confused = F.exists("errors", lambda e: (e["model_name"] == model) & (e["match_type"] == CONFUSION))
+        return (
+            F.when(~has(model), F.lit(None).cast("string"))
+            .when(confused, PRIORITIES[4])
+            .when(~has(other), PRIORITIES[3])
+            .when(both_find, PRIORITIES[2])
+            .when(F.coalesce(both_miss, F.lit(False)), PRIORITIES[1])
+            .otherwise(PRIORITIES[0])
         )
-    )
-    return rows.groupBy(key, "model_name").agg(
-        F.element_at(F.array(*map(F.lit, PRIORITIES)), F.max("rank") + 1).alias("review_priority")
+
+    return rows.withColumn(
+        "priorities", F.create_map(F.lit(first), priority(first, second), F.lit(second), priority(second, first))
     )
 
 
+def review_priority(matches: DataFrame, first: str, second: str, key: str = "image_id") -> DataFrame:
+    """The most urgent reason to look at an image for a model; a row for each image and model with an error."""
+    rows = judged_errors(matches, first, second, key)
+    return rows.select(key, F.explode("priorities").alias("model_name", "review_priority")).where("review_priority is not null")
+
+
 def error_manifest(images: DataFrame, matches: DataFrame, first: str, second: str, key: str = "image_id") -> DataFrame:
     """A row for each error box, with its image's priority for the model."""
-    rows = matches.where(F.col("match_type") != TRUE_POSITIVE)
-    rows = rows.join(review_priority(matches, first, second, key), [key, "model_name"], "left")
-    rows = rows.join(images.select(key, "split", "file_name"), key)
+    rows = judged_errors(matches, first, second, key).select(key, "priorities", F.explode("errors").alias("e"))
+    rows = rows.join(images.select(key, "split", "file_name"), key).select("split", "file_name", "priorities", "e.*")
     return rows.select(
         "split", "model_name", "file_name", *provenance(), F.col("match_type").alias("error_type"), "category",
         "predicted_category", "confidence",
         F.coalesce(box_json(F.col("p")), box_json(F.col("g"))).alias("bbox_xyxy"), F.bround("iou", 6).alias("iou"),
-        F.coalesce("review_priority", F.lit(PRIORITIES[0])).alias("review_priority"),
+        F.coalesce(F.try_element_at("priorities", F.col("model_name")), F.lit(PRIORITIES[0])).alias("review_priority"),
     )
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxwright.functions.names import stable_image_key
-from boxwright.operators.matching import greedy, numbered
+from boxwright.operators.matching import edges, greedy, numbered
 
 _NAMES = ("category", "x1", "y1", "x2", "y2")
 
@@ -33,8 +33,14 @@ def changes(old: DataFrame, new: DataFrame, unchanged: float = 0.95, related: fl
     both = side(old, "old").join(side(new, "new"), "image_key", "full")
     kind = dict(both.dtypes)["old_boxes"]
     both = both.withColumns({f"{n}_array": F.coalesce(f"{n}_boxes", F.array().cast(kind)) for n in ("old", "new")})
-    both = greedy(both, "same", "old_array", "new_array", True, unchanged)
-    both = greedy(both, "pairs", "old_array", "new_array", None, related, before="same")
+    # an edge can be taken as unchanged, and if it isn't, as related
+    phase = lambda o, n, overlap: F.filter(
+        F.array(
+            F.when((overlap >= unchanged) & (o["category"] == n["category"]), 1), F.when(overlap >= related, 2)
+        ),
+        lambda x: x.isNotNull(),
+    )
+    both = both.withColumn("edges", edges("old_array", "new_array", phase)).withColumn("taken", greedy("edges"))
     no_box = F.lit(None).cast(kind.removeprefix("array<")[:-1])
 
     def row(change: Column, a: Column, b: Column, overlap: Column) -> Column:
@@ -43,22 +49,19 @@ def changes(old: DataFrame, new: DataFrame, unchanged: float = 0.95, related: fl
     no_iou = F.lit(None).cast("double")
     old_at = lambda i: F.get("old_array", i)
     new_at = lambda i: F.get("new_array", i)
-    skip = F.size(F.col("same")["left"])
-    places = F.filter(F.sequence(F.lit(0), F.size(F.col("pairs")["left"])), lambda k: (k >= skip) & (k < F.size(F.col("pairs")["left"])))
-    left, right, overlap = (F.col("pairs")[c] for c in ("left", "right", "iou"))
     moved = F.transform(
-        places,
-        lambda k: row(
-            F.when(old_at(F.get(left, k))["category"] == new_at(F.get(right, k))["category"], "bbox_adjusted").otherwise("relabeled"),
-            old_at(F.get(left, k)), new_at(F.get(right, k)), F.bround(F.get(overlap, k), 6),
+        F.filter("taken", lambda t: t["phase"] == 2),
+        lambda t: row(
+            F.when(old_at(t["i"])["category"] == new_at(t["j"])["category"], "bbox_adjusted").otherwise("relabeled"),
+            old_at(t["i"]), new_at(t["j"]), -t["back"],
         ),
     )
     removed = F.transform(
-        F.filter("old_array", lambda x: ~F.array_contains(left, x["i"])),
+        F.filter("old_array", lambda x: ~F.exists("taken", lambda t: t["i"] == x["i"])),
         lambda x: row(F.lit("annotation_removed"), x, no_box, no_iou),
     )
     added = F.transform(
-        F.filter("new_array", lambda x: ~F.array_contains(right, x["i"])),
+        F.filter("new_array", lambda x: ~F.exists("taken", lambda t: t["j"] == x["i"])),
         lambda x: row(F.lit("annotation_added"), no_box, x, no_iou),
     )
     moved_split = F.when(

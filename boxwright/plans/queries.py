@@ -147,11 +147,19 @@ def boxes_as_xywh(s: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""with {_VIEWS} select distinct case when category='left_hand' then ' Left-Hand ' else 'RIGHT_hand' end as raw, category from gt"""
+    f"""with {_VIEWS}, n as (select annotation_id % 12 as k, category from gt)
+select distinct k, case when k<6 then ['left','LEFT hand','hand left',' Left_Hand ','Hand-Left','left-  hand'][k+1]
+ else ['Right','right HAND','hand  right','RIGHT_hand',' hand-right','right_-hand'][k-5] end as raw,
+ case when k<6 then 'left_hand' else 'right_hand' end as category from n"""
 )
 def canonical_categories(s: SparkSession, d: str) -> DataFrame:
-    raw = F.when(F.col("category") == "left_hand", " Left-Hand ").otherwise("RIGHT_hand")
-    return _gt(s, d).select(raw.alias("raw")).distinct().withColumn("category", canonical_category(F.col("raw")))
+    names = (
+        "left", "LEFT hand", "hand left", " Left_Hand ", "Hand-Left", "left-  hand",
+        "Right", "right HAND", "hand  right", "RIGHT_hand", " hand-right", "right_-hand",
+    )
+    k = (F.col("annotation_id") % 12).alias("k")
+    rows = _gt(s, d).select(k).distinct().withColumn("raw", F.get(F.array(*map(F.lit, names)), F.col("k").cast("int")))
+    return rows.withColumn("category", canonical_category(F.col("raw")))
 
 
 @query(
@@ -575,13 +583,13 @@ _REVISION = f"""with recursive {_VIEWS}, img2 as ({fx.NEW_IMAGES}), gt2 as ({fx.
 pair as (select image_id, replace(file_name, regexp_extract(file_name,'_jpg[.]rf[.][^.]+[.]jpg$'), '.jpg') as stable_image_key, file_name as old_file_name, split as old_split from img),
 both_ as (select image_id, stable_image_key, old_file_name, n.file_name as new_file_name, old_split, n.split as new_split from pair left join img2 n using (image_id)),
 c as (
- select image_id, 'split_moved' as change_type, null as old_category, null as new_category, null::double as iou, null::double as ox1, null::double as nx1 from both_ where old_split<>new_split
- union all select k.image_id, case when o.category=n.category then 'bbox_adjusted' else 'relabeled' end, o.category, n.category, round_even(k.iou,6), o.x1, n.x1 from picks k
+ select image_id, 'split_moved' as change_type, null as old_category, null as new_category, null::double as iou, null::double as ox1, null::double as oy1, null::double as ox2, null::double as oy2, null::double as nx1, null::double as ny1, null::double as nx2, null::double as ny2 from both_ where old_split<>new_split
+ union all select k.image_id, case when o.category=n.category then 'bbox_adjusted' else 'relabeled' end, o.category, n.category, k.iou, o.x1 as ox1, o.y1 as oy1, o.x2 as ox2, o.y2 as oy2, n.x1 as nx1, n.y1 as ny1, n.x2 as nx2, n.y2 as ny2 from picks k
   join img2 using (image_id) join gt o on o.image_id=k.image_id and o.ann_ord=k.old_ord join gt2 n on n.image_id=k.image_id and n.ann_ord=k.new_ord where phase=2
- union all select o.image_id, 'annotation_removed', o.category, null, null, o.x1, null from gt o join img2 using (image_id) left join picks k on k.image_id=o.image_id and k.old_ord=o.ann_ord where k.rn is null
- union all select n.image_id, 'annotation_added', null, n.category, null, null, n.x1 from gt2 n join img2 using (image_id) left join picks k on k.image_id=n.image_id and k.new_ord=n.ann_ord where k.rn is null
- union all select b.image_id, 'image_removed', o.category, null, null, o.x1, null from both_ b left join gt o using (image_id) where b.new_file_name is null),
-changes as (select stable_image_key, old_file_name, new_file_name, old_split, new_split, change_type, old_category, new_category, iou, ox1, nx1 from c join both_ using (image_id))
+ union all select o.image_id, 'annotation_removed', o.category, null, null, o.x1 as ox1, o.y1 as oy1, o.x2 as ox2, o.y2 as oy2, null::double as nx1, null::double as ny1, null::double as nx2, null::double as ny2 from gt o join img2 using (image_id) left join picks k on k.image_id=o.image_id and k.old_ord=o.ann_ord where k.rn is null
+ union all select n.image_id, 'annotation_added', null, n.category, null, null::double as ox1, null::double as oy1, null::double as ox2, null::double as oy2, n.x1 as nx1, n.y1 as ny1, n.x2 as nx2, n.y2 as ny2 from gt2 n join img2 using (image_id) left join picks k on k.image_id=n.image_id and k.new_ord=n.ann_ord where k.rn is null
+ union all select b.image_id, 'image_removed', o.category, null, null, o.x1 as ox1, o.y1 as oy1, o.x2 as ox2, o.y2 as oy2, null::double as nx1, null::double as ny1, null::double as nx2, null::double as ny2 from both_ b left join gt o using (image_id) where b.new_file_name is null),
+changes as (select stable_image_key, old_file_name, new_file_name, old_split, new_split, change_type, old_category, new_category, iou, ox1, oy1, ox2, oy2, nx1, ny1, nx2, ny2 from c join both_ using (image_id))
 """
 
 
@@ -593,8 +601,10 @@ def _changes(s: SparkSession, d: str) -> DataFrame:
 
 @query(_REVISION + "select * from changes")
 def revision_changes(s: SparkSession, d: str) -> DataFrame:
-    x1 = lambda c: F.get(c, F.lit(0))
-    out = _changes(s, d).withColumns({"ox1": x1("old_bbox_xyxy"), "nx1": x1("new_bbox_xyxy")})
+    sides = {"o": "old_bbox_xyxy", "n": "new_bbox_xyxy"}
+    out = _changes(s, d).withColumns(
+        {f"{p}{c}": F.get(box, F.lit(k)) for p, box in sides.items() for k, c in enumerate(("x1", "y1", "x2", "y2"))}
+    )
     return out.drop("old_bbox_xyxy", "new_bbox_xyxy")
 
 
@@ -676,9 +686,11 @@ def estimated_fps(s: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""with {_PACKETS}, b as (select *, coalesce(bool_or(params_only) over (partition by recording order by image_id rows between unbounded preceding and 1 preceding), false) as seen from k),
- o as (select *, bool_or(has_idr and (has_sps or seen)) over (partition by recording order by image_id rows unbounded preceding) as open_ from b)
-select recording, image_id from o where open_ and not params_only"""
+    f"""with {_PACKETS}, s as (select k.recording, k.image_id, k.has_sps from k where k.has_idr and (k.has_sps or exists
+  (select 1 from k q where q.recording=k.recording and q.image_id<k.image_id and q.params_only))),
+ f as (select recording, min(image_id) as first_id, arg_min(has_sps, image_id) as own from s group by recording)
+select recording, image_id, image_id < first_id as in_front from k join f using (recording)
+ where image_id >= first_id or (params_only and not own)"""
 )
 def gop_gate(s: SparkSession, d: str) -> DataFrame:
-    return ds.gop_gate(_packets(s, d), "recording", ["image_id"]).select("recording", "image_id")
+    return ds.gop_gate(_packets(s, d), "recording", ["image_id"]).select("recording", "image_id", "in_front")

@@ -84,24 +84,28 @@ def video_messages(messages: DataFrame) -> DataFrame:
             "time": message_seconds(F.col("seconds"), F.col("nanos"), F.col("log_time_ns")),
             "has_idr": has(IDR),
             "has_sps": has(SPS),
-            "params_only": (F.size("nal") > 0) & (F.size(F.array_except("nal", params)) == 0) & has(SPS),
+            "params_only": (F.size("nal") > 0) & (F.size(F.array_except("nal", params)) == 0),
         }
     )
 
 
 def decodable_packets(video: DataFrame) -> DataFrame:
-    """The packets of each recording from its first complete key frame on."""
+    """The packets of each recording from its first complete key frame on, with parameter sets in front if it has none."""
     return gop_gate(video, "path", ["chunk_no", "message_no"])
 
 
 def provenance(video: DataFrame) -> DataFrame:
-    """frame_id, format, frame_count, time range and rate of each recording's packets."""
+    """frame_id, format, frame_count, time range and rate of each recording's packets.
+
+    frame_id is the first that isn't empty, format that of the same packet; without a frame_id the last packet's format.
+    """
     order = F.struct("chunk_no", "message_no")
-    kept = decodable_packets(video)
-    first = lambda c: F.min_by(F.nullif(c, F.lit("")), F.when(F.col(c) != "", order)).alias(c)
+    kept = decodable_packets(video).where("not in_front")
+    named = F.min_by(F.struct("frame_id", "format"), F.when(F.col("frame_id") != "", order))
+    kind = F.when(named.isNotNull(), named["format"]).otherwise(F.max_by("format", order))
     rows = kept.groupBy("path").agg(
-        first("frame_id"), first("format"), F.count(F.lit(1)).alias("frame_count"),
-        F.array(F.min("time"), F.max("time")).alias("time_range_sec"),
+        named["frame_id"].alias("frame_id"), F.coalesce(F.nullif(kind, F.lit("")), F.lit("unknown")).alias("format"),
+        F.count(F.lit(1)).alias("frame_count"), F.array(F.min("time"), F.max("time")).alias("time_range_sec"),
     )
     fps = estimated_fps(kept, "path", "log_time_ns", ["chunk_no", "message_no"])
     return rows.join(fps.withColumnRenamed("fps", "average_fps"), "path")

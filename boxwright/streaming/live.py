@@ -1,6 +1,6 @@
 """Packets of a recording that is still being written: the gate of decodable packets as a stream.
 
-State for each recording is two flags, so it is bounded by the number of recordings. Packets arrive in order within a
+State for each recording is two flags and the places of the parameter packets before its first key frame. Packets arrive in order within a
 micro-batch's recording by `place`; late ones are decided by what has been seen before them.
 """
 
@@ -16,21 +16,29 @@ OUT = "recording string, place bigint"
 
 
 def gate(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The packets that can be decoded: from the first key frame on that has parameter sets in it or before it."""
-    seen, open_ = state.get if state.exists else (False, False)
+    """The packets that can be decoded: all from the first key frame on that has parameter sets in it or before it.
+
+    Parameter packets before a key frame without its own come with it.
+    """
+    open_, held = state.get if state.exists else (False, [])
+    held = list(held)
     rows = pd.concat(list(batches)).sort_values("place")
     kept = []
     for place, idr, sps, params in rows[["place", "has_idr", "has_sps", "params_only"]].itertuples(index=False):
-        open_ = open_ or (idr and (sps or seen))
-        seen = seen or params
-        if open_ and not params:
+        if not open_ and idr and (sps or held):
+            open_ = True
+            kept += [] if sps else held
+            held = []
+        if open_:
             kept.append(place)
-    state.update((bool(seen), bool(open_)))
+        elif params:
+            held.append(int(place))
+    state.update((bool(open_), held))
     yield pd.DataFrame({"recording": [key[0]] * len(kept), "place": kept})
 
 
 def gated(packets: DataFrame) -> DataFrame:
     """packets: a stream of recording, place, has_idr, has_sps, params_only."""
     return packets.groupBy("recording").applyInPandasWithState(
-        gate, OUT, "seen boolean, open boolean", "append", GroupStateTimeout.NoTimeout
+        gate, OUT, "open boolean, held array<bigint>", "append", GroupStateTimeout.NoTimeout
     )

@@ -127,6 +127,13 @@ def test_names(spark):
     assert [tuple(r) for r in out] == [("rec_frame000001_0000001500ms.jpg", "rec", 1.5), ("_frame1.jpg", None, None), ("plain.jpg", None, None)]
     one = spark.range(1)
     assert one.select(names.canonical_category(F.lit(" Left-HAND"))).first()[0] == L
+    for name in ("left", "hand left", "HAND_LEFT", " left - hand ", "Left_Hand"):
+        assert one.select(names.canonical_category(F.lit(name))).first()[0] == L
+        assert one.select(names.canonical_category(F.lit(name.lower().replace("left", "right")))).first()[0] == R
+    assert names.check_ordered_classes(["Hand-left", "right"]) == names.check_ordered_classes({1: "RIGHT_hand", 0: "left"}, True) == [L, R]
+    for wrong, strict in ((["right", "left"], False), (["left", "right", "x"], False), (["hand left", "right"], True), (["left"], True)):
+        with pytest.raises(ValueError, match="left and right"):
+            names.check_ordered_classes(wrong, strict)
     with pytest.raises(Exception, match="unknown category"):
         one.select(names.canonical_category(F.lit("foot"))).collect()
     assert one.select(names.frame_file_name(F.lit("..a b/c_"), F.lit(3), F.lit(1.2345))).first()[0] == "a_b_c_frame000003_0000001234ms.jpg"
@@ -151,6 +158,15 @@ def test_media(spark):
     assert [r[0] for r in df.select(media.nal_types("p")).collect()] == [[5], None]
 
 
+def test_gate(spark):
+    """After the gate has opened every packet stays; parameter sets, also a PPS alone, come before a key frame without its own."""
+    schema = "r string, n int, has_idr boolean, has_sps boolean, params_only boolean"
+    rows = [("a", 0, True, False, False), ("a", 1, False, False, True), ("a", 2, False, True, True), ("a", 3, False, False, False), ("a", 4, True, False, False),
+            ("a", 5, False, False, True), ("a", 6, True, True, False), ("b", 0, False, True, True), ("b", 1, True, True, False), ("c", 0, True, False, False)]
+    out = dataset.gop_gate(spark.createDataFrame(rows, schema), "r", ["n"]).collect()
+    assert sorted((x.r, x.n, x.in_front) for x in out) == [("a", 1, True), ("a", 2, True), ("a", 4, False), ("a", 5, False), ("a", 6, False), ("b", 1, False)]
+
+
 def test_sampling(spark):
     v = spark.createDataFrame([(3.1, 29.97, 93), (0.0, 30.0, 0)], "duration_seconds double, fps double, frame_count long")
     assert sorted(r.frame_index for r in dataset.sample_points(v, 1.0).collect()) == [0, 29, 59, 89]
@@ -280,7 +296,8 @@ def test_recordings(spark, tmp_path):
         messages = spark.read.format("mcap").option("topic", "/cam").load(recording(tmp_path, compress))
         rows = video.video_messages(messages)
         assert rows.count() == 4
-        assert [r.message_no + 2 * r.chunk_no for r in video.decodable_packets(rows).orderBy("chunk_no", "message_no").collect()] == [2, 3]
+        gate = video.decodable_packets(rows).orderBy("chunk_no", "message_no").collect()
+        assert [(r.message_no + 2 * r.chunk_no, r.in_front) for r in gate] == [(1, True), (2, False), (3, False)]
         (p,) = video.provenance(rows).collect()
         assert (p.frame_id, p.format, p.frame_count, p.time_range_sec, p.average_fps) == ("c", "h264", 2, [3.0, 4.0], 25.0)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
@@ -325,11 +342,12 @@ def test_live_gate(spark, tmp_path):
     from boxwright.streaming.live import gated
 
     schema = "recording string, place long, has_idr boolean, has_sps boolean, params_only boolean"
-    packets = [("r", 0, False, False, False), ("r", 1, False, True, True), ("r", 2, True, False, False), ("r", 3, False, False, False), ("q", 0, True, False, False)]
+    packets = [("r", 0, False, False, False), ("r", 1, False, True, True), ("r", 2, True, False, False), ("r", 3, False, False, False), ("q", 0, True, False, False),
+               ("q", 1, True, True, False), ("q", 2, False, True, True), ("r", 4, False, False, True)]
     for k, part in enumerate((packets[:2], packets[2:])):
         spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
     stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     q = gated(stream).writeStream.outputMode("append").format("memory").queryName("gate").start()
     q.processAllAvailable()
     q.stop()
-    assert sorted(r.place for r in spark.sql("select * from gate").collect()) == [2, 3]
+    assert sorted((r.recording, r.place) for r in spark.sql("select * from gate").collect()) == [("q", 1), ("q", 2), ("r", 1), ("r", 2), ("r", 3), ("r", 4)]
