@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from boxwright.functions.names import CATEGORIES
 from boxwright.operators import dataset, revision, validate
 from boxwright.plans import compare
 from boxwright.sources import files, sinks, video
@@ -18,17 +19,18 @@ def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="boxwright", description=__doc__)
     sub = p.add_subparsers(dest="command", required=True)
 
-    def add(name: str, *options: str, **numbers: object) -> None:
+    def add(name: str, *options: str, **numbers: object) -> argparse.ArgumentParser:
         c = sub.add_parser(name)
         for o in options:
             c.add_argument(f"--{o}", required=not o.endswith("?"), dest=o.rstrip("?")) if not o.endswith("?") else c.add_argument(f"--{o[:-1]}", dest=o[:-1])
         for n, default in numbers.items():
             c.add_argument(f"--{n}", type=type(default), default=default)
+        return c
 
     add("compare-models", "dataset", "run", "output", "baseline", "candidate", overlap=0.5)
     add("compare-revisions", "old", "new", "output", unchanged=0.95, related=0.5)
     add("import-dataset", "archive", "target", "sha256?")
-    add("export-yolo", "frames", "predictions", "output")
+    add("export-yolo", "frames", "predictions", "images", "output").add_argument("--overwrite", action="store_true")
     add("read-videos", "recordings", "topic", "output")
     add("sample-frames", "videos", "output", fps=1.0)
     return p
@@ -55,10 +57,12 @@ def main(argv: Sequence[str] | None = None) -> None:
             sides.append(revision.revision_images(images, named, "file_name"))
         found = revision.changes(*sides, args.unchanged, args.related)
         sinks.write_jsonl(found, f"{args.output}/changes", "stable_image_key", "change_type")
-        sinks.write_json({r["change_type"]: r["n"] for r in revision.summary(found).collect()}, f"{args.output}/summary.json")
+        sinks.write_json(spark, {r["change_type"]: r["n"] for r in revision.summary(found).collect()}, f"{args.output}/summary.json")
     elif args.command == "export-yolo":
         frames = files.read_jsonl(spark, args.frames, files.FRAME)
         p = files.read_jsonl(spark, args.predictions, files.PREDICTION)
+        listed = files.list_files(spark, args.images, "*")
+        validate.require_none(validate.frame_violations(frames.drop("output_path"), listed), "frames")
         validate.require_none(validate.duplicates(p, "file_name"), "repeated predictions")
         validate.require_none(frames.join(p, "file_name", "left_anti").select("file_name"), "frames without predictions")
         validate.require_none(p.join(frames, "file_name", "left_anti").select("file_name"), "predictions without frames")
@@ -66,7 +70,10 @@ def main(argv: Sequence[str] | None = None) -> None:
         kept = d.where(F.col("confidence") >= F.coalesce("confidence_threshold", "inference_floor"))
         lines = dataset.yolo_lines(kept.drop("width", "height"), frames, key="file_name")
         empty = frames.join(kept.select("file_name"), "file_name", "left_anti").select("file_name", F.lit(None).cast("int").alias("det_pos"), F.lit("").alias("line"))
-        sinks.write_yolo_labels(lines.select("file_name", "det_pos", "line").unionByName(empty), f"{args.output}/labels")
+        given = p.select("file_name", F.col("model_name").alias("prediction_model"), F.coalesce("confidence_threshold", "inference_floor").alias("prediction_threshold"), "checkpoint_sha256")
+        about = frames.select("file_name", "source_mcap_path", "source_mcap_stem", "source_video", "timestamp_seconds").join(given, "file_name")
+        lines = lines.select("file_name", "det_pos", "line").unionByName(empty)
+        print(sinks.export_yolo(lines, about, args.images, args.output, CATEGORIES, args.overwrite))
     elif args.command == "read-videos":
         spark.dataSource.register(McapSource)
         messages = spark.read.format("mcap").option("topic", args.topic).option("schema_name", video.VIDEO_SCHEMA).load(args.recordings)

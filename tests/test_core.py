@@ -335,7 +335,53 @@ def test_comparison_of_models(spark, tmp_path):
     assert by["a", "test", "overall_micro"].recall == 0.5 and by["a", "test", R].ap50 == 0.0
     assert {r.error_type for r in c.errors.collect()} == {"false_negative"}
     compare.write_reports(c, str(tmp_path / "out"))
-    assert json.loads((tmp_path / "out/comparison.json").read_text())["thresholds"]["b"] == 0.8
+    out = tmp_path / "out"
+    assert json.loads((out / "comparison.json").read_text())["thresholds"]["b"] == 0.8
+    assert "| test | b | macro_classes | 0.8000 | 1.0000 |" in (out / "metrics.md").read_text()
+    assert "| test | overall_micro |" in (out / "deltas.md").read_text() and "+0.5000" in (out / "deltas.md").read_text()
+    assert len(list((out / "charts").glob("*.svg"))) == 2 * 3 * 3
+    page = (out / "review/test_0001.html").read_text()
+    assert "model_only_error" in page and "false_negative" in page and 'src="images/rec2_frame' in page
+    # a category without annotations may be there, one with annotations may not
+    path = tmp_path / "test" / "_annotations.coco.json"
+    doc = json.loads(path.read_text())
+    doc["categories"].append({"id": 3, "name": "hands"})
+    path.write_text(json.dumps(doc))
+    extra = {"id": 7, "image_id": 1, "category_id": 3, "bbox": [0, 0, 5, 5]}
+    path.write_text(json.dumps(doc | {"annotations": [*doc["annotations"], extra]}))
+    assert files.read_coco(spark, str(tmp_path), "test", compare.SUPPORTED)[1].count() == 2
+    with pytest.raises(ValueError, match="unsupported"):
+        compare.load(spark, str(tmp_path), str(tmp_path), ("a", "b"))
+
+
+def test_label_folder(spark, tmp_path):
+    """A whole export: images, labels with an empty one, data.yaml and manifest; a second one needs to be told to overwrite."""
+    import json
+
+    from boxwright import cli
+
+    (tmp_path / "frames").mkdir()
+    base = {"source_mcap_path": "m", "source_mcap_stem": "s", "source_video": "v", "timestamp_seconds": 0.0, "width": 100, "height": 50}
+    with open(tmp_path / "f.jsonl", "w") as f, open(tmp_path / "p.jsonl", "w") as p:
+        for k in range(3):
+            (tmp_path / f"frames/{k}.jpg").write_bytes(b"x" * (k + 1))
+            found = [{"category": "right_hand", "confidence": 0.9, "bbox_xyxy": [-10, 10, 50, 60]}, {"category": "left_hand", "confidence": 0.2, "bbox_xyxy": [0, 0, 9, 9]}]
+            print(json.dumps(base | {"file_name": f"{k}.jpg"}), file=f)
+            print(json.dumps({"file_name": f"{k}.jpg", "width": 100, "height": 50, "model_name": "m", "confidence_threshold": 0.5, "detections": found[: k % 2 + 1] if k else []}), file=p)
+    args = ["export-yolo", *(f"--{o}={tmp_path}/{v}" for o, v in (("frames", "f.jsonl"), ("predictions", "p.jsonl"), ("images", "frames"), ("output", "out")))]
+    cli.main(args)
+    out = tmp_path / "out"
+    label = "1 0.250000 0.600000 0.500000 0.800000\n"
+    assert [(out / f"labels/train/{k}.txt").read_text() for k in range(3)] == ["", label, label]
+    assert (out / "images/train/2.jpg").read_bytes() == b"xxx" and "  1: right_hand" in (out / "data.yaml").read_text()
+    rows = [json.loads(x) for f in (out / "manifest.jsonl").glob("*.json") for x in f.read_text().splitlines()]
+    assert sorted((r["file_name"], r["detections"], r["label_path"], r["prediction_threshold"]) for r in rows) == [("0.jpg", 0, "labels/train/0.txt", 0.5), ("1.jpg", 1, "labels/train/1.txt", 0.5), ("2.jpg", 1, "labels/train/2.txt", 0.5)]
+    with pytest.raises(FileExistsError):
+        cli.main(args)
+    cli.main([*args, "--overwrite"])
+    (tmp_path / "frames/1.jpg").unlink()
+    with pytest.raises(ValueError, match="no image"):
+        cli.main([*args, "--overwrite"])
 
 
 def test_live_gate(spark, tmp_path):
