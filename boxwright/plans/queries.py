@@ -7,14 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxwright.functions.geometry import corners, xyxy_to_xywh
-from boxwright.functions.media import frame_rate, jpeg_qscale
+from boxwright.functions.geometry import corners, xywh_to_xyxy, xyxy_to_xywh
+from boxwright.functions.media import frame_rate, jpeg_qscale, message_seconds
 from boxwright.functions.names import canonical_category, frame_file_name
 from boxwright.operators import dataset as ds
 from boxwright.operators import evaluation as ev
 from boxwright.operators import matching, review, revision, validate
 from boxwright.operators.average_precision import average_precision
 from boxwright.plans import fixtures as fx
+from boxwright.sources import files, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -694,3 +695,83 @@ select recording, image_id, image_id < first_id as in_front from k join f using
 )
 def gop_gate(s: SparkSession, d: str) -> DataFrame:
     return ds.gop_gate(_packets(s, d), "recording", ["image_id"]).select("recording", "image_id", "in_front")
+
+
+# records, label files and rules of sources and sinks
+
+
+@query(f"with {_VIEWS} select annotation_id, x1, y1, x2, y2 from gt")
+def boxes_from_xywh(s: SparkSession, d: str) -> DataFrame:
+    x, y, w, h = xyxy_to_xywh(corners())
+    sides = _gt(s, d).select("annotation_id", x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h"))
+    box = xywh_to_xyxy(*(F.col(c) for c in "xywh"))
+    return sides.select("annotation_id", *[b.alias(c) for b, c in zip(box, ("x1", "y1", "x2", "y2"), strict=True)])
+
+
+@query(f"with {_VIEWS} select image_id, case when image_id%3=0 then image_id/8::double else image_id::double+(image_id%7)*1000/1e9 end as seconds from img")
+def message_times(s: SparkSession, d: str) -> DataFrame:
+    i = F.col("image_id")
+    own = lambda c: F.when(i % 3 != 0, c).otherwise(0)
+    return _images(s, d).select("image_id", message_seconds(own(i), own(i % 7 * 1000), i * 125000000).alias("seconds"))
+
+
+@query(
+    f"""with {_VIEWS} select file_name, model_name, row_number() over (partition by model_name, image_id order by det_pos)-1 as det_pos,
+ category, confidence, x1, y1, x2, y2 from pr0 join img using (image_id)"""
+)
+def detection_records(s: SparkSession, d: str) -> DataFrame:
+    """Detections written as JSON records, one for each image and model, and read back."""
+    one = F.struct("det_pos", "category", "confidence", F.array("x1", "y1", "x2", "y2").alias("bbox_xyxy"))
+    rows = _pr(s, d).join(_images(s, d).select("image_id", "file_name"), "image_id")
+    rows = rows.groupBy("file_name", "model_name").agg(F.array_sort(F.collect_list(one)).alias("detections"))
+    text = rows.select(F.to_json(F.struct("file_name", "model_name", "detections")).alias("line"))
+    records = text.select(F.from_json("line", files.PREDICTION, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+    return files.exploded_detections(records).select("file_name", "model_name", F.col("det_pos").cast("long").alias("det_pos"), "category", "confidence", "x1", "y1", "x2", "y2")
+
+
+@query(
+    f"""with {_VIEWS}, a as (select image_id, ann_ord, category, round_even((x1+x2)/2/640,6) as cx, round_even((y1+y2)/2/480,6) as cy,
+ round_even((x2-x1)/640,6) as w, round_even((y2-y1)/480,6) as h from gt),
+ l as (select image_id, count(*) as n, string_agg(printf('%d %.6f %.6f %.6f %.6f', case when category='left_hand' then 0 else 1 end, cx, cy,
+ {_AXIS.format(c="cx", s="w")}, {_AXIS.format(c="cy", s="h")}) || chr(10), '' order by ann_ord) as label from a group by image_id)
+select file_name, coalesce(label, '') as label, coalesce(n, 0)::int as detections from img left join l using (image_id)"""
+)
+def label_files(s: SparkSession, d: str) -> DataFrame:
+    """The text of each image's label file, empty for an image without boxes."""
+    lines = ds.yolo_lines(_gt(s, d), _images(s, d)).select("file_name", F.col("ann_ord").cast("int").alias("det_pos"), "line")
+    empty = validate.negative_images(_images(s, d), _gt(s, d)).select("file_name", F.lit(None).cast("int").alias("det_pos"), F.lit("").alias("line"))
+    return sinks.label_texts(lines.unionByName(empty))
+
+
+@query(
+    f"""with {_VIEWS}, f as (select case when image_id%50=1 then 'same.jpg' else file_name end as file_name, case when image_id%40=2 then 0 else width end as width, image_id from img)
+select distinct file_name, 'repeated name' as reason from f where file_name='same.jpg'
+union all select file_name, 'no size' from f where width<=0
+union all select file_name, 'no image' from f where image_id%30=3 and file_name<>'same.jpg'"""
+)
+def frame_violations(s: SparkSession, d: str) -> DataFrame:
+    i = F.col("image_id")
+    frames = _images(s, d).withColumn("file_name", F.when(i % 50 == 1, "same.jpg").otherwise(F.col("file_name")))
+    listed = frames.where((i % 30 != 3) | (F.col("file_name") == "same.jpg")).select(F.concat(F.lit("frames/"), "file_name").alias("path"))
+    frames = frames.withColumn("width", F.when(i % 40 == 2, 0).otherwise(F.col("width")))
+    return validate.frame_violations(frames, listed)
+
+
+@query(f"with {_VIEWS} select image_id, file_name, image_id%3=0 as known from img")
+def incremental_records(s: SparkSession, d: str) -> DataFrame:
+    """A second run over all images keeps the records of the first, and adds those of images that it hadn't."""
+    rows = _images(s, d).select("image_id", "file_name")
+    return ds.upsert(rows.where("image_id % 3 = 0").withColumn("known", F.lit(True)), rows.withColumn("known", F.lit(False)), "image_id")
+
+
+@query(f"with {_VIEWS} select image_id, arg_min(annotation_id, ann_ord) as annotation_id from gt where category='right_hand' group by image_id")
+def first_of_image(s: SparkSession, d: str) -> DataFrame:
+    return ds.first_by(_gt(s, d).where("category = 'right_hand'"), ["image_id"], ["ann_ord"]).select("image_id", "annotation_id")
+
+
+@query(f"with {_VIEWS} select split_part(file_name,'_frame',1) as base from img where image_id%4<>0 group by 1 having split_part(base,'rec',2)::int%3=0")
+def missing_provenance(s: SparkSession, d: str) -> DataFrame:
+    base = F.substring_index("file_name", "_frame", 1)
+    names = _images(s, d).where("image_id % 4 <> 0").select(base.alias("base")).distinct()
+    known = names.where(F.substring("base", 4, 9).cast("int") % 3 != 0).select(F.concat(F.lit("b/"), "base").alias("output_video_path"))
+    return validate.missing_provenance(names.select(F.concat(F.lit("a/"), "base").alias("path")), known).select("base")
