@@ -8,7 +8,8 @@ the escape characters restores the text: formatting is reversible for any texts.
 Rows of a conversation are ordered by turn, then role and text; a null turn comes first, a null role is the empty role,
 a null text is empty, repeated rows are turns of their own, and null conv_ids form one conversation. Roles that the
 template doesn't know are marked with their name. An order of turns that the machine doesn't accept gives valid =
-false; such conversations are formatted all the same, and the caller decides.
+false; such conversations are formatted all the same, and the caller decides. Texts of any length are kept whole: a
+conversation is one row. An empty table gives no conversation; other columns than the four are ignored, whatever their names.
 """
 
 from __future__ import annotations

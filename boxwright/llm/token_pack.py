@@ -9,7 +9,11 @@ for each segment its document, the place of its first token in the document, and
 (at each segment). Nothing is shuffled, and a shard is read back alone.
 
 Tokenisers are the public ones named in the parameters, or "bytes" (an id for each byte). Null and empty texts have no
-tokens and no segment, but stay in the shard's list of documents. doc_ids may be null or repeat.
+tokens and no segment, but stay in the shard's list of documents. doc_ids may be null or repeat, and repeated rows are packed as
+often as they occur; pieces of one length are placed in their order. Very long texts are split, never cut: a shard ends after the
+text that fills it, so memory is bounded by SHARD_TOKENS and the longest text. An empty table gives no shard. Only the id and
+the text are read, whatever the other columns are called. The named tokenisers come with the installed package
+`public_tokenizers`, which executors need too, or from `path`.
 """
 
 from __future__ import annotations
