@@ -76,7 +76,7 @@ def main(argv: Sequence[str] | None = None) -> None:
         print(sinks.export_yolo(lines, about, args.images, args.output, CATEGORIES, args.overwrite))
     elif args.command == "read-videos":
         spark.dataSource.register(McapSource)
-        messages = spark.read.format("mcap").option("topic", args.topic).option("schema_name", video.VIDEO_SCHEMA).load(args.recordings)
+        messages = spark.read.format("mcap").option("topic", args.topic).option("schema_name", video.VIDEO_SCHEMA).option("schema_fields", "true").load(args.recordings)
         rows = video.video_messages(messages)
         video.decodable_packets(rows).write.parquet(f"{args.output}/packets")
         sinks.write_jsonl(video.provenance(rows), f"{args.output}/videos", "path")

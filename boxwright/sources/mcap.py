@@ -5,8 +5,9 @@
 
 The driver reads each file's index records and skips over all payloads; every chunk is a partition, and chunks without
 a message of the wanted topic are never read. Paths are local or mounted files, as Python reads them; a file's chunks
-are independent, so a lost task reads one chunk again. Chunks may be plain or compressed with zstd; other compressions
-raise. With the option pushdown (which needs spark.sql.python.filterPushdown.enabled) the topic can also be a filter on
+are independent, so a lost task reads one chunk again. Chunks may be plain or compressed with zstd or lz4; other
+compressions raise. Of several channels with the wanted topic the file's first is read. With the option schema_fields=true the
+numbers of a protobuf message's fields, by the descriptors in the file, come with each message (null where there are none). With the option pushdown (which needs spark.sql.python.filterPushdown.enabled) the topic can also be a filter on
 the column. Messages keep their order by chunk_no and message_no.
 """
 
@@ -17,15 +18,18 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
 
+from boxwright.sources.protobuf import field_numbers, message_types
+
 #: Fixed values of the format.
 MAGIC = b"\x89MCAP0\r\n"
 SCHEMA, CHANNEL, MESSAGE, CHUNK, CHUNK_INDEX, FOOTER = 0x03, 0x04, 0x05, 0x06, 0x08, 0x02
 
 COLUMNS = (
     "path string, chunk_no int, message_no int, topic string, channel_id int, schema_name string, schema_encoding string, "
-    "log_time_ns bigint, data binary"
+    "schema_fields map<string,int>, log_time_ns bigint, data binary"
 )
 
 
@@ -115,6 +119,8 @@ def read_chunk(path: str, start: int) -> bytes:
         import zstandard
 
         return zstandard.ZstdDecompressor().decompress(data, max_output_size=size)
+    if compression == "lz4":
+        return pa.Codec("lz4").decompress(data, size, asbytes=True) if size else b""
     if compression:
         raise ValueError(f"chunks compressed with {compression} can't be read here")
     return data
@@ -139,7 +145,7 @@ class Chunk(InputPartition):
     path: str
     chunk_no: int
     start: int
-    channels: dict[int, tuple[str, str, str]]
+    channels: dict[int, tuple[str, str, str, dict[str, int] | None]]
 
 
 class McapReader(DataSourceReader):
@@ -149,18 +155,20 @@ class McapReader(DataSourceReader):
             raise FileNotFoundError(options["path"])
         self.topic = options.get("topic")
         self.schema_name = options.get("schema_name")
+        self.schema_fields = options.get("schema_fields") == "true"
 
     def partitions(self) -> list[Chunk]:
         out = []
         for path in self.paths:
             s = read_summary(path)
             wanted = {}
+            types = message_types(d for _, e, d in s.schemas.values() if e == "protobuf") if self.schema_fields else {}
             for number, (schema, topic) in s.channels.items():
                 name, encoding, _ = s.schemas.get(schema, ("", "", b""))
-                if self.topic in (None, topic):
+                if self.topic is None or (topic == self.topic and not wanted):
                     if self.schema_name not in (None, name):
                         raise ValueError(f"{topic} in {path} has the schema {name}")
-                    wanted[number] = (topic, name, encoding)
+                    wanted[number] = (topic, name, encoding, field_numbers(types, name))
             if self.topic and not wanted:
                 raise ValueError(f"{path} has no topic {self.topic}")
             out += [Chunk(path, k, at, wanted) for k, (at, has) in enumerate(s.chunks) if not has or has.keys() & wanted]
@@ -169,8 +177,8 @@ class McapReader(DataSourceReader):
     def read(self, partition: Chunk) -> Iterator[tuple]:
         for k, (channel, time, data) in enumerate(messages(read_chunk(partition.path, partition.start))):
             if channel in partition.channels:
-                topic, name, encoding = partition.channels[channel]
-                yield partition.path, partition.chunk_no, k, topic, channel, name, encoding, time, data
+                topic, name, encoding, fields = partition.channels[channel]
+                yield partition.path, partition.chunk_no, k, topic, channel, name, encoding, fields, time, data
 
 
 class PushingMcapReader(McapReader):

@@ -10,66 +10,34 @@ from pyspark.sql import functions as F
 
 from boxwright.functions.media import message_seconds, nal_types_of
 from boxwright.operators.dataset import estimated_fps, gop_gate
+from boxwright.sources.protobuf import protobuf_fields
 
 VIDEO_SCHEMA = "foxglove.CompressedVideo"
 #: Unit types of H.264.
 IDR, SPS, PPS = 5, 7, 8
+#: Field numbers of the public schema, for recordings without descriptors.
+PUBLIC_NUMBERS = {"timestamp": 1, "timestamp.seconds": 1, "timestamp.nanos": 2, "frame_id": 2, "data": 3, "format": 4}
 FIELDS = "seconds bigint, nanos bigint, frame_id string, packet binary, format string, nal array<int>"
 
 
-def protobuf_fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
-    """(number, value) of a message's fields: varints and length-delimited values."""
-    at = 0
-
-    def varint() -> int:
-        nonlocal at
-        value = shift = 0
-        while True:
-            byte = data[at]
-            at += 1
-            value |= (byte & 0x7F) << shift
-            shift += 7
-            if byte < 0x80:
-                return value
-
-    while at < len(data):
-        key = varint()
-        kind = key & 7
-        if kind == 0:
-            yield key >> 3, varint()
-        elif kind == 2:
-            n = varint()
-            at += n
-            yield key >> 3, data[at - n : at]
-        elif kind in (1, 5):
-            at += 8 if kind == 1 else 4
-        else:
-            raise ValueError(f"a field of kind {kind}")
-
-
-def video_fields(data: bytes) -> tuple[int, int, str, bytes, str]:
-    """Time, frame id, packet and format of a compressed-video message (fields 1 to 4)."""
-    seconds = nanos = 0
-    frame_id, packet, kind = "", b"", ""
-    for number, value in protobuf_fields(data):
-        if number == 1 and isinstance(value, bytes):
-            time = dict(protobuf_fields(value))
-            seconds, nanos = int(time.get(1, 0)), int(time.get(2, 0))
-        elif number == 2:
-            frame_id = bytes(value).decode()
-        elif number == 3:
-            packet = bytes(value)
-        elif number == 4:
-            kind = bytes(value).decode()
-    return seconds, nanos, frame_id, packet, kind
+def video_fields(data: bytes, numbers: dict[str, int] = PUBLIC_NUMBERS) -> tuple[int, int, str, bytes, str]:
+    """Time, frame id, packet and format of a compressed-video message, whose fields have these numbers."""
+    found = dict(protobuf_fields(data))
+    time = dict(protobuf_fields(found.get(numbers["timestamp"], b"")))
+    part = lambda name: bytes(found.get(numbers[name], b""))
+    seconds, nanos = (int(time.get(numbers.get(f"timestamp.{n}", PUBLIC_NUMBERS[f"timestamp.{n}"]), 0)) for n in ("seconds", "nanos"))
+    return seconds, nanos, part("frame_id").decode(), part("data"), part("format").decode()
 
 
 def video_messages(messages: DataFrame) -> DataFrame:
-    """Messages with their decoded fields, time, and what their packets hold."""
+    """Messages with their decoded fields, time, and what their packets hold.
+
+    Field numbers are those of the recording's descriptors (the source's option schema_fields), else the public ones.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            made = [video_fields(bytes(x)) for x in b["data"]]
+            made = [video_fields(bytes(x), dict(n) if n else PUBLIC_NUMBERS) for x, n in zip(b["data"], b["schema_fields"], strict=True)]
             out = b[["path", "chunk_no", "message_no", "log_time_ns"]].copy()
             for k, n in enumerate(("seconds", "nanos", "frame_id", "packet", "format")):
                 out[n] = [m[k] for m in made]

@@ -268,32 +268,55 @@ def text(s):
     return struct.pack("<I", len(s)) + s.encode()
 
 
-def recording(tmp_path, compress=True):
+def field(number, value):
+    """A length-delimited field, or a varint below 128."""
+    return bytes([number << 3, value]) if isinstance(value, int) else bytes([number << 3 | 2, len(value)]) + value
+
+
+def descriptors(numbers):
+    """A set of two files: the video message, and the type of its time in a package of its own."""
+    one = lambda name, n, kind=b"": field(2, field(1, name.encode()) + field(3, n) + (field(6, kind) if kind else b""))
+    time = field(1, b"Time") + one("seconds", numbers["timestamp.seconds"]) + one("nanos", numbers["timestamp.nanos"])
+    frame = field(1, b"CompressedVideo") + one("timestamp", numbers["timestamp"], b".clock.Time") + b"".join(one(n, numbers[n]) for n in ("frame_id", "data", "format"))
+    return field(1, field(1, b"t") + field(2, b"clock") + field(4, time)) + field(1, field(1, b"v") + field(2, b"foxglove") + field(4, frame))
+
+
+def recording(tmp_path, codec="zstd", numbers=None):
+    import pyarrow as pa
     import zstandard
 
-    stamp = lambda t: bytes([10, 4, 8]) + bytes([t]) + bytes([16, 0])
+    of = numbers or video.PUBLIC_NUMBERS
+
     def message(t, packet):
-        return stamp(t) + bytes([18, 1]) + b"c" + bytes([26, len(packet)]) + packet + bytes([34, 4]) + b"h264"
+        stamp = field(of["timestamp.seconds"], t) + field(of["timestamp.nanos"], 0)
+        return field(of["timestamp"], stamp) + field(of["frame_id"], b"c") + field(of["data"], packet) + field(of["format"], b"h264")
 
     packets = [b"\x00\x00\x01\x61p", b"\x00\x00\x01\x67s\x00\x00\x01\x68p", b"\x00\x00\x01\x65i", b"\x00\x00\x01\x61q"]
-    head = mcap.MAGIC + record(mcap.SCHEMA, struct.pack("<H", 1) + text(video.VIDEO_SCHEMA) + text("protobuf") + text(""))
-    head += record(mcap.CHANNEL, struct.pack("<HH", 5, 1) + text("/cam") + text("protobuf") + struct.pack("<I", 0))
+    known = descriptors(numbers) if numbers else b""
+    head = mcap.MAGIC + record(mcap.SCHEMA, struct.pack("<H", 1) + text(video.VIDEO_SCHEMA) + text("protobuf") + struct.pack("<I", len(known)) + known)
+    for channel in (5, 6):
+        head += record(mcap.CHANNEL, struct.pack("<HH", channel, 1) + text("/cam") + text("protobuf") + struct.pack("<I", 0))
     out, index = head, b""
     for k in range(2):
         inner = b"".join(record(mcap.MESSAGE, struct.pack("<HIQQ", 5, n, n * 40_000_000, 0) + message(n + 1, packets[n])) for n in (2 * k, 2 * k + 1))
-        data = zstandard.compress(inner) if compress else inner
-        body = struct.pack("<QQQI", 0, 0, len(inner), 0) + text("zstd" if compress else "") + struct.pack("<Q", len(data)) + data
-        index += record(mcap.CHUNK_INDEX, struct.pack("<QQQQ", 0, 0, len(out), 0) + struct.pack("<I", 10) + struct.pack("<HQ", 5, 0))
+        inner += record(mcap.MESSAGE, struct.pack("<HIQQ", 6, 9, 9, 0) + message(9, packets[0]))
+        data = zstandard.compress(inner) if codec == "zstd" else pa.Codec("lz4").compress(inner, asbytes=True) if codec == "lz4" else inner
+        body = struct.pack("<QQQI", 0, 0, len(inner), 0) + text(codec) + struct.pack("<Q", len(data)) + data
+        index += record(mcap.CHUNK_INDEX, struct.pack("<QQQQ", 0, 0, len(out), 0) + struct.pack("<I", 20) + struct.pack("<HQHQ", 5, 0, 6, 0))
         out += record(mcap.CHUNK, body)
-    path = tmp_path / f"r{compress}.mcap"
+    path = tmp_path / f"r{codec}.mcap"
     path.write_bytes(out + index + record(mcap.FOOTER, b"") + mcap.MAGIC)
     return str(path)
 
 
 def test_recordings(spark, tmp_path):
     spark.dataSource.register(mcap.McapSource)
-    for compress in (True, False):
-        messages = spark.read.format("mcap").option("topic", "/cam").load(recording(tmp_path, compress))
+    other = {"timestamp": 4, "timestamp.seconds": 2, "timestamp.nanos": 1, "frame_id": 3, "data": 2, "format": 1}
+    for codec, numbers in (("zstd", None), ("lz4", other), ("", None)):
+        # the second channel of the topic isn't read
+        read = spark.read.format("mcap").option("topic", "/cam").option("schema_fields", "true")
+        messages = read.load(recording(tmp_path, codec, numbers))
+        assert {r.channel_id for r in messages.select("channel_id").collect()} == {5}
         rows = video.video_messages(messages)
         assert rows.count() == 4
         gate = video.decodable_packets(rows).orderBy("chunk_no", "message_no").collect()
@@ -302,10 +325,12 @@ def test_recordings(spark, tmp_path):
         assert (p.frame_id, p.format, p.frame_count, p.time_range_sec, p.average_fps) == ("c", "h264", 2, [3.0, 4.0], 25.0)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     pushed = spark.read.format("mcap").option("pushdown", "true").load(recording(tmp_path)).where("topic = '/cam'")
-    assert pushed.count() == 4
+    assert pushed.count() == 4  # the topic's first channel
     spark.conf.unset("spark.sql.python.filterPushdown.enabled")
     with pytest.raises(Exception, match="no topic"):
         spark.read.format("mcap").option("topic", "/none").load(recording(tmp_path)).count()
+    with pytest.raises(Exception, match="brotli"):
+        spark.read.format("mcap").load(recording(tmp_path, "brotli")).count()
 
 
 def test_iou_column(spark):
