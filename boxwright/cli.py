@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from boxwright.functions.names import CATEGORIES
 from boxwright.operators import dataset, revision, validate
-from boxwright.plans import compare
+from boxwright.plans import compare, prelabel
 from boxwright.sources import files, sinks, video
 from boxwright.sources.mcap import McapSource
 
@@ -33,6 +33,11 @@ def _parser() -> argparse.ArgumentParser:
     add("export-yolo", "frames", "predictions", "images", "output").add_argument("--overwrite", action="store_true")
     add("read-videos", "recordings", "topic", "output")
     add("sample-frames", "videos", "output", fps=1.0)
+    for name, inputs, least in (("predict-coco", ("dataset",), 0.005), ("predict-frames", ("images", "frames", "schema-dataset?"), 0.25)):
+        c = add(name, *inputs, "detector", "checkpoint", "model", "output", confidence=least, batch=4, device="cpu")
+        c.add_argument("--limit", type=int)
+        if name == "predict-coco":
+            c.add_argument("--split", default="all")
     return p
 
 
@@ -80,6 +85,14 @@ def main(argv: Sequence[str] | None = None) -> None:
         rows = video.video_messages(messages)
         video.decodable_packets(rows).write.parquet(f"{args.output}/packets")
         sinks.write_jsonl(video.provenance(rows), f"{args.output}/videos", "path")
+    elif args.command in ("predict-coco", "predict-frames"):
+        options = {"confidence": args.confidence, "batch": args.batch, "device": args.device, "limit": args.limit}
+        by = (args.detector, args.checkpoint, args.model)
+        if args.command == "predict-coco":
+            print(prelabel.predict_coco(spark, args.dataset, args.output, *by, args.split, **options))
+        else:
+            schema = getattr(args, "schema-dataset")
+            print(prelabel.predict_frames(spark, args.images, args.frames, args.output, *by, schema, **options))
     else:
         validate.check_options(fps=args.fps)
         videos = spark.read.json(args.videos)

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from boxwright.functions.geometry import clip, corners, not_degenerate
 from boxwright.functions.media import yolo_label
-from boxwright.functions.names import CATEGORIES, frame_file_name, recording_id, stable_image_key, timestamp_seconds
+from boxwright.functions.names import CATEGORIES, check_ordered_classes, frame_file_name, recording_id, stable_image_key, timestamp_seconds
 
 DEFAULT_FPS = 30.0
 
@@ -76,15 +76,20 @@ def resolve_classes(raw: DataFrame, explicit: DataFrame | None = None, names: Se
     return rows.drop("_mapped", "_known")
 
 
-def class_slots(categories: Sequence[tuple[int, str]], n_slots: int, ignored: Sequence[int] = ()) -> dict[int, str | None]:
-    """What each slot of a detector's output stands for, given the dataset's category ids and names."""
+def class_slots(categories: Sequence[tuple[int, str]], class_names: Sequence[str], n_slots: int, ignored: Sequence[int] = ()) -> dict[int, str | None]:
+    """What each slot of a detector's output stands for: a category's name, or null for one that isn't wanted.
+
+    A dataset with ignored categories has a slot for each category in the order of ids, if the numbers agree, and the others
+    must be left, then right. Otherwise the detector's own class names come first and the background follows.
+    """
     ordered = sorted(categories)
-    if n_slots == len(ordered):
-        return {k: None if i in ignored else name for k, (i, name) in enumerate(ordered)}
-    kept = [name for i, name in ordered if i not in ignored]
-    if n_slots in (len(kept), len(kept) + 1):
-        return {k: kept[k] if k < len(kept) else None for k in range(n_slots)}
-    raise ValueError(f"{n_slots} slots don't fit {len(ordered)} categories")
+    if ignored and n_slots == len(ordered):
+        slots = {k: None if i in ignored else name for k, (i, name) in enumerate(ordered)}
+        check_ordered_classes([name for name in slots.values() if name is not None])
+        return slots
+    if n_slots > 0 and n_slots == len(class_names) + 1:
+        return {**dict(enumerate(class_names)), len(class_names): None}
+    raise ValueError(f"{n_slots} slots fit neither {len(ordered)} categories nor {len(class_names)} classes")
 
 
 def query_count(rows: int, groups: int) -> int:

@@ -195,8 +195,12 @@ def test_validation(spark):
         validate.require_none(boxes, "boxes")
     with pytest.raises(ValueError):
         validate.check_share("overlap", 1.5)
-    assert dataset.class_slots([(1, "x"), (2, L), (3, R)], 3, [1]) == {0: None, 1: L, 2: R}
-    assert dataset.class_slots([(1, "x"), (2, L), (3, R)], 3 - 1, [1]) == {0: L, 1: R}
+    three, two = [(3, R), (1, "x"), (2, L)], ["left", "right"]
+    assert dataset.class_slots(three, two, 3, [1]) == {0: None, 1: L, 2: R}
+    assert dataset.class_slots(three, two, 3) == {0: "left", 1: "right", 2: None}
+    for given, n, ignored in ((three, 2, [1]), (three, 4, [1]), ([(1, R), (2, L), (3, "x")], 3, [3]), (three, 0, [])):
+        with pytest.raises(ValueError):
+            dataset.class_slots(given, two, n, ignored)
 
 
 def test_classes(spark):
@@ -233,6 +237,76 @@ def test_inference(spark):
     assert sorted((r.file_name, r.detections[0].confidence) for r in inference.predict(rows, Stub, 1).collect()) == [("a", 0.2), ("b", 0.1)]
 
 
+STUB = """
+def describe(checkpoint):
+    return {"class_names": ["left", "right"], "slots": 3, "config": {"kind": "stub"}}
+
+
+class Stub:
+    def __init__(self, confidence):
+        self.confidence = confidence
+
+    def predict_batch(self, images):
+        assert 0 < len(images) <= 2
+        return [len(i) - 1 for i in images]
+
+    def normalize(self, result, image):
+        # slots: none, left, right; the third box has no extent inside the image, the fourth is of no wanted class
+        made = [(1, 0.5, (-5, 1, 20.00006, 30)), (2, 0.1234567, (90, 40, 200, 300)), (1, 0.9, (100, 0, 120, 9)), (0, 0.9, (0, 0, 9, 9))]
+        boxes = [dict(class_id=c, class_name=None, confidence=s, **dict(zip(("x1", "y1", "x2", "y2"), map(float, b)))) for c, s, b in made]
+        return [b for b in boxes if b["confidence"] >= self.confidence][: result]
+
+
+def make(checkpoint, confidence, device):
+    return Stub(confidence)
+"""
+
+
+def test_prelabelling(spark, tmp_path):
+    import json
+
+    from boxwright import cli
+    from boxwright.sources.files import exploded_detections, read_jsonl
+
+    (tmp_path / "stub_detector.py").write_text(STUB)
+    spark.sparkContext.addPyFile(str(tmp_path / "stub_detector.py"))
+    (tmp_path / "w.bin").write_bytes(b"weights")
+    names = [f"rec_frame00000{k}_000000{k}000ms_jpg.rf.x.jpg" for k in range(3)]
+    doc = {"images": [{"id": k, "file_name": n, "width": 100, "height": 50} for k, n in enumerate(names)], "annotations": [{"id": 1, "image_id": 1, "category_id": 2, "bbox": [0, 0, 1, 1]}],
+           "categories": [{"id": 1, "name": "hands"}, {"id": 2, "name": L}, {"id": 3, "name": R}]}
+    for split in ("train", "valid", "test"):
+        (tmp_path / split).mkdir()
+        (tmp_path / split / "_annotations.coco.json").write_text(json.dumps(doc))
+        for k, n in enumerate(names):
+            (tmp_path / split / n).write_bytes(b"i" * (1 + 4 * k))
+    common = ["--detector", "stub_detector", "--checkpoint", str(tmp_path / "w.bin"), "--model", "m", "--batch", "2"]
+    cli.main(["predict-coco", "--dataset", str(tmp_path), "--output", str(tmp_path / "run"), "--split", "valid", *common])
+    rows = read_jsonl(spark, str(tmp_path / "run/predictions/m/valid.jsonl"), files.PREDICTION).orderBy("file_name").collect()
+    assert [(r.file_name, len(r.detections), r.timestamp_seconds, r.source_recording) for r in rows] == [(n, 2 * (k > 0), float(k), "rec") for k, n in enumerate(names)]
+    assert json.loads(rows[0].model_config)["class_slot_mapping"] == {"0": None, "1": L, "2": R} and rows[0].checkpoint_sha256
+    one, two = rows[1].detections
+    assert (one.category, one.category_id, one.confidence, one.bbox_xyxy, one.raw_class_id) == (L, 0, 0.5, [0.0, 1.0, 20.0001, 30.0], 1)
+    assert (two.category, two.category_id, two.confidence, two.bbox_xyxy) == (R, 1, 0.123457, [90.0, 40.0, 100.0, 50.0])
+    found = json.loads((tmp_path / "run/latency/m/valid.json").read_text())
+    assert (found["image_count"], found["detection_count"]) == (3, 4) and found["per_image_inference_ms"]["max"] >= 0
+    # the same detector over frames, the first two of them, with a higher floor
+    lines = [{"file_name": f"f{k}.jpg", "output_path": names[k], "source_mcap_stem": "s", "timestamp_seconds": k / 2, "width": 100, "height": 50} for k in range(3)]
+    (tmp_path / "frames.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    frames = ["predict-frames", "--images", str(tmp_path / "train"), "--output", str(tmp_path / "pre"), *common, "--schema-dataset", str(tmp_path)]
+    cli.main([*frames, "--frames", str(tmp_path / "frames.jsonl"), "--limit", "2", "--confidence", "0.25"])
+    made = exploded_detections(read_jsonl(spark, str(tmp_path / "pre.jsonl"), files.PREDICTION)).collect()
+    assert [(r.file_name, r.split, r.category, r.inference_floor) for r in made] == [("f1.jpg", "frames", L, 0.25)]
+    lines[1]["file_name"] = "f0.jpg"
+    (tmp_path / "twice.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    with pytest.raises(ValueError, match="frames"):
+        cli.main([*frames, "--frames", str(tmp_path / "twice.jsonl")])
+    (tmp_path / "empty.jsonl").write_text("")
+    with pytest.raises(ValueError, match="no frame records"):
+        cli.main([*frames, "--frames", str(tmp_path / "empty.jsonl")])
+    with pytest.raises(ValueError, match="checkpoint"):
+        cli.main([*frames, "--frames", str(tmp_path / "frames.jsonl"), "--checkpoint", str(tmp_path / "none")])
+
+
 def test_files(spark, tmp_path):
     import json
     import zipfile
