@@ -14,6 +14,7 @@ from boxwright.llm.mix import mix
 from boxwright.llm.order_minhash import near_duplicates
 from boxwright.llm.phrase_index import SLOP, build_index, digest, search
 from boxwright.llm.shards import plan_shards
+from boxwright.llm.simhash import near_duplicates as simhash_components
 from boxwright.llm.token_pack import packed_documents
 from boxwright.llm.toxicity import score
 from boxwright.llm.warc import archived_pages
@@ -96,6 +97,10 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_decontaminate": op2_decontaminate,
@@ -107,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_quality_rules": op9_quality_rules,
     "op10_near_duplicates": op10_near_duplicates,
+    "op13_simhash": op13_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
