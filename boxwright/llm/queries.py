@@ -13,6 +13,8 @@ from boxwright.llm.divergence import judge
 from boxwright.llm.mix import mix
 from boxwright.llm.order_minhash import near_duplicates
 from boxwright.llm.phrase_index import SLOP, build_index, digest, search
+from boxwright.llm.prefix_trie import grafted, trie, turn_lists
+from boxwright.llm.repair import damaged, repaired
 from boxwright.llm.shards import plan_shards
 from boxwright.llm.simhash import near_duplicates as simhash_components
 from boxwright.llm.token_pack import packed_documents
@@ -97,6 +99,14 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie(grafted(turn_lists(table(spark, sf_dir, "conversations"))))
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired(damaged(table(spark, sf_dir, "conversations")))
+
+
 def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
@@ -112,6 +122,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_quality_rules": op9_quality_rules,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_repair": op12_repair,
     "op13_simhash": op13_simhash,
 }
 
@@ -161,5 +173,102 @@ select page_id, cast(payload_bytes as bigint) as payload_bytes,
   case when least is null or page_id is null or page_id = least then 'response' else 'revisit' end as record_type,
   case when page_id <> least then least end as refers_to, cast(null as varchar) as error
 from bits
+""",
+    # crc32 by the usual table of 16 entries, over the low and the high half of each digit's byte
+    "op11_prefix_trie": """
+with recursive turns as (
+  select conv_id, turn, md5(cast(length(coalesce(role, '')) as varchar) || ':' || coalesce(role, '') || coalesce(text, '')) as id,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as words
+  from conversations where conv_id is not null
+), lists as (
+  select conv_id, list({'id': id, 'words': words} order by turn nulls first, id) as turns from turns group by conv_id
+), hashed as (
+  select *, conv_id - conv_id % 20 as base, xor(4294967295, list_reduce(
+    flatten(list_transform(string_split(cast(conv_id as varchar), ''), lambda c: [cast(ascii(c) & 15 as bigint), cast(ascii(c) >> 4 as bigint)])),
+    lambda a, x: xor(a >> 4, list_extract([0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960,
+      1342533948, 3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108],
+      cast((xor(a, x) & 15) + 1 as int))), cast(4294967295 as bigint))) % 4 as h
+  from lists
+), built as (
+  select a.conv_id, list_concat(coalesce(b.turns[1:a.h], []), a.turns[a.h + 1:]) as turns
+  from hashed a left join lists b on a.base = b.conv_id
+), members as (
+  select conv_id, d, len(turns) as n, array_to_string(list_transform(turns[1:d], lambda t: t.id), '') as path,
+    case when d = 0 then 0 else turns[d].words end as words
+  from (select *, unnest(range(0, len(turns) + 1)) as d from built)
+), nodes as (
+  select path, any_value(d) as depth, min(conv_id) as conv_id, count(*) as n_convs, any_value(words) as words,
+    sha256(coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (where d = n), '')) as ends_sha256
+  from members group by path
+), families as (
+  select p.path, count(c.path) as n_children from nodes p
+  left join nodes c on c.depth = p.depth + 1 and starts_with(c.path, p.path) group by p.path
+), sums as (
+  select p.path, count(*) filter (where f.n_children = 0) as n_leaves, sum((c.n_convs - 1) * c.words) as saved_tokens
+  from nodes p join nodes c on starts_with(c.path, p.path) join families f on f.path = c.path group by p.path
+)
+select n.conv_id, cast(n.depth as bigint) as depth, u.conv_id as parent_conv_id, n.n_convs, f.n_children, s.n_leaves,
+  cast(s.saved_tokens as bigint) as saved_tokens, n.ends_sha256
+from nodes n join families f using (path) join sums s using (path)
+left join nodes u on n.depth > 0 and u.path = left(n.path, 32 * (n.depth - 1))
+""",
+    # the cheapest way into each state of `(s?(ua)+)?` as (cost, audit, text), turn by turn; runs of inserts before a turn are
+    # ways between states
+    "op12_repair": """
+with recursive hashed as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, xor(4294967295, list_reduce(
+    flatten(list_transform(string_split(coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' '), ''),
+      lambda c: [cast(ascii(c) & 15 as bigint), cast(ascii(c) >> 4 as bigint)])),
+    lambda a, x: xor(a >> 4, list_extract([0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960,
+      1342533948, 3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108],
+      cast((xor(a, x) & 15) + 1 as int))), cast(4294967295 as bigint))) % 20 as f
+  from conversations
+), turns as (
+  select conv_id, turn, case f when 4 then 'user' else role end as role,
+    case f when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+  from hashed, unnest(range(0, case f when 0 then 0 when 3 then 2 else 1 end)) where f <> 0
+), placed as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as k,
+    rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as rest from turns
+), kinds as (
+  select *, case when rest = '' then 'b' when row_number() over (partition by conv_id, role, text order by k) > 1 then 'd'
+    when right(rest, 1) in ('.', '!', '?') then '' else 't' end as kind,
+    left(role, 1) as i, left(lag(role) over (partition by conv_id order by k), 1) as before
+  from placed
+), counts as (
+  select conv_id, count(*) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps,
+    count(*) filter (where kind = 'b') as blank, count(*) filter (where kind = 'd') as duplicate,
+    count(*) filter (where kind = 't') as truncated,
+    count(*) filter (where before is not null and before || i not in ('su', 'ua', 'au')) as illegal
+  from kinds group by conv_id
+), inserts(p, q, run, said) as (
+  values ('0', '0', '', []), ('S', 'S', '', []), ('U', 'U', '', []), ('A', 'A', '', []), ('0', 'U', 'I', ['user:']),
+    ('S', 'U', 'I', ['user:']), ('A', 'U', 'I', ['user:']), ('U', 'A', 'I', ['assistant:']),
+    ('0', 'A', 'II', ['user:', 'assistant:']), ('S', 'A', 'II', ['user:', 'assistant:'])
+), walk as (
+  select conv_id, 0 as k, '0' as state, 0 as cost, '' as audit, cast([] as varchar[]) as said from counts
+  union all
+  select conv_id, k, state, best.cost, best.audit, best.said from (
+    select w.conv_id, t.k, e.state, min({'cost': w.cost + 2 * length(n.run) + e.cost, 'audit': w.audit || n.run || e.edit,
+      'said': list_concat(w.said, n.said, case when e.role is null then [] else [e.role || ':' || t.text] end)}) as best
+    from walk w join kinds t on t.conv_id is not distinct from w.conv_id and t.k = w.k + 1 join inserts n on n.p = w.state,
+    lateral (
+      select 'D' as edit, n.q as state, 3 as cost, cast(null as varchar) as role
+      union all select 'R', case n.q when 'U' then 'A' else 'U' end, 2 + (t.kind = 't')::int,
+        case n.q when 'U' then 'assistant' else 'user' end where t.kind not in ('b', 'd')
+      union all select 'K', upper(t.i), (t.kind = 't')::int, t.role
+        where t.kind not in ('b', 'd') and n.q || t.i in ('0s', '0u', 'Su', 'Ua', 'Au')
+    ) e group by w.conv_id, t.k, e.state
+  )
+), ends as (
+  select w.conv_id, min({'cost': w.cost + 2 * length(n.run), 'audit': w.audit || n.run, 'said': list_concat(w.said, n.said)}) as best
+  from walk w join counts c on c.conv_id is not distinct from w.conv_id and w.k = c.n join inserts n on n.p = w.state and n.q in ('0', 'A')
+  group by w.conv_id
+)
+select o.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate,
+  coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, cast(coalesce(best.cost, 0) as bigint) as cost,
+  coalesce(best.audit, '') as audit, sha256(coalesce(array_to_string(best.said, chr(10)), '')) as repaired_sha256
+from (select distinct conv_id from conversations) o left join counts c on c.conv_id is not distinct from o.conv_id
+left join ends e on e.conv_id is not distinct from o.conv_id
 """,
 }
