@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from boxwright.functions.rounding import exact_round
+
 LEFT, RIGHT = "left_hand", "right_hand"
 CATEGORIES = (LEFT, RIGHT)
 #: Names of the two categories, lower-cased, with single blanks.
@@ -16,7 +18,7 @@ ALIASES = {
 
 
 def stable_image_key(file_name: Column) -> Column:
-    """The base name without an export tool's revision hash."""
+    """The base name without an export tool's revision hash. The pattern is a fixed value."""
     return F.regexp_replace(F.regexp_extract(file_name, r"([^/]*)$", 1), r"(?i)_jpg\.rf\.[^.]+\.jpg$", ".jpg")
 
 
@@ -27,7 +29,7 @@ def recording_id(file_name: Column) -> Column:
 
 
 def timestamp_seconds(file_name: Column) -> Column:
-    """Seconds from the first ten-digit `ms` part; null without one."""
+    """Seconds from the first ten-digit `ms` part; null without one. The pattern is a fixed value."""
     ms = F.regexp_extract(file_name, r"_([0-9]{10})ms(?:_|\.|$)", 1)
     return F.nullif(ms, F.lit("")).cast("double") / 1000
 
@@ -35,7 +37,7 @@ def timestamp_seconds(file_name: Column) -> Column:
 def frame_file_name(stem: Column, index: Column, seconds: Column) -> Column:
     """A frame's name from its recording, index and time, with other characters than name characters replaced."""
     clean = F.btrim(F.regexp_replace(stem, "[^A-Za-z0-9_.-]+", "_"), F.lit("._"))
-    return F.format_string("%s_frame%06d_%010dms.jpg", clean, index, F.bround(seconds * 1000).cast("long"))
+    return F.format_string("%s_frame%06d_%010dms.jpg", clean, index, exact_round(seconds * 1000, 0).cast("long"))
 
 
 def canonical_category(name: Column) -> Column:

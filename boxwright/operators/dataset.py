@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from boxwright.functions.geometry import clip, corners, not_degenerate
 from boxwright.functions.media import yolo_label
 from boxwright.functions.names import CATEGORIES, check_ordered_classes, frame_file_name, recording_id, stable_image_key, timestamp_seconds
+from boxwright.functions.rounding import exact_round
 
 DEFAULT_FPS = 30.0
 
@@ -51,7 +52,10 @@ def normalized_detections(raw: DataFrame, width: str = "width", height: str = "h
     """Detections clipped to their image, those without an extent left out; confidence to six places, corners to four."""
     x1, y1, x2, y2 = clip(corners(), F.col(width), F.col(height))
     rows = raw.withColumns({"x1": x1, "y1": y1, "x2": x2, "y2": y2}).where(not_degenerate(corners()))
-    return rows.withColumns({c: F.bround(c, 4) for c in ("x1", "y1", "x2", "y2")} | {"confidence": F.bround("confidence", 6)})
+    return rows.withColumns(
+        {c: exact_round(F.col(c), 4, plain=True) for c in ("x1", "y1", "x2", "y2")}
+        | {"confidence": exact_round(F.col("confidence"), 6, plain=True)}
+    )
 
 
 def resolve_classes(raw: DataFrame, explicit: DataFrame | None = None, names: Sequence[str] = ()) -> DataFrame:

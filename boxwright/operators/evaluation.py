@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from boxwright.functions.names import CATEGORIES
+from boxwright.functions.rounding import exact_round
 from boxwright.functions.scores import fbeta, precision, recall
 from boxwright.operators.matching import CONFUSION, FALSE_NEGATIVE, FALSE_POSITIVE, TRUE_POSITIVE, match
 
@@ -65,12 +66,18 @@ def scored(df: DataFrame) -> DataFrame:
     p, r = precision(F.col("tp"), F.col("fp")), recall(F.col("tp"), F.col("fn"))
     return df.withColumns(
         {
-            "precision": F.bround(p, 6), "recall": F.bround(r, 6),
-            "f1": F.bround(fbeta(p, r, 1.0), 6), "f2": F.bround(fbeta(p, r, 2.0), 6),
+            "precision": exact_round(p, 6), "recall": exact_round(r, 6),
+            "f1": exact_round(fbeta(p, r, 1.0), 6), "f2": exact_round(fbeta(p, r, 2.0), 6),
         }
     )
 
 
+def metric_keys(splits: DataFrame, models: Sequence[str]) -> DataFrame:
+    """splits (a row for each, with its image_count) times models times the categories and all of them together."""
+    every = lambda names: F.explode(F.array(*map(F.lit, names)))
+    return splits.withColumn("model_name", every(models)).withColumn("category", every((MICRO, *CATEGORIES)))
+
+
 def threshold_sweep(
     images: DataFrame,
     ground_truth: DataFrame,
@@ -79,7 +86,7 @@ def threshold_sweep(
     least: float = 0.5,
     key: str = "image_id",
 ) -> DataFrame:
-    """tp, fp and fn at every confidence that occurs, and at 0 and 1, for each split, model and category.
+    """tp, fp and fn at every confidence that occurs, and at 0 and 1, for each split, model and category, with boxes or without.
 
     Overall, boxes of one category only ever match that category, so its walk is the two categories' walks together.
     """
@@ -91,10 +98,12 @@ def threshold_sweep(
     )
     by = ["split", "model_name", "category"]
     steps = with_micro(found).groupBy(*by, "confidence").agg(F.sum("tp").alias("tp"), F.count(F.lit(1)).alias("n"))
-    totals = with_micro(ground_truth.select(key, "category").join(split, key).select("split", "category")).groupBy("split", "category").count()
-    ends = totals.select(
-        "split", F.explode(F.array(*map(F.lit, models))).alias("model_name"), "category",
-        F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("confidence"), F.lit(0).cast("long").alias("tp"),
+    totals = with_micro(ground_truth.select(key, "category").join(split, key).select("split", "category")).groupBy("split", "category").agg(
+        F.count(F.lit(1)).alias("gt")
+    )
+    keys = metric_keys(images.groupBy("split").agg(F.count(F.lit(1)).alias("image_count")), models)
+    ends = keys.select(
+        *by, F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("confidence"), F.lit(0).cast("long").alias("tp"),
         F.lit(0).cast("long").alias("n"),
     )
     steps = steps.unionByName(ends).groupBy(*by, "confidence").agg(F.sum("tp").alias("tp"), F.sum("n").alias("n"))
@@ -102,17 +111,17 @@ def threshold_sweep(
     # the number of different confidences bounds a partition, not the number of boxes
     return (
         steps.withColumns({"tp": F.sum("tp").over(so_far), "n": F.sum("n").over(so_far)})
-        .join(F.broadcast(totals.withColumnRenamed("count", "gt")), ["split", "category"])  # a few rows for each split
+        .join(F.broadcast(totals), ["split", "category"], "left")  # a few rows for each split
         .select(
             *by, F.col("confidence").alias("threshold"), "tp", (F.col("n") - F.col("tp")).alias("fp"),
-            (F.col("gt") - F.col("tp")).alias("fn"),
+            (F.coalesce("gt", F.lit(0)) - F.col("tp")).alias("fn"),
         )
     )
 
 
 def select_thresholds(sweep: DataFrame) -> DataFrame:
     """For each split, model and category the thresholds with the best rounded F1 and F2, the larger one of ties."""
-    rows = scored(sweep).withColumn("threshold", F.bround("threshold", 6))
+    rows = scored(sweep).withColumn("threshold", exact_round(F.col("threshold"), 6, plain=True))
     best = lambda f: F.max(F.struct(f, "threshold"))["threshold"].alias(f"{f}_threshold")
     top = lambda f: F.max(f).alias(f"best_{f}")
     return rows.groupBy("split", "model_name", "category").agg(best("f1"), top("f1"), best("f2"), top("f2"))
@@ -132,26 +141,13 @@ def evaluation_rows(
 
     average_precision: split, model_name, category, ap50, ap75 and map_50_95; zeros without it.
     """
-    split = images.select(key, "split")
-    found = match(ground_truth, predictions, models, threshold, least, key).join(split, key)
+    found = match(ground_truth, predictions, models, threshold, least, key).join(images.select(key, "split"), key)
     by = ["split", "model_name"]
-    keys = split.select("split").distinct().select(
-        "split", F.explode(F.array(*map(F.lit, models))).alias("model_name"),
-        F.explode(F.array(*map(F.lit, (MICRO, *CATEGORIES)))).alias("category"),
-    )
-    counts = match_counts(found, by)
-    n_gt = with_micro(ground_truth.select(key, "category").join(split, key).select("split", "category")).groupBy("split", "category").agg(
-        F.count(F.lit(1)).alias("ground_truth_count")
-    )
-    kept = predictions.where(F.col("confidence") >= threshold).select(key, "model_name", "category").join(split, key)
-    n_pred = with_micro(kept.select(*by, "category")).groupBy(*by, "category").agg(
-        F.count(F.lit(1)).alias("prediction_count")
-    )
-    n_images = split.groupBy("split").agg(F.count(F.lit(1)).alias("image_count"))
-    rows = (
-        keys.join(counts, [*by, "category"], "left").join(n_gt, ["split", "category"], "left")
-        .join(n_pred, [*by, "category"], "left").join(n_images, "split")
-    )
+    keys = metric_keys(images.groupBy("split").agg(F.count(F.lit(1)).alias("image_count")), models)
+    # every prediction is a true or a false positive, every box a true positive or a false negative
+    rows = keys.join(match_counts(found, by), [*by, "category"], "left").withColumns(
+        {"prediction_count": F.col("tp") + F.col("fp"), "ground_truth_count": F.col("tp") + F.col("fn")}
+    )
     if average_precision is not None:
         rows = rows.join(average_precision, [*by, "category"], "left")
     else:
@@ -172,7 +168,7 @@ def macro_rows(rows: DataFrame) -> DataFrame:
     return classes.groupBy("split", "model_name", "confidence_threshold", "iou_threshold").agg(
         F.lit(MACRO).alias("category"), F.max("image_count").alias("image_count"),
         *[F.sum(c).alias(c) for c in sums], F.max("confusions").alias("confusions"),
-        *[F.bround(F.avg(c), 6).alias(c) for c in METRICS],
+        *[exact_round(F.avg(c), 6).alias(c) for c in METRICS],
     )
 
 
@@ -186,8 +182,8 @@ def metric_deltas(rows: DataFrame, baseline: str, candidate: str) -> DataFrame:
     for m in METRICS:
         a, b = F.col(f"{m}_baseline"), F.col(f"{m}_candidate")
         out += [
-            a, b, F.bround(b - a, 6).alias(f"{m}_absolute_delta"),
-            F.when(a != 0, F.bround((b - a) / a * 100, 3)).alias(f"{m}_relative_percent"),
+            a, b, exact_round(b - a, 6).alias(f"{m}_absolute_delta"),
+            F.when(a != 0, exact_round((b - a) / a * 100, 3)).alias(f"{m}_relative_percent"),
         ]
     return both.select(
         "split", "category", F.lit(baseline).alias("baseline_model"), F.lit(candidate).alias("candidate_model"), *out
@@ -197,7 +193,7 @@ def metric_deltas(rows: DataFrame, baseline: str, candidate: str) -> DataFrame:
 def diagnostic_aggregates(rows: DataFrame) -> DataFrame:
     """For each model and category the splits' plain mean, and scores of their pooled counts (without AP)."""
     by = ["model_name", "category"]
-    mean = rows.groupBy(*by).agg(F.lit("equal_split_average").alias("aggregation"), *[F.bround(F.avg(m), 6).alias(m) for m in METRICS])
+    mean = rows.groupBy(*by).agg(F.lit("equal_split_average").alias("aggregation"), *[exact_round(F.avg(m), 6).alias(m) for m in METRICS])
     pooled = scored(rows.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]))
     pooled = pooled.select(
         *by, F.lit("pooled_counts").alias("aggregation"), *METRICS[:4],

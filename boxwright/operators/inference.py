@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from boxwright.functions.geometry import clip, fields, not_degenerate
 from boxwright.functions.names import CATEGORIES, canonical_category
+from boxwright.functions.rounding import exact_round
 
 PREDICTIONS = (
     "file_name string, detections array<struct<category:string,confidence:double,x1:double,y1:double,x2:double,y2:double>>, "
@@ -97,9 +98,9 @@ def prediction_records(raw: DataFrame, images: DataFrame, model: Model) -> DataF
     found = F.transform(
         kept,
         lambda e: F.struct(
-            F.array(*[F.bround(v, 4) for v in inside(e["d"])]).alias("bbox_xyxy"),
+            F.array(*[exact_round(v, 4) for v in inside(e["d"])]).alias("bbox_xyxy"),
             canonical_category(e["name"]).alias("category"), number(canonical_category(e["name"])).alias("category_id"),
-            F.bround(e["d"]["confidence"], 6).alias("confidence"), e["d"]["class_id"].alias("raw_class_id"),
+            exact_round(e["d"]["confidence"], 6, plain=True).alias("confidence"), e["d"]["class_id"].alias("raw_class_id"),
             e["name"].alias("raw_class_name"),
         ),
     )
@@ -107,6 +108,6 @@ def prediction_records(raw: DataFrame, images: DataFrame, model: Model) -> DataF
         "file_name", "split", "width", "height", "source_recording", "timestamp_seconds", F.lit(model.name).alias("model_name"),
         F.parse_json(F.lit(json.dumps(model.config, sort_keys=True))).alias("model_config"),
         F.lit(model.checkpoint_sha256).cast("string").alias("checkpoint_sha256"), F.lit(model.device).alias("device"),
-        F.lit(model.floor).alias("inference_floor"), F.create_map(F.lit("inference"), F.bround("ms", 4)).alias("timing_ms"),
+        F.lit(model.floor).alias("inference_floor"), F.create_map(F.lit("inference"), exact_round(F.col("ms"), 4, plain=True)).alias("timing_ms"),
         found.alias("detections"), "ms",
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from boxwright.functions.geometry import fields, iou
 from boxwright.functions.names import recording_id, timestamp_seconds
+from boxwright.functions.rounding import exact_round
 from boxwright.operators.matching import CONFUSION, FALSE_NEGATIVE, FALSE_POSITIVE, TRUE_POSITIVE
 
 #: From the least to the most urgent.
@@ -20,7 +21,7 @@ def provenance() -> list[Column]:
 
 def box_json(box: Column) -> Column:
     """A box as JSON text to four places; null for no box."""
-    values = F.array(*[F.bround(c, 4) for c in fields(box)])
+    values = F.array(*[exact_round(c, 4, plain=True) for c in fields(box)])
     return F.when(box.isNotNull(), F.replace(F.to_json(values), F.lit(","), F.lit(", ")))
 
 
@@ -31,9 +32,9 @@ def image_manifest(images: DataFrame, matches: DataFrame, models: tuple[str, ...
     counts = matches.groupBy(key, "model_name").agg(
         of(TRUE_POSITIVE).alias("true_positive_count"), of(FALSE_POSITIVE).alias("false_positive_count"),
         of(FALSE_NEGATIVE).alias("false_negative_count"), of(CONFUSION).alias("class_confusion_count"),
-        F.bround(F.min(F.when(kind == TRUE_POSITIVE, F.col("iou"))), 6).alias("minimum_true_positive_iou"),
-        F.bround(F.avg(F.when(kind == TRUE_POSITIVE, F.col("iou"))), 6).alias("mean_true_positive_iou"),
-        F.bround(F.max(F.when(kind == FALSE_POSITIVE, F.col("confidence"))), 6).alias("maximum_false_positive_confidence"),
+        exact_round(F.min(F.when(kind == TRUE_POSITIVE, F.col("iou"))), 6).alias("minimum_true_positive_iou"),
+        exact_round(F.avg(F.when(kind == TRUE_POSITIVE, F.col("iou"))), 6).alias("mean_true_positive_iou"),
+        exact_round(F.max(F.when(kind == FALSE_POSITIVE, F.col("confidence"))), 6).alias("maximum_false_positive_confidence"),
     )
     every = images.withColumn("model_name", F.explode(F.array(*map(F.lit, models))))
     names = [c for c in counts.columns if c.endswith("_count")]
@@ -69,7 +70,7 @@ def box_manifest(images: DataFrame, matches: DataFrame, key: str = "image_id") -
     return rows.select(
         "split", "file_name", *provenance(), "model_name", "match_type", "category",
         F.coalesce("predicted_category", "category").alias("predicted_category"),
-        F.bround("confidence", 6).alias("confidence"), F.bround("iou", 6).alias("iou"),
+        exact_round(F.col("confidence"), 6, plain=True).alias("confidence"), exact_round(F.col("iou"), 6, plain=True).alias("iou"),
         box_json(F.col("p")).alias("prediction_bbox_xyxy"), box_json(F.col("g")).alias("ground_truth_bbox_xyxy"),
     )
 
@@ -143,7 +144,7 @@ def error_manifest(images: DataFrame, matches: DataFrame, first: str, second: st
     return rows.select(
         "split", "model_name", "file_name", *provenance(), F.col("match_type").alias("error_type"), "category",
         "predicted_category", "confidence",
-        F.coalesce(box_json(F.col("p")), box_json(F.col("g"))).alias("bbox_xyxy"), F.bround("iou", 6).alias("iou"),
+        F.coalesce(box_json(F.col("p")), box_json(F.col("g"))).alias("bbox_xyxy"), exact_round(F.col("iou"), 6, plain=True).alias("iou"),
         F.coalesce(F.try_element_at("priorities", F.col("model_name")), F.lit(PRIORITIES[0])).alias("review_priority"),
     )
 

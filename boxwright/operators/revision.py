@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxwright.functions.names import stable_image_key
+from boxwright.functions.rounding import exact_round
 from boxwright.operators.matching import edges, greedy, numbered
 
 _NAMES = ("category", "x1", "y1", "x2", "y2")
@@ -83,7 +84,7 @@ def changes(old: DataFrame, new: DataFrame, unchanged: float = 0.95, related: fl
         F.col("image_key").alias("stable_image_key"), "old_file_name", "new_file_name", "old_split", "new_split",
         F.col("c.change_type").alias("change_type"), F.col("c.old.category").alias("old_category"),
         F.col("c.new.category").alias("new_category"), box(F.col("c.old")).alias("old_bbox_xyxy"),
-        box(F.col("c.new")).alias("new_bbox_xyxy"), F.col("c.iou").alias("iou"),
+        box(F.col("c.new")).alias("new_bbox_xyxy"), exact_round(F.col("c.iou"), 6, plain=True).alias("iou"),
     )
 
 
