@@ -6,7 +6,8 @@ false negative. Ties go to the earlier prediction and to the earlier ground-trut
 
 An image is one row with its boxes as arrays, so all boxes of an image meet through one exchange on its key for both
 sides. Overlaps are computed once, as an array of the edges that are large enough; in the order of phase, prediction, overlap and
-ground-truth box, an edge is taken if both of its ends are still free. That walk is a fold over the few edges left.
+ground-truth box, an edge is taken if both of its ends are still free. That walk is a fold over the few edges left. Images with
+too many boxes for one row are matched by crowds.py, with the same result.
 """
 
 from __future__ import annotations
@@ -91,13 +92,13 @@ def image_rows(
     ground_truth: DataFrame, predictions: DataFrame, models: Sequence[str], key: str = "image_id"
 ) -> DataFrame:
     """A row for each model and image with a box: its predictions p and ground-truth boxes g as arrays."""
-    p = predictions.groupBy(key, "model_name").agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("_order"), *_P))).alias("p")
+    # all models' predictions of an image travel together, so that each side is dealt out by image once
+    p = predictions.groupBy(key).agg(
+        F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("_order"), *_P, "model_name"))).alias("all")
     )
-    p = p.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("model_name", "p"))).alias("by_model"))
     g = ground_truth.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*_G))).alias("g"))
     both = p.join(g, key, "full").withColumn("model_name", F.explode(F.array(*map(F.lit, models))))
-    both = both.withColumn("p", F.try_element_at("by_model", F.col("model_name"))).drop("by_model")
+    both = both.withColumn("p", F.filter("all", lambda x: x["model_name"] == F.col("model_name"))).drop("all")
     none = lambda c, kind: F.coalesce(c, F.array().cast(kind))
     both = both.withColumn("p", numbered("p", _P)).withColumn("g", numbered("g", _G))
     kinds = dict(both.dtypes)

@@ -15,7 +15,7 @@ from boxwright.functions.media import frame_rate, jpeg_qscale, message_seconds
 from boxwright.functions.names import canonical_category, frame_file_name
 from boxwright.operators import dataset as ds
 from boxwright.operators import evaluation as ev
-from boxwright.operators import matching, review, revision, validate
+from boxwright.operators import crowds, matching, review, revision, validate
 from boxwright.operators.average_precision import average_precision
 from boxwright.plans import fixtures as fx
 from boxwright.sources import files, sinks
@@ -219,6 +219,34 @@ def matches(s: SparkSession, d: str) -> DataFrame:
     return _matches(s, d).drop("p", "g")
 
 
+def _mosaic(df: DataFrame, place: str) -> DataFrame:
+    """Every third image side by side in one, so that an image holds a third of all boxes."""
+    shift = F.floor(F.col("image_id") / 3) * 1000
+    moved = df.withColumns({"x1": F.col("x1") + shift, "x2": F.col("x2") + shift, place: F.col("image_id") * 100 + F.col(place)})
+    return moved.withColumn("image_id", F.col("image_id") % 3)
+
+
+@query(
+    MATCH_SQL
+    + """select model_name, image_id%3 as image_id, match_type, category, predicted_category, confidence, iou, image_id*100+det_pos as det_pos, annotation_id
+ from matches"""
+)
+def crowded_matches(s: SparkSession, d: str) -> DataFrame:
+    """Three images with all boxes of the others, matched in a grid and in rounds."""
+    truth, found = _mosaic(_gt(s, d), "ann_ord"), _mosaic(_pr(s, d), "det_pos")
+    return crowds.match_crowds(truth, found, fx.MODELS, AT, LEAST).drop("p", "g")
+
+
+@query(
+    f"""with {_VIEWS} select * from (select p.model_name, p.image_id%3 as image_id, p.image_id*100+p.det_pos as det_pos,
+ g.image_id*100+g.ann_ord as ann_ord, p.category=g.category as same, {_iou("p", "g")} as iou from pr0 p join gt g using (image_id)) where iou>=0.3"""
+)
+def crowded_pairs(s: SparkSession, d: str) -> DataFrame:
+    met = crowds.grid_pairs(_mosaic(_pr(s, d), "det_pos"), _mosaic(_gt(s, d), "ann_ord"), 0.3)
+    same = (F.col("a.category") == F.col("b.category")).alias("same")
+    return met.select("a.model_name", "image_id", "a.det_pos", "b.ann_ord", same, "iou")
+
+
 @query(MATCH_SQL + "select model_name, image_id, det_pos, annotation_id, predicted_category, category, iou from matches where match_type='class_confusion'")
 def class_confusions(s: SparkSession, d: str) -> DataFrame:
     return _matches(s, d).where("match_type = 'class_confusion'").select(
