@@ -139,7 +139,7 @@ def evaluation_rows(
 ) -> DataFrame:
     """A metric row for each split, model and category, overall and in the classes' mean.
 
-    average_precision: split, model_name, category, ap50, ap75 and map_50_95; zeros without it.
+    average_precision: split, model_name, category, ap50, ap75 and map_50_95, rounded here; zeros without it.
     """
     found = match(ground_truth, predictions, models, threshold, least, key).join(images.select(key, "split"), key)
     by = ["split", "model_name"]
@@ -149,7 +149,8 @@ def evaluation_rows(
         {"prediction_count": F.col("tp") + F.col("fp"), "ground_truth_count": F.col("tp") + F.col("fn")}
     )
     if average_precision is not None:
-        rows = rows.join(average_precision, [*by, "category"], "left")
+        ap = average_precision.withColumns({c: exact_round(F.col(c), 6) for c in METRICS[4:]})
+        rows = rows.join(ap, [*by, "category"], "left")
     else:
         rows = rows.withColumns({c: F.lit(0.0) for c in METRICS[4:]})
     whole = ("tp", "fp", "fn", "confusions", "ground_truth_count", "prediction_count")

@@ -398,20 +398,32 @@ def diagnostic_aggregates(s: SparkSession, d: str) -> DataFrame:
     return ev.diagnostic_aggregates(_rows(s, d)).select("model_name", "category", "aggregation", "precision", "recall", "f1", "f2")
 
 
+#: Annotations that are crowds in the queries of average precision.
+_CROWD = "annotation_id % 17 = 3"
 _AP_EDGES = f"""select *, row_number() over (partition by model_name,image_id,category,t order by confidence desc, det_pos, iou desc, ann_ord desc) as rn
  from (select p.model_name, p.image_id, p.category, p.det_pos, g.ann_ord, p.confidence, {_iou("p", "g")} as iou
-  from pr p join gt g on g.image_id=p.image_id and g.category=p.category) x
+  from pr p join gt g on g.image_id=p.image_id and g.category=p.category where not g.crowd) x
  join (select t, round(0.5+0.05*t,2)::double as lim from (select unnest(generate_series(0,9)) as t)) y on iou>=lim"""
-_AP = f"""with recursive {_VIEWS}, {_MODELS}, pr as (select * from pr0),
+
+
+def _ap_below(tp: str) -> str:
+    """Recall points k * 0.01 at or below tp / n, counted one by one."""
+    return f"len(list_filter(range(101), lambda k: k * 0.01::double <= ({tp})::double / n))"
+
+
+_AP = f"""with recursive img as ({fx.IMAGES}), gt as (select *, {_CROWD} as crowd from ({fx.GROUND_TRUTH}) g), pr as ({fx.PREDICTIONS}), {_MODELS},
 {_fold(_AP_EDGES, "model_name,image_id,category,t", "det_pos", "ann_ord")},
-n as (select split, category, count(*) as n from gt join img using (image_id) group by all),
+n as (select split, category, count(*) as n from gt join img using (image_id) where not crowd group by all),
 ts as (select unnest(generate_series(0,9)) as t),
-det as (select split, model_name, category, t, row_number() over (partition by split,model_name,category,t order by pr.confidence desc, image_id, det_pos) as rank,
-  (k.det_pos is not null)::int as hit, pr.confidence, image_id, pr.det_pos
-  from pr join img using (image_id) cross join ts left join picks k using (model_name,image_id,category,t,det_pos)),
+over_ as (select model_name, p.image_id, det_pos, max(greatest(0::double, least(p.x2,g.x2)-greatest(p.x1,g.x1))*greatest(0::double, least(p.y2,g.y2)-greatest(p.y1,g.y1))
+  /((p.x2-p.x1)*(p.y2-p.y1))) as cover from pr p join gt g on g.image_id=p.image_id and g.category=p.category where g.crowd group by all),
+all_det as (select split, model_name, category, t, (k.det_pos is not null)::int as hit, pr.confidence, image_id, det_pos,
+   k.det_pos is null and coalesce(cover,0)>=round(0.5+0.05*t,2)::double as out
+  from pr join img using (image_id) cross join ts left join picks k using (model_name,image_id,category,t,det_pos) left join over_ using (model_name,image_id,det_pos)),
+det as (select *, row_number() over (partition by split,model_name,category,t order by confidence desc, image_id, det_pos) as rank from all_det where not out),
 hits as (select *, sum(hit) over (partition by split,model_name,category,t order by rank) as tp from det),
 env as (select *, max(tp::double/rank) over (partition by split,model_name,category,t order by rank desc) as best from hits where hit=1),
-ap as (select split, model_name, category, t, sum(best*((tp*100)//n - case when tp=1 then -1 else ((tp-1)*100)//n end))/101 as ap
+ap as (select split, model_name, category, t, sum(best*({_ap_below("tp")} - case when tp=1 then 0 else {_ap_below("tp-1")} end))/101 as ap
   from env join n using (split, category) group by all),
 each as (select split, m.model_name, category, t, coalesce(ap,0::double) as ap from n cross join models m cross join ts left join ap using (split,model_name,category,t))
 select split, model_name, category, round(avg(ap) filter (where t=0),9) as ap50, round(avg(ap) filter (where t=5),9) as ap75, round(avg(ap),9) as map_50_95 from each group by all
@@ -421,7 +433,9 @@ union all select split, model_name, 'overall_micro', round(avg(ap) filter (where
 
 @query(_AP)
 def coco_ap(s: SparkSession, d: str) -> DataFrame:
-    out = average_precision(_images(s, d), _gt(s, d), _pr(s, d), fx.MODELS)
+    """Some boxes are crowds."""
+    truth = _gt(s, d).withColumn("iscrowd", F.expr(_CROWD).cast("int"))
+    out = average_precision(_images(s, d), truth, _pr(s, d), fx.MODELS)
     return out.withColumns({c: F.round(c, 9) for c in ("ap50", "ap75", "map_50_95")})
 
 
