@@ -46,12 +46,11 @@ def _flags(rows: DataFrame, key: str) -> DataFrame:
     rows = rows.withColumn("p", F.slice(mine("p"), 1, MOST_DETECTIONS)).withColumn("g", mine("g"))
     crowd = lambda yes: F.filter("g", lambda g: (F.coalesce(g["iscrowd"], F.lit(0)) != 0) == F.lit(yes))
     # places among the class's own boxes, the last one first as it wins ties
-    box = ("x1", "y1", "x2", "y2")
+    box = ("x1", "y1", "x2", "y2", "area")
     rows = rows.withColumn("crowd", crowd(True)).withColumn("g", crowd(False))
     rows = rows.withColumn("p", F.transform("p", lambda p, i: F.struct(i.cast("int").alias("i"), p["confidence"].alias("confidence"), *[p[c].alias(c) for c in box])))
     rows = rows.withColumn("g", F.transform("g", lambda g, i: F.struct((-i).cast("int").alias("i"), *[g[c].alias(c) for c in box])))
-    phase = lambda p, g, overlap: F.when(overlap >= THRESHOLDS[0], F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
-    rows = rows.withColumn("edges", edges("p", "g", phase))
+    rows = rows.withColumn("edges", edges("p", "g", THRESHOLDS[0], lambda p, g, overlap: F.array(F.lit(1))))
     bits = lambda taken: F.aggregate(taken, F.lit(0), lambda b, t: b.bitwiseOR(t["bits"]))
 
     def step(taken: Column, e: Column) -> Column:
@@ -92,7 +91,8 @@ def average_precision(
     n_gt = n_gt.groupBy("split", "category").agg(F.count(F.lit(1)).alias("n_gt"))
     order = [F.desc("confidence"), F.asc(key), F.asc("place")]
     flags = _flags(image_rows(truth, predictions, models, key, ["iscrowd"]), key).join(split, key)
-    flags = cut(flags.repartitionByRange(*by, *order).withColumn("range", F.spark_partition_id()))
+    # kept before they are dealt out too, as the ranges' sample is a pass of its own
+    flags = cut(cut(flags).repartitionByRange(*by, *order).withColumn("range", F.spark_partition_id()))
     bit = lambda column, k: F.shiftright(column, k).bitwiseAND(F.lit(1))
     # counts of detections that are right, and of those that count, by threshold; without crowds the latter are the same for all
     ranks = {k: f"n{k if crowds else 0}" for k in _K}

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from boxwright.functions.geometry import iou
+from boxwright.functions.geometry import area, corners, iou
 from boxwright.operators.matching import CONFUSION, FALSE_NEGATIVE, FALSE_POSITIVE, TRUE_POSITIVE, confident
 from boxwright.sources.scratch import cut
 
@@ -117,10 +117,10 @@ def match_crowds(
     p_key, g_key = [key, "model_name", "det_pos"], [key, "model_name", "ann_ord"]
     taken = taken_in_rounds(edges, p_key, g_key, ["phase", "order", "det_pos", "back", "ann_ord"])
     taken = taken.select(*p_key, "ann_ord", "phase", "back")
-    place = F.lit(None).cast("int").alias("i")
-    found = found.select(key, "model_name", "det_pos", F.struct(place, *p_columns).alias("p"))
+    place, size = F.lit(None).cast("int").alias("i"), area(corners()).alias("area")
+    found = found.select(key, "model_name", "det_pos", F.struct(place, *p_columns, size).alias("p"))
     truth = truth.withColumn("model_name", F.explode(F.array(*map(F.lit, models))))
-    truth = truth.select(*g_key, F.struct(place, *g_columns).alias("g"))
+    truth = truth.select(*g_key, F.struct(place, *g_columns, size).alias("g"))
     rows = found.join(taken, p_key, "left").join(truth, g_key, "full")
     kind = (
         F.when(F.col("p").isNull(), FALSE_NEGATIVE).when(F.col("phase").isNull(), FALSE_POSITIVE)

@@ -17,7 +17,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxwright.functions.geometry import fields, iou
+from boxwright.functions.geometry import area, fields, iou
 
 TRUE_POSITIVE, CONFUSION, FALSE_POSITIVE, FALSE_NEGATIVE = (
     "true_positive",
@@ -46,24 +46,34 @@ def iou_pairs(ground_truth: DataFrame, predictions: DataFrame, least: float = 0.
     )
 
 
-def edges(left: str, right: str, phase: Callable[[Column, Column, Column], Column]) -> Column:
-    """Sorted edges between the elements of two arrays: phase, i, back (minus the overlap), j, the places i and j in the arrays.
+def edges(left: str, right: str, least: float, phase: Callable[[Column, Column, Column], Column]) -> Column:
+    """Sorted edges between the elements of two arrays of numbered(): phase, i, back (minus the overlap), j, the places i and j in the arrays.
 
-    phase(one, other, overlap): the walks in which an edge can be taken, an array of numbers.
+    phase(one, other, overlap): the walks in which an edge can be taken, an array of numbers. Overlaps below `least` make no edge.
     """
 
+    def overlap(x: Column, y: Column) -> tuple[Column, Column, Column]:
+        """Width and height of what two boxes share, and their overlap where both are above 0, as geometry.iou() has it."""
+        width = F.least(x["x2"], y["x2"]) - F.greatest(x["x1"], y["x1"])
+        height = F.least(x["y2"], y["y2"]) - F.greatest(x["y1"], y["y1"])
+        return width, height, width * height / (x["area"] + y["area"] - width * height)
+
+    def near(x: Column, y: Column) -> Column:
+        width, height, share = overlap(x, y)
+        return (width > 0) & (height > 0) & (share >= least)
+
     def rated(x: Column) -> Column:
-        near = F.transform(right, lambda y: F.struct(y.alias("y"), iou(fields(x), fields(y)).alias("iou")))
+        # few pairs are near, so overlaps are computed anew for these rather than carried along for all
         made = F.transform(
-            F.filter(near, lambda e: e["iou"] > 0),
-            lambda e: F.transform(
-                phase(x, e["y"], e["iou"]),
-                lambda n: F.struct(n.alias("phase"), x["i"].alias("i"), (-e["iou"]).alias("back"), e["y"]["i"].alias("j")),
+            F.filter(right, lambda y: near(x, y)),
+            lambda y: F.transform(
+                phase(x, y, overlap(x, y)[2]),
+                lambda n: F.struct(n.alias("phase"), x["i"].alias("i"), (-overlap(x, y)[2]).alias("back"), y["i"].alias("j")),
             ),
         )
         return F.flatten(made)
 
-    return F.array_sort(F.flatten(F.transform(left, rated)))
+    return F.sort_array(F.flatten(F.transform(left, rated)))
 
 
 def greedy(sorted_edges: str) -> Column:
@@ -79,8 +89,10 @@ def greedy(sorted_edges: str) -> Column:
 
 
 def numbered(column: str, names: Sequence[str]) -> Column:
-    """A sorted array of structs with `i`, each one's place."""
-    return F.transform(column, lambda x, i: F.struct(i.cast("int").alias("i"), *[x[n].alias(n) for n in names]))
+    """A sorted array of structs of boxes with `i`, each one's place, and its area."""
+    return F.transform(
+        column, lambda x, i: F.struct(i.cast("int").alias("i"), *[x[n].alias(n) for n in names], area(fields(x)).alias("area"))
+    )
 
 
 _BOX = ("x1", "y1", "x2", "y2")
@@ -94,9 +106,9 @@ def image_rows(
     """A row for each model and image with a box: its predictions p and ground-truth boxes g, with columns `more`, as arrays."""
     # all models' predictions of an image travel together, so that each side is dealt out by image once
     p = predictions.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("_order"), *_P, "model_name"))).alias("all")
+        F.sort_array(F.collect_list(F.struct((-F.col("confidence")).alias("_order"), *_P, "model_name"))).alias("all")
     )
-    g = ground_truth.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*_G, *more))).alias("g"))
+    g = ground_truth.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*_G, *more))).alias("g"))
     both = p.join(g, key, "full").withColumn("model_name", F.explode(F.array(*map(F.lit, models))))
     both = both.withColumn("p", F.filter("all", lambda x: x["model_name"] == F.col("model_name"))).drop("all")
     none = lambda c, kind: F.coalesce(c, F.array().cast(kind))
@@ -121,10 +133,9 @@ def match(
     """
     rows = image_rows(ground_truth, confident(predictions, threshold), models, key)
     phase = lambda p, g, overlap: F.when(
-        (overlap >= least) & (F.lit(confusions) | (p["category"] == g["category"])),
-        F.array(F.when(p["category"] == g["category"], 1).otherwise(2)),
+        F.lit(confusions) | (p["category"] == g["category"]), F.array(F.when(p["category"] == g["category"], 1).otherwise(2))
     ).otherwise(F.array().cast("array<int>"))
-    rows = rows.withColumn("edges", edges("p", "g", phase)).withColumn("taken", greedy("edges"))
+    rows = rows.withColumn("edges", edges("p", "g", least, phase)).withColumn("taken", greedy("edges"))
     kinds = dict(rows.dtypes)
     p_kind, g_kind = (kinds[c].removeprefix("array<")[:-1] for c in ("p", "g"))
 

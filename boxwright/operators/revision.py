@@ -19,7 +19,7 @@ _NAMES = ("category", "x1", "y1", "x2", "y2")
 
 def revision_images(images: DataFrame, boxes: DataFrame, key: str = "image_id") -> DataFrame:
     """image_key, split, file_name and boxes (an array in their order) for each image."""
-    arrays = boxes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ann_ord", *_NAMES))).alias("boxes"))
+    arrays = boxes.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("ann_ord", *_NAMES))).alias("boxes"))
     rows = images.join(arrays, key, "left").select(
         stable_image_key(F.col("file_name")).alias("image_key"), "split", "file_name", numbered("boxes", _NAMES).alias("boxes")
     )
@@ -41,7 +41,7 @@ def changes(old: DataFrame, new: DataFrame, unchanged: float = 0.95, related: fl
         ),
         lambda x: x.isNotNull(),
     )
-    both = both.withColumn("edges", edges("old_array", "new_array", phase)).withColumn("taken", greedy("edges"))
+    both = both.withColumn("edges", edges("old_array", "new_array", related, phase)).withColumn("taken", greedy("edges"))
     no_box = F.lit(None).cast(kind.removeprefix("array<")[:-1])
 
     def row(change: Column, a: Column, b: Column, overlap: Column) -> Column:
