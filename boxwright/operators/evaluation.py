@@ -7,7 +7,7 @@ aggregation by confidence and a running sum.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -85,13 +85,14 @@ def threshold_sweep(
     models: Sequence[str],
     least: float = 0.5,
     key: str = "image_id",
+    matcher: Callable[..., DataFrame] = match,
 ) -> DataFrame:
     """tp, fp and fn at every confidence that occurs, and at 0 and 1, for each split, model and category, with boxes or without.
 
     Overall, boxes of one category only ever match that category, so its walk is the two categories' walks together.
     """
     split = images.select(key, "split")
-    found = match(ground_truth, predictions, models, 0.0, least, key, confusions=False).where("p is not null")
+    found = matcher(ground_truth, predictions, models, 0.0, least, key, confusions=False).where("p is not null")
     found = found.join(split, key).select(
         "split", "model_name", F.col("predicted_category").alias("category"), "confidence",
         (F.col("match_type") == TRUE_POSITIVE).cast("long").alias("tp"),
@@ -136,12 +137,16 @@ def evaluation_rows(
     least: float = 0.5,
     average_precision: DataFrame | None = None,
     key: str = "image_id",
+    matches: DataFrame | None = None,
 ) -> DataFrame:
     """A metric row for each split, model and category, overall and in the classes' mean.
 
+    matches: those of match() for the same models, threshold and overlap, if they are there already.
+
     average_precision: split, model_name, category, ap50, ap75 and map_50_95, rounded here; zeros without it.
     """
-    found = match(ground_truth, predictions, models, threshold, least, key).join(images.select(key, "split"), key)
+    found = match(ground_truth, predictions, models, threshold, least, key) if matches is None else matches
+    found = found.join(images.select(key, "split"), key)
     by = ["split", "model_name"]
     keys = metric_keys(images.groupBy("split").agg(F.count(F.lit(1)).alias("image_count")), models)
     # every prediction is a true or a false positive, every box a true positive or a false negative

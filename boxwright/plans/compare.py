@@ -5,16 +5,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxwright.functions.names import CATEGORIES, canonical_category
+from boxwright.functions.names import canonical_category
 from boxwright.operators import evaluation, review, validate
 from boxwright.operators.average_precision import average_precision
-from boxwright.operators.matching import match
+from boxwright.operators.crowds import match_any
 from boxwright.sources import sinks
 from boxwright.sources.files import exploded_detections, read_coco, read_predictions
+from boxwright.sources.json_split import qualified
+from boxwright.sources.scratch import cut
 
 SPLITS = ("train", "valid", "test")
 MOST_ON_PAGE = 500
@@ -37,24 +38,25 @@ class Comparison:
 
 def load(spark: SparkSession, root: str, run: str, models: Sequence[str], splits: Sequence[str] = SPLITS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(images, ground truth, predictions) of all splits, validated. Boxes are keyed by file name."""
-    images = truth = found = kinds = None
+    images = truth = found = listed = there = None
     union = lambda a, b: b if a is None else a.unionByName(b)
     for split in splits:
-        i, a, c = read_coco(spark, root, split, SUPPORTED)
-        named = read_coco(spark, root, split)[1].groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+        i, a, c = read_coco(spark, root, split)
         images, truth = union(images, i), union(truth, a)
-        kinds = union(kinds, c.join(named, "category", "left").select(F.lit(split).alias("split"), "category", "n"))
+        listed = union(listed, c.select(F.lit(split).alias("split"), "category"))
+        there = union(there, files_of_split(spark, root, split))
         for model in models:
             p = read_predictions(spark, run, model, split).withColumns({"split": F.lit(split), "_model": F.lit(model)})
             found = union(found, p)
-    # read once, used by all rules and by the comparison; recomputed from the files if an executor is lost
-    images, truth, found = (df.persist(StorageLevel.DISK_ONLY) for df in (images, truth, found))
+    # read once, used by all rules and by the comparison
+    images, truth, found = (cut(df) for df in (images, truth, found))
     rules = [
         (validate.duplicates(images, "split", "image_id"), "repeated image ids"),
         (validate.duplicates(images, "split", "file_name"), "repeated file names"),
         (validate.image_size_violations(images), "images without a size"),
         (validate.duplicates(truth, "split", "annotation_id"), "repeated annotation ids"),
-        (kinds.where(~F.col("category").isin(*SUPPORTED) & (F.col("n") > 0)), "annotations of unsupported categories"),
+        (validate.category_violations(truth, listed), "categories"),
+        (images.select("split", "file_name").join(there, ["split", "file_name"], "left_anti"), "missing images"),
         (boxes_of_splits(truth, images), "boxes"),
         (found.where(~F.col("model_name").eqNullSafe(F.col("_model"))).select("split", "_model", "model_name"), "model names"),
         (validate.duplicates(found, "split", "_model", "file_name"), "repeated predictions"),
@@ -69,6 +71,14 @@ def load(spark: SparkSession, root: str, run: str, models: Sequence[str], splits
     return images, truth, found.withColumn("category", canonical_category(F.col("category")))
 
 
+def files_of_split(spark: SparkSession, root: str, split: str) -> DataFrame:
+    """split, file_name: the files in a split's folder and below, named from there. Files without a byte aren't listed by Spark."""
+    folder = qualified(spark, f"{root}/{split}")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
+    inside = F.substring_index("path", f"{folder.partition(':')[2].rstrip('/')}/", -1)
+    return files.select(F.lit(split).alias("split"), inside.alias("file_name"))
+
+
 def boxes_of_splits(truth: DataFrame, images: DataFrame) -> DataFrame:
     """validate.bbox_violations() for several splits, whose image ids may be the same."""
     key = F.struct("split", "image_id").alias("key")
@@ -96,20 +106,20 @@ def compare(
     """Each model at the threshold with the best overall F2 on the split `select_on`."""
     validate.check_share("the overlap", least)
     models = (baseline, candidate)
-    sweep = evaluation.threshold_sweep(images, truth, found, models, least, key)
+    sweep = cut(evaluation.threshold_sweep(images, truth, found, models, least, key, match_any))
     selection = evaluation.select_thresholds(sweep)
     at = selection.where((F.col("split") == select_on) & (F.col("category") == evaluation.MICRO))
     thresholds = {r["model_name"]: r["f2_threshold"] for r in at.collect()}  # a row for each model
     ap = average_precision(images, truth, found, models, key)
     metrics = matches = None
-    # matches serve the image manifest and the errors
+    # each model's matches are found once, and serve its metric rows, the image manifest and the errors
     for model in models:
         own = found.where(F.col("model_name") == model)
-        rows = evaluation.evaluation_rows(images, truth, own, [model], thresholds[model], least, ap, key)
-        found_ = match(truth, own, [model], thresholds[model], least, key)
+        found_ = cut(match_any(truth, own, [model], thresholds[model], least, key))
+        rows = evaluation.evaluation_rows(images, truth, own, [model], thresholds[model], least, ap, key, found_)
         metrics = rows if metrics is None else metrics.unionByName(rows)
         matches = found_ if matches is None else matches.unionByName(found_)
-    matches = matches.persist(StorageLevel.DISK_ONLY)
+    metrics = cut(metrics)
     return Comparison(
         thresholds, sweep, selection, metrics, evaluation.metric_deltas(metrics, baseline, candidate),
         evaluation.diagnostic_aggregates(metrics), review.image_manifest(images, matches, models, key), matches,

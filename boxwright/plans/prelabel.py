@@ -18,9 +18,9 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxwright.functions.names import check_ordered_classes, recording_id, timestamp_seconds
+from boxwright.functions.names import CATEGORIES, check_ordered_classes, recording_id, timestamp_seconds
 from boxwright.operators import dataset, inference, validate
-from boxwright.plans.compare import SPLITS, SUPPORTED
+from boxwright.plans.compare import SPLITS
 from boxwright.sources import files, sinks
 
 #: Image files by their endings.
@@ -55,7 +55,7 @@ def slots_of(spark: SparkSession, root: str, split: str, about: dict) -> dict[in
     used = annotations.select("category_id").distinct()
     known = [(r["category_id"], r["category"]) for r in categories.collect()]
     empty = {r["category_id"] for r in categories.join(used, "category_id", "left_anti").collect()}
-    ignored = [i for i, name in known if i in empty and name.lower() not in SUPPORTED]
+    ignored = [i for i, name in known if i in empty and name not in CATEGORIES]
     return dataset.class_slots(known, about["class_names"], about["slots"], ignored)
 
 

@@ -4,17 +4,28 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed and kept in the cluster's checkpoint folder, so that its lineage ends there and lost executors don't matter.
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder (spark.checkpoint.dir).
 
-    Where the session names no folder (spark.checkpoint.dir), as in tests on one machine, one is made there; elsewhere that is an error.
+    Where the session names none, as in tests on one machine, one is made there; elsewhere that is an error.
     """
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        if not context.master.startswith("local"):
+    context = spark.sparkContext
+    found = context._jsc.sc().getCheckpointDir()
+    if not found.isDefined():
+        if folder := spark.conf.get("spark.checkpoint.dir", None):
+            context.setCheckpointDir(folder)
+        elif context.master.startswith("local"):
+            context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="boxwright-"))
+        else:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="boxwright-"))
+        found = context._jsc.sc().getCheckpointDir()
+    return found.get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed and kept in the shared folder, so that its lineage ends there and lost executors don't matter."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -419,10 +419,11 @@ def test_comparison_of_models(spark, tmp_path):
 
     for k, split in enumerate(compare.SPLITS):
         name = f"rec{k}_frame000001_0000001000ms_jpg.rf.x.jpg"
-        doc = {"images": [{"id": 1, "file_name": name, "width": 100, "height": 100}], "categories": [{"id": 1, "name": "left"}, {"id": 2, "name": "right-hand"}],
+        doc = {"images": [{"id": 1, "file_name": name, "width": 100, "height": 100}], "categories": [{"id": 1, "name": L}, {"id": 2, "name": R}],
                "annotations": [{"id": 1, "image_id": 1, "category_id": 1, "bbox": [0, 0, 10, 10]}, {"id": 2, "image_id": 1, "category_id": 2, "bbox": [50, 50, 10, 10]}]}
         (tmp_path / split).mkdir()
         (tmp_path / split / "_annotations.coco.json").write_text(json.dumps(doc))
+        (tmp_path / split / name).write_bytes(b"image")
         for model, boxes in (("a", [[0, 0, 10, 10]]), ("b", [[0, 0, 10, 10], [50, 50, 60, 60]])):
             found = [{"category": ("left", "right")[n], "confidence": 0.9 - 0.1 * n, "bbox_xyxy": b} for n, b in enumerate(boxes)]
             (tmp_path / "predictions" / model).mkdir(parents=True, exist_ok=True)
@@ -448,7 +449,7 @@ def test_comparison_of_models(spark, tmp_path):
     path.write_text(json.dumps(doc))
     extra = {"id": 7, "image_id": 1, "category_id": 3, "bbox": [0, 0, 5, 5]}
     path.write_text(json.dumps(doc | {"annotations": [*doc["annotations"], extra]}))
-    assert files.read_coco(spark, str(tmp_path), "test", compare.SUPPORTED)[1].count() == 2
+    assert files.read_coco(spark, str(tmp_path), "test", (L, R))[1].count() == 2
     with pytest.raises(ValueError, match="unsupported"):
         compare.load(spark, str(tmp_path), str(tmp_path), ("a", "b"))
 
