@@ -12,8 +12,9 @@ chunked framing is decoded. Records in one segment need no shuffle. Nothing is r
 says what is wrong with it, and its payload is null.
 
 Null html is an empty payload, a null url has no target; a null page_id is the largest, and pages without an id never
-share a response. If rows repeat the smallest page_id of a payload, all of them are responses; a page_id may also repeat
-with different payloads, as a response is found by its digest and its page_id. Long payloads are written in segments and
+share a response. If rows repeat the smallest page_id of a payload, all of them are responses, and revisits refer to one of
+them. A page_id may also repeat with different payloads: a response is named by its page_id and its payload's digest, every other
+record by its page_id and a random number, so identifiers never repeat and each reference is the name of a record. Long payloads are written in segments and
 never cut. Other columns are ignored, whatever their names; an empty table gives an empty archive.
 """
 
@@ -81,32 +82,37 @@ def record(headers: list[tuple[str, object]], block: bytes) -> bytes:
     return b"\r\n".join([VERSION, *lines, b"Content-Length: %d" % len(block), b"", block])
 
 
+def response_name(page_id: int, sha: str) -> str:
+    """The record identifier of the response with this payload; its revisits refer to it."""
+    return f"<urn:page:{page_id}:{sha}>"
+
+
 def page_records(
-    page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, segment_bytes: int
+    page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, segment_bytes: int, named: bool = True
 ) -> Iterator[bytes]:
-    """The records of one page."""
-    name = f"<urn:page:{page_id}>" if page_id is not None else f"<urn:uuid:{uuid.uuid4()}>"
+    """The records of one page. named: it is a response under the name that revisits refer to, of which there is one."""
+    sha = base32_sha1(payload)
+    page = f"page:{page_id}:" if page_id is not None else "uuid:"
+    name = response_name(page_id, sha) if named and page_id is not None else f"<urn:{page}{uuid.uuid4()}>"
     target = None if url is None else url.replace("\r", "%0D").replace("\n", "%0A")
-    digest = f"sha1:{base32_sha1(payload)}"
+    digest = f"sha1:{sha}"
     common = [("WARC-Date", DATE), ("WARC-Target-URI", target)]
     if refers_to is not None:
         yield record(
             [("WARC-Type", "revisit"), ("WARC-Record-ID", name), *common, ("WARC-Payload-Digest", digest),
-             ("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", f"<urn:page:{refers_to}>"),
+             ("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", response_name(refers_to, sha)),
              ("Content-Type", "application/http; msgtype=response")], REVISIT_HEAD,
         )
         return
     block = HTTP_HEAD + chunked(payload)
     parts = [block[a : a + segment_bytes] for a in range(0, len(block), segment_bytes)]
-    # a copy of the origin's name that is the same row's even if page ids repeat
-    origin = name if len(parts) == 1 else f"{name[:-1]}:{uuid.uuid4()}>"
     for k, part in enumerate(parts, 1):
-        own = origin if k == 1 else f"{origin[:-1]}:{k}>"
+        own = name if k == 1 else f"{name[:-1]}:{k}>"
         yield record(
             [("WARC-Type", "response" if k == 1 else "continuation"), ("WARC-Record-ID", own), *common,
              ("WARC-Payload-Digest", digest if k == 1 else None),
              ("WARC-Segment-Number", k if len(parts) > 1 else None),
-             ("WARC-Segment-Origin-ID", origin if k > 1 else None),
+             ("WARC-Segment-Origin-ID", name if k > 1 else None),
              ("WARC-Segment-Total-Length", len(block) if 1 < k == len(parts) else None),
              ("Content-Type", "application/http; msgtype=response" if k == 1 else None)], part,
         )
@@ -127,25 +133,34 @@ def write_archive(
         F.col(url_col).cast("string").alias("url"),
         F.coalesce(F.col(html_col).cast("binary"), F.lit(b"")).alias("payload"),
     ).withColumn("sha", F.unhex(F.sha1("payload")))
-    # Only payloads that occur more than once; sums of what each task has seen, so a hot payload is one row for each.
-    shared = (
-        rows.where(F.length("payload") >= least_bytes)
-        .groupBy(F.col("sha").alias("_sha"))
-        .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
-    )
+    # Only payloads that occur more than once, each with its first page (equal rows count as `copies` of it). Sums of what each
+    # task has seen, so a hot payload is one row for each.
+    same = rows.where(F.length("payload") >= least_bytes).groupBy(F.col("sha").alias("_sha"), "page_id", "url").count()
+    least = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url", "count")))
+    shared = same.groupBy("_sha").agg(least.alias("least"), F.sum("count").alias("n")).where("n > 1")
+    shared = shared.select("_sha", F.col("least.page_id").alias("first"), F.col("least.url").alias("first_url"), F.col("least.count").alias("copies"))
     # as a table its size is known: it is sent to all tasks if it is small, else a hot payload can be split
     shared = stored(shared, "warc-shared")
     joined = rows.join(shared, F.col("sha") == F.col("_sha"), "left")
-    refers = F.when((F.length("payload") >= least_bytes) & (F.col("page_id") != F.col("first")), F.col("first"))
+    long = F.length("payload") >= least_bytes
+    refers = F.when(long & (F.col("page_id") != F.col("first")), F.col("first"))
+    is_first = F.col("page_id").eqNullSafe(F.col("first")) & F.col("url").eqNullSafe(F.col("first_url"))
+    named = long & (F.col("_sha").isNull() | (is_first & (F.col("copies") == 1)))
+    joined = joined.select("page_id", "url", "payload", refers.alias("first"), named.alias("named"), (is_first & (F.col("copies") > 1)).alias("again"), "sha", "copies")
+    if not shared.where("copies > 1").isEmpty():
+        # equal rows that are the response: one of them has the name that revisits refer to
+        again = joined.where("again").groupBy("page_id", "url", "sha", "copies").agg(F.first("payload").alias("payload"))
+        again = again.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+        again = again.select("page_id", "url", "payload", F.lit(None).cast("long").alias("first"), (F.col("k") == 1).alias("named"))
+        joined = joined.where("again is null or not again").select(again.columns).unionByName(again)
 
     def to_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[bytes] = []
             size = 0
-            columns = (batch.column(k).to_pylist() for k in range(4))
-            for page_id, url, payload, first in zip(*columns, strict=True):
-                made = [*page_records(page_id, url, payload, first, segment_bytes)]
+            columns = (batch.column(k).to_pylist() for k in range(5))
+            for page_id, url, payload, first, named in zip(*columns, strict=True):
+                made = [*page_records(page_id, url, payload, first, segment_bytes, bool(named))]
                 out += made
                 size += sum(map(len, made))
                 if size > 1 << 23:
@@ -154,7 +169,7 @@ def write_archive(
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
-    records = joined.select("page_id", "url", "payload", refers.alias("first")).mapInArrow(to_records, "value binary")
+    records = joined.select("page_id", "url", "payload", "first", "named").mapInArrow(to_records, "value binary")
     (
         records.select(F.col("value").cast("string"))
         .write.option("lineSep", SEPARATOR.decode())
@@ -246,6 +261,7 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for kind, digest, block, error in zip(*columns, strict=True):
             payload = None
             if error is None and kind == "response":
+                block = b"".join(block) if isinstance(block, list) else block  # of segments, in order
                 head, sep, body = block.partition(b"\r\n\r\n")
                 try:
                     if not sep:
@@ -280,7 +296,8 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
             ],
             F.max("total").alias("total"),
         )
-        .withColumn("block", F.aggregate("parts", F.lit(b""), lambda s, p: F.concat(s, p["block"])))
+        .withColumn("block", F.transform("parts", lambda p: p["block"]))
+        .withColumn("length", F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + F.length(p["block"])))
     )
     gapless = F.transform("parts", lambda p: p["segment"]) == F.sequence(F.lit(1), F.size("parts"))
     parts = parts.withColumn(
@@ -288,7 +305,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
         F.when(F.col("record_id").isNull(), "a continuation without its origin")
         .when(~gapless, "segments are missing or repeated")
         .when(F.col("total").isNull(), "no last segment")
-        .when(F.length("block") != F.col("total"), "the length differs from the total"),
+        .when(F.col("length") != F.col("total"), "the length differs from the total"),
     )
     columns = ["record_id", "record_type", "target", "digest", "refers_to", "block", "error"]
     return whole.unionByName(parts.select(columns).mapInArrow(_decode, _READ))
@@ -309,28 +326,25 @@ def archived_pages(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     path = f"{shared_folder(spark)}/boxwright-warc-{uuid.uuid4().hex}"
     write_archive(pages, path, least_bytes)
     read = read_archive(spark, path).select(
+        "record_id",
         page_number(F.col("record_id")).alias("page_id"),
         F.length("payload").cast("long").alias("payload_bytes"),
         F.col("digest").alias("payload_digest"),
         "record_type",
+        F.col("refers_to").alias("refers_to_id"),
         page_number(F.col("refers_to")).alias("refers_to"),
         "error",
     )
     read = stored(read, "warc-read")
-    revisits = read.where("refers_to is not null")
-    # the responses that revisits refer to, one row for each; only revisits are joined, so no key is null
-    wanted = revisits.select(F.col("payload_digest").alias("_digest"), F.col("refers_to").alias("_id")).distinct()
-    responses = (
-        read.where("record_type = 'response' and page_id is not null and payload_bytes is not null")
-        .join(wanted, (F.col("payload_digest") == F.col("_digest")) & (F.col("page_id") == F.col("_id")), "left_semi")
-        .groupBy(F.col("payload_digest").alias("_digest"), F.col("page_id").alias("_id"))
-        .agg(F.max("payload_bytes").alias("_n"))
-    )
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error"]
+    revisits = read.where("refers_to_id is not null")
+    # the responses that revisits refer to by their identifiers, each of which is one record's
+    wanted = revisits.select(F.col("refers_to_id").alias("_id")).distinct()
+    responses = read.where("record_type = 'response' and payload_bytes is not null")
+    responses = responses.select(F.col("record_id").alias("_id"), F.col("payload_bytes").alias("_n")).join(wanted, "_id", "left_semi")
     responses = stored(responses, "warc-responses")
-    found = revisits.join(
-        responses, (F.col("payload_digest") == F.col("_digest")) & (F.col("refers_to") == F.col("_id")), "left"
-    ).select(
+    found = revisits.join(responses, F.col("refers_to_id") == F.col("_id"), "left").select(
         "page_id", F.col("_n").alias("payload_bytes"), "payload_digest", "record_type", "refers_to",
         F.when(F.col("_n").isNull(), "its response is missing").otherwise(F.col("error")).alias("error"),
     )
-    return read.where("refers_to is null").unionByName(found)
+    return read.where("refers_to_id is null").select(columns).unionByName(found)

@@ -159,3 +159,26 @@ def test_stages(spark, rows, tmp_path):
     nothing = spark.createDataFrame([], DOCS)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, nothing, str(tmp_path)).count() == 0
+
+
+def test_every_reference_is_a_record(spark, tmp_path):
+    """Identifiers never repeat, and what a revisit refers to is a response with its payload, in one segment or several."""
+    long, short = "x" * 200_000, "short"
+    rows = [(1, "a", long), (2, "b", long), (1, "a", long), (1, "c", long), (3, "d", short), (4, None, short), (3, "d", short), (5, "e", "alone"),
+            (5, "e", "other"), (None, "f", short), (None, "f", short), (6, "g", None), (7, "h", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    warc.write_archive(pages, str(tmp_path / "w"))
+    read = warc.read_archive(spark, str(tmp_path / "w")).collect()
+    assert len(read) == len(rows) and all(r.error is None for r in read)
+    by = {r.record_id: r for r in read}
+    assert len(by) == len(read)
+    revisits = [r for r in read if r.record_type == "revisit"]
+    assert sorted(warc_id(r.record_id) for r in revisits) == [2, 4, 7]
+    for r in revisits:
+        response = by[r.refers_to]
+        assert response.record_type == "response" and response.digest == r.digest and warc_id(r.refers_to) == {2: 1, 4: 3, 7: 6}[warc_id(r.record_id)]
+    assert sum(len(r.payload) == len(long) for r in read if r.payload is not None) == 3
+
+
+def warc_id(name):
+    return int(name.split(":")[2])
