@@ -10,9 +10,10 @@ counts; the driver only holds one row for each source.
 Rates become copies cell by cell: a cell is the documents of one source and size. Within a source, cells are taken from
 long to short documents, and each gets the number of copies that brings the words taken so far nearest to those expected
 so far, so that errors of long documents are made up by shorter ones. That takes a row for each different size of a source,
-however many documents it has. A cell's copies go to its documents evenly, the odd ones by a hash order of id and text; the
-order of a cell of more than SALT_ROWS documents is that of its salts and then of the documents of a salt, so that no cell is one
-task. The rule is the same for all sizes.
+however many documents it has. A cell's copies go to its documents evenly, the odd ones by a hash order of id and text. What is put in
+order are numbers: each different hash of a cell with the number of its documents, by salts of the hash, so that neither a large cell nor
+a large group of equal documents is one task; the copies of a hash then come to its documents by a join. Of the one group of equal
+documents in a cell at which the odd copies end, some get one more: these rows are kept with a random salt and numbered by salts.
 
 Lambdas are rounded to a grid, all else is integers and hashes: reruns agree. Null and empty texts have size 0; rows with a null
 source are a source of their own, the last one; null and repeated ids and repeated rows are documents of their own, and
@@ -184,23 +185,39 @@ def mix(
         _copies(cap), "source string, size long, n long, source_size long, target double, rate double, all long"
     )
     shares = stored(shares.withColumn("key", source_key()).drop("source"), "mix-copies")
-    # large cells are put in order by salts: first how many documents each salt has
-    salts = lambda df: F.pmod("order", F.ceil(df["n"] / SALT_ROWS)).cast("int")
-    hot = shares.where(F.col("n") > SALT_ROWS).select("key", "size", "n")
-    hot = light.withColumn("key", source_key()).join(hot, ["key", "size"])
-    hot = hot.withColumn("salt", salts(hot)).groupBy("key", "size", "salt").agg(F.count(F.lit(1)).alias("m"))
-    before = Window.partitionBy("key", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    hot = stored(hot.withColumn("before", F.coalesce(F.sum("m").over(before), F.lit(0))).drop("m"), "mix-salts")
-    by = ["key", "size", "salt"]
-    out = rows.withColumn("key", source_key()).join(shares, ["key", "size"])
-    out = out.withColumn("salt", salts(out)).join(hot, by, "left")
-    rank = F.coalesce("before", F.lit(0)) + F.row_number().over(Window.partitionBy(*by).orderBy("order"))
+    by = ["key", "size", "order"]
+    # a row for each different document of a cell: how many there are of it, and how many come before it in the cell's order
+    orders = light.withColumn("key", source_key()).groupBy(*by).agg(F.count(F.lit(1)).alias("m")).join(shares, ["key", "size"])
+    orders = stored(orders.withColumn("salt", F.pmod("order", F.ceil(F.col("n") / SALT_ROWS)).cast("int")), "mix-orders")
+    salts = prefix_counts(orders.groupBy("key", "size", "salt").agg(F.sum("m").alias("m")), ["key", "size"], "salt").drop("m")
+    inside = prefix_counts(orders.select(*by, "salt", "m"), ["key", "size", "salt"], "order").withColumnRenamed("before", "inside")
     each = F.floor(F.col("all") / F.col("n"))
-    odd = F.col("all") - each * F.col("n")
-    copies = (each + F.when(rank <= odd, 1).otherwise(0)).cast("int")
+    odd = F.least(F.col("m"), F.greatest(F.lit(0), F.col("all") - each * F.col("n") - F.col("before") - F.col("inside")))
+    ranked = orders.drop("m").join(salts, ["key", "size", "salt"]).join(inside.select(*by, "inside", "m"), by)
+    ranked = stored(ranked.select(*by, "m", "source_size", "target", "rate", each.cast("int").alias("each"), odd.alias("odd")), "mix-ranked")
+    drop_stored(orders)
+    out = rows.withColumn("key", source_key()).join(ranked, by)
+    columns = ["row", "size", "source_size", "target", "rate", "copies"]
+    whole = out.where("odd = 0 or odd = m").withColumn("copies", F.col("each") + (F.col("odd") > 0).cast("int")).select(columns)
+    some = ranked.where("odd > 0 and odd < m")
+    if not some.isEmpty():
+        # at most one group of a cell: its rows are kept, so that their numbers stay what they are
+        part = rows.withColumn("key", source_key()).join(some, by).withColumn("salt", F.floor(F.rand(5) * F.ceil(F.col("m") / SALT_ROWS)).cast("int"))
+        part = stored(part, "mix-part")
+        ahead = prefix_counts(part.groupBy(*by, "salt").agg(F.count(F.lit(1)).alias("m")), by, "salt").drop("m")
+        numbered = part.join(stored(ahead, "mix-ahead"), [*by, "salt"])
+        rank = F.col("before") + F.row_number().over(Window.partitionBy(*by, "salt").orderBy("order"))
+        numbered = numbered.withColumn("copies", F.col("each") + (rank <= F.col("odd")).cast("int"))
+        whole = whole.unionByName(numbered.select(columns))
     for t in (light, cells):
         drop_stored(t)
-    return out.select("row", "size", "source_size", "target", "rate", copies.alias("copies"))
+    return whole
+
+
+def prefix_counts(counts: DataFrame, by: list[str], order: str) -> DataFrame:
+    """counts with `before`, the sum of m over the rows of the same `by` that come earlier in `order`."""
+    earlier = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("before", F.coalesce(F.sum("m").over(earlier), F.lit(0)))
 
 
 def source_key() -> Column:

@@ -182,3 +182,21 @@ def test_every_reference_is_a_record(spark, tmp_path):
 
 def warc_id(name):
     return int(name.split(":")[2])
+
+
+def test_mixing_equal_rows(spark, monkeypatch):
+    """A cell that is mostly one row repeated: copies still sum to the cell's, differ by one at most, and no salt gets the group."""
+    monkeypatch.setattr(mix, "SALT_ROWS", 10)
+    rows = [(None, "same text here", "en", "s", 1)] * 300 + [(k, f"another text {k}", "en", "s", 1) for k in range(100)]
+    rows += [(k, "one two three four", "en", "t", 1) for k in range(50)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(4)
+    out = mix.mix(docs, carry=["doc_id"]).collect()
+    assert len(out) == len(rows)
+    for source, size in (("s", 3), ("t", 4)):
+        mine = [r for r in out if (r.size == size)]
+        taken = sum(r.copies * r.size for r in mine)
+        assert abs(taken - mine[0].target) <= size / 2 + 1e-6, source
+        assert max(r.copies for r in mine) - min(r.copies for r in mine) <= 1
+    again = mix.mix(docs, carry=["doc_id"]).collect()
+    key = lambda r: str((r.row.doc_id, r.copies))
+    assert sorted(map(key, out)) == sorted(map(key, again))
