@@ -12,7 +12,7 @@ from boxwright.functions.names import CATEGORIES
 from boxwright.operators import dataset, revision, validate
 from boxwright.plans import compare, prelabel
 from boxwright.sources import files, sinks, video
-from boxwright.sources.mcap import McapSource
+from boxwright.sources.mcap import recordings
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -80,8 +80,8 @@ def main(argv: Sequence[str] | None = None) -> None:
         lines = lines.select("file_name", "det_pos", "line").unionByName(empty)
         print(sinks.export_yolo(lines, about, args.images, args.output, CATEGORIES, args.overwrite))
     elif args.command == "read-videos":
-        spark.dataSource.register(McapSource)
-        messages = spark.read.format("mcap").option("topic", args.topic).option("schema_name", video.VIDEO_SCHEMA).option("schema_fields", "true").load(args.recordings)
+        found = spark.read.format("binaryFile").load(args.recordings).select("path")
+        messages = recordings(found, args.topic, schema_name=video.VIDEO_SCHEMA, schema_fields=True)
         rows = video.video_messages(messages)
         video.decodable_packets(rows).write.parquet(f"{args.output}/packets")
         sinks.write_jsonl(video.provenance(rows), f"{args.output}/videos", "path")

@@ -12,6 +12,7 @@ from boxwright.functions.geometry import clip, corners, not_degenerate
 from boxwright.functions.media import yolo_label
 from boxwright.functions.names import CATEGORIES, check_ordered_classes, frame_file_name, recording_id, stable_image_key, timestamp_seconds
 from boxwright.functions.rounding import exact_round
+from boxwright.operators.order import Pages, keyed, order_statistics, same
 
 DEFAULT_FPS = 30.0
 
@@ -44,8 +45,8 @@ def split_summary(images: DataFrame, boxes: DataFrame, key: str = "image_id") ->
 
 
 def paged_images(images: DataFrame, start: int, limit: int) -> DataFrame:
-    """Images by name, from a place on, a page of them."""
-    return images.orderBy("file_name").offset(start).limit(limit)
+    """Images by name, from a place on, a page of them. Several pages of the same images: order.Pages."""
+    return Pages(images, "file_name").page(start, limit)
 
 
 def normalized_detections(raw: DataFrame, width: str = "width", height: str = "height") -> DataFrame:
@@ -127,8 +128,9 @@ def estimated_fps(messages: DataFrame, by: str, time_ns: str, order: Sequence[st
     """For each recording the rate of the median positive distance of neighbouring messages; a default without any."""
     after = Window.partitionBy(by).orderBy(*(order or [time_ns]))
     delta = messages.withColumn("_d", F.col(time_ns) - F.lag(time_ns).over(after))
-    middle = F.median(F.when(F.col("_d") > 0, F.col("_d")))
-    return delta.groupBy(by).agg(F.coalesce(1e9 / middle, F.lit(DEFAULT_FPS)).alias("fps"))
+    middle = keyed(order_statistics(delta.where("_d > 0"), [by], "_d", [0.5]), [by])
+    names = messages.select(by).distinct()
+    return names.join(middle, same(names, middle, [by]), "left").select(by, F.coalesce(1e9 / F.col("q0"), F.lit(DEFAULT_FPS)).alias("fps"))
 
 
 def gop_gate(packets: DataFrame, by: str, order: Sequence[str], sps: str = "has_sps", params_only: str = "params_only", idr: str = "has_idr") -> DataFrame:
@@ -149,12 +151,13 @@ def gop_gate(packets: DataFrame, by: str, order: Sequence[str], sps: str = "has_
 
 def latency_summary(times: DataFrame, by: Sequence[str], value: str = "ms") -> DataFrame:
     """Mean, median, ninth decile, least and largest time; zeros for no time."""
-    q = lambda p: F.percentile(value, p)
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return times.groupBy(*by).agg(
-        F.count(value).alias("images"), zero(F.avg(value)).alias("mean_ms"), zero(q(0.5)).alias("median_ms"),
-        zero(q(0.9)).alias("p90_ms"), zero(F.min(value)).alias("min_ms"), zero(F.max(value)).alias("max_ms"),
+    whole = times.groupBy(*by).agg(
+        F.count(value).alias("images"), zero(F.avg(value)).alias("mean_ms"), zero(F.min(value)).alias("min_ms"), zero(F.max(value)).alias("max_ms")
     )
+    middle = keyed(order_statistics(times, by, value, [0.5, 0.9]), by)
+    rows = whole.join(middle, same(whole, middle, by), "left")
+    return rows.select(*by, "images", "mean_ms", zero(F.col("q0")).alias("median_ms"), zero(F.col("q1")).alias("p90_ms"), "min_ms", "max_ms")
 
 
 def yolo_lines(boxes: DataFrame, images: DataFrame, categories: Sequence[str] = CATEGORIES, key: str = "image_id") -> DataFrame:
