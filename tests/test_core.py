@@ -155,7 +155,7 @@ def test_media(spark):
     assert value(media.message_seconds(F.lit(0), F.lit(0), F.lit(2_500_000_000))) == 2.5
     assert media.nal_types_of(b"\x00\x00\x00\x01\x67x\x00\x00\x01\x68y\x00\x00\x01\x65z") == {7, 8, 5}
     df = spark.createDataFrame([(bytearray(b"\x00\x00\x01\x65z"),), (None,)], "p binary")
-    assert [r[0] for r in df.select(media.nal_types("p")).collect()] == [[5], None]
+    assert [r[0] for r in df.select(media.nal_types(F.col("p"))).collect()] == [[5], None]
 
 
 def test_gate(spark):

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from boxwright.functions.media import nal_types, nal_types_of
 from boxwright.functions.rounding import exact_round
 from boxwright.operators import crowds, evaluation, matching, validate
 from boxwright.operators.average_precision import average_precision
@@ -274,3 +275,13 @@ def test_dataset_checks(spark, tmp_path):
     write(left_out="test1_frame1.jpg")
     with pytest.raises(ValueError, match="missing images"):
         load()
+
+
+def test_unit_types_in_the_jvm(spark):
+    """Random packets of few different bytes, so that start codes overlap and stand at the ends, and of all bytes."""
+    rng = random.Random(5)
+    packets = [bytes(rng.choice([0, 0, 0, 1, 1, 0x67, 0x85, 0xFF]) for _ in range(rng.randint(0, 40))) for _ in range(600)]
+    packets += [b"", b"\x00\x00\x01", bytes(range(256)), *(b"\x00\x00\x01" + bytes([k]) for k in range(256))]
+    rows = spark.createDataFrame([(k, bytearray(p)) for k, p in enumerate(packets)] + [(-1, None)], "k int, p binary")
+    got = {r.k: r.t for r in rows.select("k", nal_types(F.col("p")).alias("t")).collect()}
+    assert got.pop(-1) is None and got == {k: sorted(nal_types_of(p)) for k, p in enumerate(packets)}
