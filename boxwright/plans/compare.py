@@ -135,13 +135,13 @@ def write_reports(c: Comparison, path: str, images_at: str = "images") -> None:
     """
     spark = c.metrics.sparkSession
     write = lambda text, name: sinks.write_text(spark, text, f"{path}/{name}")
-    sinks.write_csv([c.sweep], f"{path}/curves")
-    sinks.write_csv([c.selection], f"{path}/selection")
-    sinks.write_csv([c.metrics], f"{path}/metrics")
-    sinks.write_csv([c.deltas], f"{path}/deltas")
-    sinks.write_csv([c.diagnostics], f"{path}/diagnostics")
-    sinks.write_jsonl(c.images, f"{path}/images", "file_name", "model_name")
-    sinks.write_jsonl(c.errors, f"{path}/errors", "split", "file_name", "model_name")
+    sinks.write_csv_file([c.sweep], f"{path}/curves.csv", "split", "model_name", "category", "threshold")
+    sinks.write_csv_file([c.selection], f"{path}/selection.csv", "split", "model_name", "category")
+    sinks.write_csv_file([c.metrics], f"{path}/metrics.csv", "split", "model_name", "category")
+    sinks.write_csv_file([c.deltas], f"{path}/deltas.csv", "split", "category")
+    sinks.write_csv_file([c.diagnostics], f"{path}/diagnostics.csv", "model_name", "category", "aggregation")
+    sinks.write_jsonl_file(c.images, f"{path}/images.jsonl", "file_name", "model_name")
+    sinks.write_jsonl_file(c.errors, f"{path}/errors.jsonl", "split", "file_name", "model_name")
     rows = [r.asDict() for r in c.metrics.orderBy("split", "model_name", "category").collect()]
     whole = ["tp", "fp", "fn", "confusions"]
     write("# Metrics\n\n" + sinks.markdown_table(rows, ["split", "model_name", "category", "confidence_threshold", *evaluation.METRICS, *whole]), "metrics.md")
