@@ -482,18 +482,3 @@ def test_label_folder(spark, tmp_path):
     (tmp_path / "frames/1.jpg").unlink()
     with pytest.raises(ValueError, match="no image"):
         cli.main([*args, "--overwrite"])
-
-
-def test_live_gate(spark, tmp_path):
-    from boxwright.streaming.live import gated
-
-    schema = "recording string, place long, has_idr boolean, has_sps boolean, params_only boolean"
-    packets = [("r", 0, False, False, False), ("r", 1, False, True, True), ("r", 2, True, False, False), ("r", 3, False, False, False), ("q", 0, True, False, False),
-               ("q", 1, True, True, False), ("q", 2, False, True, True), ("r", 4, False, False, True)]
-    for k, part in enumerate((packets[:2], packets[2:])):
-        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
-    stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    q = gated(stream).writeStream.outputMode("append").format("memory").queryName("gate").start()
-    q.processAllAvailable()
-    q.stop()
-    assert sorted((r.recording, r.place) for r in spark.sql("select * from gate").collect()) == [("q", 1), ("q", 2), ("r", 1), ("r", 2), ("r", 3), ("r", 4)]
