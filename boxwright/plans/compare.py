@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxwright.functions.names import canonical_category
+from boxwright.functions.names import canonical_category, recording_id
 from boxwright.operators import evaluation, review, validate
 from boxwright.operators.average_precision import average_precision
 from boxwright.operators.crowds import match_any
@@ -54,6 +54,7 @@ def load(spark: SparkSession, root: str, run: str, models: Sequence[str], splits
         (validate.duplicates(images, "split", "image_id"), "repeated image ids"),
         (validate.duplicates(images, "split", "file_name"), "repeated file names"),
         (validate.image_size_violations(images), "images without a size"),
+        (images.where(recording_id(F.col("file_name")).isNull()).select("split", "file_name"), "names without a recording"),
         (validate.duplicates(truth, "split", "annotation_id"), "repeated annotation ids"),
         (validate.category_violations(truth, listed), "categories"),
         (images.select("split", "file_name").join(there, ["split", "file_name"], "left_anti"), "missing images"),

@@ -272,6 +272,11 @@ def test_dataset_checks(spark, tmp_path):
     write(kinds=(L, "hands"))
     with pytest.raises(ValueError, match="missing"):
         load()
+    import hashlib
+
+    image = hashlib.sha256(b"x").hexdigest()
+    found = files.file_digests(spark, str(tmp_path / "valid"), "*.jpg").collect()
+    assert [(r.path[-16:], r.length, r.sha256) for r in sorted(found)] == [(f"valid{k}_frame1.jpg"[-16:], 1, image) for k in range(2)]
     write(left_out="test1_frame1.jpg")
     with pytest.raises(ValueError, match="missing images"):
         load()
