@@ -67,13 +67,16 @@ def main(argv: Sequence[str] | None = None) -> None:
         frames = files.read_jsonl(spark, args.frames, files.FRAME)
         p = files.read_jsonl(spark, args.predictions, files.PREDICTION)
         listed = files.list_files(spark, args.images, "*")
-        validate.require_none(validate.frame_violations(frames.drop("output_path"), listed), "frames")
         validate.require_none(validate.duplicates(p, "file_name"), "repeated predictions")
         validate.require_none(frames.join(p, "file_name", "left_anti").select("file_name"), "frames without predictions")
         validate.require_none(p.join(frames, "file_name", "left_anti").select("file_name"), "predictions without frames")
+        # boxes are in pixels of the picture that the detector saw, so its record has the size
+        sized = frames.drop("output_path", "width", "height").join(p.select("file_name", "width", "height"), "file_name")
+        validate.require_none(validate.frame_violations(sized, listed), "frames")
         d = files.exploded_detections(p)
-        kept = d.where(F.col("confidence") >= F.coalesce("confidence_threshold", "inference_floor"))
-        lines = dataset.yolo_lines(kept.drop("width", "height"), frames, key="file_name")
+        below = F.col("confidence") < F.coalesce("confidence_threshold", "inference_floor")
+        kept = d.where(~F.coalesce(below, F.lit(False)))
+        lines = dataset.yolo_lines(kept.drop("width", "height"), sized, key="file_name")
         empty = frames.join(kept.select("file_name"), "file_name", "left_anti").select("file_name", F.lit(None).cast("int").alias("det_pos"), F.lit("").alias("line"))
         given = p.select("file_name", F.col("model_name").alias("prediction_model"), F.coalesce("confidence_threshold", "inference_floor").alias("prediction_threshold"), "checkpoint_sha256")
         about = frames.select("file_name", "source_mcap_path", "source_mcap_stem", "source_video", "timestamp_seconds").join(given, "file_name")

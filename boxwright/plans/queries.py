@@ -5,6 +5,7 @@ The SQL rounds by printing, which goes by a double's exact binary value.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,7 @@ from boxwright.operators import crowds, matching, review, revision, validate
 from boxwright.operators.average_precision import average_precision
 from boxwright.plans import fixtures as fx
 from boxwright.sources import files, sinks
+from boxwright.sources.scratch import cut, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -837,3 +839,77 @@ def missing_provenance(s: SparkSession, d: str) -> DataFrame:
     names = _images(s, d).where("image_id % 4 <> 0").select(base.alias("base")).distinct()
     known = names.where(F.substring("base", 4, 9).cast("int") % 3 != 0).select(F.concat(F.lit("b/"), "base").alias("output_video_path"))
     return validate.missing_provenance(names.select(F.concat(F.lit("a/"), "base").alias("path")), known).select("base")
+
+
+# files: written, read back, removed
+
+
+def _through(s: SparkSession, name: str, write: Callable[[str], object], read: Callable[[str], DataFrame]) -> DataFrame:
+    """What `read` finds in the folder in which `write` has written, which is then removed."""
+    folder = f"{shared_folder(s)}/boxwright-{name}-{uuid.uuid4().hex}"
+    write(folder)
+    found = cut(read(folder))
+    where = s.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    where.getFileSystem(s.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    return found
+
+
+@query(
+    f"""with {_VIEWS} select row_number() over (order by annotation_id)-1 as place, annotation_id, image_id, file_name, category, x1 as x, y1 as y,
+ x2-x1 as w, y2-y1 as h, (x2-x1)*(y2-y1) as area from gt join img using (image_id)"""
+)
+def coco_document(s: SparkSession, d: str) -> DataFrame:
+    """The ground truth as one COCO document, read by ranges of its bytes."""
+    wide, high = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    number = F.when(F.col("category") == "left_hand", 1).otherwise(2).alias("category_id")
+    boxes = _gt(s, d).select(F.col("annotation_id").alias("id"), "image_id", number, F.array("x1", "y1", wide, high).alias("bbox"), (wide * high).alias("area"), F.lit(0).alias("iscrowd"))
+    named = [(1, "left_hand"), (2, "right_hand")]
+    images = _images(s, d).select(F.col("image_id").alias("id"), "file_name", "width", "height")
+
+    def read(folder: str) -> DataFrame:
+        i, a, _ = files.read_coco(s, folder, "train")
+        rows = a.join(i.select("image_id", "file_name"), "image_id")
+        return rows.select(F.col("ann_ord").cast("long").alias("place"), "annotation_id", "image_id", "file_name", "category", "x", "y", "w", "h", "area")
+
+    return _through(s, "coco", lambda f: sinks.write_coco_file(images, boxes, named, f"{f}/train/_annotations.coco.json"), read)
+
+
+@query(f"with {_VIEWS} select model_name, image_id, det_pos, category, confidence, x1, confidence*x1/3 as third, confidence>0.5 as sure from pr0")
+def csv_report(s: SparkSession, d: str) -> DataFrame:
+    """Predictions as one CSV file in order, read back."""
+    rows = _pr(s, d).select("model_name", "image_id", "det_pos", "category", "confidence", "x1", (F.col("confidence") * F.col("x1") / 3).alias("third"), (F.col("confidence") > 0.5).alias("sure"))
+    kinds = "model_name string, image_id bigint, det_pos bigint, category string, confidence double, x1 double, third double, sure boolean"
+    read = lambda f: s.read.schema(kinds).option("mode", "FAILFAST").csv(f"{f}/report.csv", header=True)
+    return _through(s, "csv", lambda f: sinks.write_csv_file([rows], f"{f}/report.csv", "model_name", "image_id", "det_pos"), read)
+
+
+@query(
+    f"""with {_VIEWS} select file_name, model_name, count(*) as n, max(confidence) as confidence, min(x1) as x1
+ from pr0 join img using (image_id) group by file_name, model_name"""
+)
+def prediction_file(s: SparkSession, d: str) -> DataFrame:
+    """Prediction records as one file of JSON lines in order, read back, and summed up by record."""
+    one = F.struct("det_pos", "category", "confidence", F.array("x1", "y1", "x2", "y2").alias("bbox_xyxy"))
+    rows = _pr(s, d).join(_images(s, d).select("image_id", "file_name"), "image_id")
+    records = rows.groupBy("file_name", "model_name").agg(F.array_sort(F.collect_list(one)).alias("detections"))
+    read = lambda f: files.exploded_detections(files.read_jsonl(s, f"{f}/predictions.jsonl", files.PREDICTION))
+    found = _through(s, "jsonl", lambda f: sinks.write_jsonl_file(records, f"{f}/predictions.jsonl", "file_name", "model_name"), read)
+    return found.groupBy("file_name", "model_name").agg(F.count(F.lit(1)).alias("n"), F.max("confidence").alias("confidence"), F.min("x1").alias("x1"))
+
+
+@query(ORACLE_SQL["label_files"])
+def label_folder(s: SparkSession, d: str) -> DataFrame:
+    """A folder with a label file for each image (without the images), read back with its manifest."""
+    lines = ds.yolo_lines(_gt(s, d), _images(s, d)).select("file_name", F.col("ann_ord").cast("int").alias("det_pos"), "line")
+    empty = validate.negative_images(_images(s, d), _gt(s, d)).select("file_name", F.lit(None).cast("int").alias("det_pos"), F.lit("").alias("line"))
+
+    def read(folder: str) -> DataFrame:
+        # Spark's readers pass over empty files: those labels are empty
+        label = F.regexp_replace(F.regexp_extract("_metadata.file_path", "[^/]*$", 0), "[.]txt$", ".jpg")
+        texts = s.read.text(f"{folder}/labels/train", wholetext=True).select(label.alias("file_name"), F.col("value").alias("label"))
+        manifest = s.read.schema("file_name string, detection_count int").json(f"{folder}/manifest.jsonl")
+        whole = manifest.join(texts, "file_name", "left")
+        return whole.select("file_name", F.coalesce("label", F.lit("")).alias("label"), F.col("detection_count").alias("detections"))
+
+    export = lambda f: sinks.export_yolo(lines.unionByName(empty), _images(s, d).select("file_name"), None, f, ("left_hand", "right_hand"))
+    return _through(s, "labels", export, read)

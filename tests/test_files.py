@@ -48,3 +48,105 @@ def test_csv(spark, tmp_path, partitions):
         sinks.write_csv_file([df.select(F.raise_error(F.lit("stop")).cast("int").alias("k"))], str(tmp_path / "b.csv"), "k")
     assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["a.csv", "a.jsonl", "b.csv"]
     assert (tmp_path / "b.csv").read_bytes() == b'x\r\n""\r\n'
+
+
+def test_label_folder_attempts(tmp_path):
+    """Attempts that die, run twice or come late leave nothing; the manifest is in order; a new export replaces the old labels."""
+    import pyarrow as pa
+
+    from boxwright.sources.label_folder import LabelFolderWriter
+
+    (tmp_path / "frames").mkdir()
+    names = [f"{k}.jpg" for k in range(6)]
+    for k, n in enumerate(names):
+        (tmp_path / "frames" / n).write_bytes(b"x" * k)
+    out = tmp_path / "out"
+
+    def batches(of, dies=False):
+        for n in of:
+            yield pa.RecordBatch.from_pylist([{"file_name": n, "label": f"0 {n}\n", "detections": 1, "t": 0.5}])
+        if dies:
+            raise OSError("killed")
+
+    def writer(token):
+        return LabelFolderWriter(str(out), str(tmp_path / "frames"), "path: .\n", token)
+
+    w = writer("a")
+    with pytest.raises(OSError, match="killed"):
+        w.write(batches(names[:2], dies=True))
+    late = w.write(batches(names[3:]))
+    w.write(batches(names[:3]))  # a speculative twin, whose message Spark drops
+    w.commit([late, w.write(batches(names[:3])), w.write(batches([]))])
+    assert sorted(str(p.relative_to(out)) for p in out.rglob("*") if p.is_file()) == sorted(
+        ["data.yaml", "manifest.jsonl", *(f"images/train/{n}" for n in names), *(f"labels/train/{n[0]}.txt" for n in names)]
+    )
+    first = {"detection_count": 1, "file_name": "0.jpg", "image_path": "images/train/0.jpg", "label_path": "labels/train/0.txt", "t": 0.5}
+    lines = (out / "manifest.jsonl").read_text().splitlines()
+    assert lines[0] == json.dumps(first, sort_keys=True) and [json.loads(x)["file_name"] for x in lines] == names
+    assert (out / "images/train/5.jpg").samefile(tmp_path / "frames/5.jpg")
+    # an aborted export leaves the old one as it was; so does one without frames, or with a name that leads elsewhere
+    before = sorted(out.rglob("*"))
+    b = writer("b")
+    b.write(batches(names[:1]))
+    b.abort([None])
+    with pytest.raises(ValueError, match="no frames"):
+        writer("c").commit([writer("c").write(batches([]))])
+    for bad in ("../x.jpg", "a/b.jpg", "..", ""):
+        with pytest.raises(ValueError, match="name of a file"):
+            writer("d").write(batches([bad]))
+    writer("c").abort([])
+    writer("d").abort([])
+    assert sorted(out.rglob("*")) == before
+    # parts of the new export replace the old ones; other files stay
+    (out / "notes.txt").write_text("mine")
+    w = writer("e")
+    w.commit([w.write(batches(names[:1]))])
+    assert [p.name for p in (out / "labels/train").iterdir()] == ["0.txt"] and (out / "notes.txt").read_text() == "mine"
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["frames", "out"]
+
+
+def test_label_folder_of_bare_records(spark, tmp_path):
+    """Frames without a size and detections without a confidence, as the smallest records have them."""
+    from boxwright import cli
+
+    (tmp_path / "frames").mkdir()
+    frames, predictions = [], []
+    for k, n in enumerate(("one", "two")):
+        (tmp_path / f"frames/{n}.jpg").write_bytes(n.encode())
+        frames.append({"file_name": f"{n}.jpg", "source_mcap_path": f"/{n}.mcap", "source_mcap_stem": n, "source_video": f"{n}.mp4", "timestamp_seconds": k + 1.0})
+        found = [] if k else [{"category": "right_hand", "bbox_xyxy": [25, 10, 75, 40]}]
+        predictions.append({"file_name": f"{n}.jpg", "width": 100, "height": 50, "detections": found})
+    for name, rows in (("f.jsonl", frames), ("p.jsonl", predictions)):
+        (tmp_path / name).write_text("".join(json.dumps(r) + "\n" for r in rows))
+    args = ["export-yolo", *(f"--{o}={tmp_path}/{v}" for o, v in (("frames", "f.jsonl"), ("predictions", "p.jsonl"), ("images", "frames"), ("output", "out")))]
+    cli.main(args)
+    out = tmp_path / "out"
+    assert (out / "labels/train/one.txt").read_text() == "1 0.500000 0.500000 0.500000 0.600000\n" and (out / "labels/train/two.txt").read_text() == ""
+    made = {"image_path": "images/train/two.jpg", "label_path": "labels/train/two.txt", "detection_count": 0}
+    about = {"prediction_model": None, "prediction_threshold": None, "checkpoint_sha256": None}
+    assert (out / "manifest.jsonl").read_text().splitlines()[1] == json.dumps(frames[1] | made | about, sort_keys=True)
+    # an image that vanishes, two images with one label file, and images inside of the export
+    lines = spark.createDataFrame([("one.jpg", None, ""), ("gone.jpg", None, "")], "file_name string, det_pos int, line string")
+    with pytest.raises(Exception, match="is missing"):
+        sinks.export_yolo(lines, lines.select("file_name"), str(tmp_path / "frames"), str(tmp_path / "new"), ["a"])
+    twins = spark.createDataFrame([("one.jpg", None, ""), ("one.png", None, "")], lines.schema)
+    with pytest.raises(ValueError, match="one label file"):
+        sinks.export_yolo(twins, twins.select("file_name"), None, str(tmp_path / "new"), ["a"])
+    with pytest.raises(ValueError, match="inside"):
+        sinks.export_yolo(lines, lines.select("file_name"), str(out / "images/train"), str(out), ["a"], overwrite=True)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["f.jsonl", "frames", "out", "p.jsonl"]
+
+
+def test_coco_file(spark, tmp_path):
+    """A written document is JSON in the order of ids, also without annotations; ids that repeat are an error."""
+    images = spark.createDataFrame([(k, f"{k}ü.jpg", 8, 6) for k in (3, 1, 2)], "id bigint, file_name string, width int, height int")
+    boxes = spark.createDataFrame([(k, 1 + k % 3, 1, [0.0, 1.0, 2.0, 3.5], 7.0, 0) for k in range(9)], "id bigint, image_id bigint, category_id int, bbox array<double>, area double, iscrowd int").repartition(3)
+    path = str(tmp_path / "a.json")
+    sinks.write_coco_file(images, boxes, [(1, "left_hand")], path)
+    got = json.loads((tmp_path / "a.json").read_text())
+    assert got["categories"] == [{"id": 1, "name": "left_hand"}] and [i["id"] for i in got["images"]] == [1, 2, 3]
+    assert got["annotations"] == [{"id": k, "image_id": 1 + k % 3, "category_id": 1, "bbox": [0.0, 1.0, 2.0, 3.5], "area": 7.0, "iscrowd": 0} for k in range(9)]
+    sinks.write_coco_file(images, boxes.where("id < 0"), [], path)
+    assert json.loads((tmp_path / "a.json").read_text())["annotations"] == []
+    with pytest.raises(ValueError, match="repeated ids"):
+        sinks.write_coco_file(images.unionByName(images), boxes, [], path)
