@@ -39,9 +39,8 @@ CLASSES = {
     "counted": r"[#*$%&|<>]+",
     "symbol": r"[=+_/\\^~`@\[\]{}]+",
 }
-#: Characters that don't belong to a word at its ends, and how many bytes of them a common word may have around it.
+#: Characters that don't belong to a word at its ends, however many there are.
 MARKS = ".,;:!?'\"()-"
-MOST_MARKS = 4
 
 
 @dataclass(frozen=True)
@@ -108,9 +107,12 @@ def text_counts(docs: DataFrame, limits: Limits, id_col: str, text_col: str, lan
     out = out.withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: F.regexp_like(x, F.lit("[^ \t-\r]"))))
     lists = F.create_map(*[x for k, v in limits.common.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     out = out.withColumn("_list", F.coalesce(F.try_element_at(lists, F.col("lang")), F.array().cast("array<string>")))
-    # a common word may have capitals, and marks around it
+    # a common word may have capitals, and marks around it; longer words without marks at their ends are none
     longest = max([1, *(len(w.encode()) for ws in limits.common.values() for w in ws)])
-    short = F.filter("_words", lambda w: F.octet_length(w) <= longest + MOST_MARKS)
+    marked = lambda end: F.lit(MARKS).contains(end)
+    short = F.filter(
+        "_words", lambda w: (F.octet_length(w) <= longest) | marked(F.left(w, F.lit(1))) | marked(F.right(w, F.lit(1)))
+    )
     plain = F.transform(short, lambda w: F.lower(F.btrim(w, F.lit(MARKS))))
     out = out.withColumn("_found", F.filter(plain, lambda w: F.array_contains("_list", w)))
     # each class is taken out of what the classes before it have left, so only the first sees the whole text
@@ -197,7 +199,7 @@ def judge(
     text_col: str = "text",
     lang_col: str = "lang",
 ) -> DataFrame:
-    """The base counts, base_failed, class_distance, word_distance (null: not judged by it) and kept, for each row."""
+    """The base counts, base_failed, class_distance, word_distance (to nine places; null: not judged by it) and kept, for each row."""
     limits = limits or Limits()
     counts = stored(text_counts(docs, limits, id_col, text_col, lang_col), "text-counts")
     # A first reference of all texts that pass the base rules also has the unusual ones in it; a second one, of the
@@ -208,5 +210,6 @@ def judge(
     out = distances(counts, references(passed, most), limits)
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        "class_distance", "word_distance", (~F.col("base_failed") & ~F.col("_far")).alias("kept"),
+        F.round("class_distance", 9).alias("class_distance"), F.round("word_distance", 9).alias("word_distance"),
+        (~F.col("base_failed") & ~F.col("_far")).alias("kept"),
     )

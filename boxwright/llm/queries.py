@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from boxwright.llm.chat import Template, format_chats, learned_text, read_turns
 from boxwright.llm.common import table
-from boxwright.llm.divergence import judge
+from boxwright.llm.divergence import COMMON_WORDS, MARKS, Limits, judge
 from boxwright.llm.mix import mix
 from boxwright.llm.order_minhash import near_duplicates
-from boxwright.llm.phrase_index import SLOP, build_index, digest, search
+from boxwright.llm.phrase_index import SLOP, WINDOW, build_index, digest, search
 from boxwright.llm.prefix_trie import grafted, trie, turn_lists
 from boxwright.llm.repair import damaged, repaired
 from boxwright.llm.shards import plan_shards
@@ -272,3 +272,112 @@ from (select distinct conv_id from conversations) o left join counts c on c.conv
 left join ends e on e.conv_id is not distinct from o.conv_id
 """,
 }
+
+
+_ABC = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_ITEM_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), {_ABC}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+#: Exact windows meet the texts' windows of their length; for proximity, stretches of the texts that have all words of a window are cut
+#: where the last of them first occurs.
+ORACLE_SQL["op2_decontaminate"] = f"""
+with d as (
+  select row_number() over () as rid, doc_id, {_ITEM_WORDS} as w from documents
+), i as (
+  select coalesce(cast(item_id as varchar), '') as item, {_ITEM_WORDS} as w from benchmark
+), cut as (
+  select item, unnest(case when len(w) < {WINDOW} then [w]
+    else list_transform(range(1, len(w) - {WINDOW - 2}), lambda k: w[k:k + {WINDOW - 1}]) end) as x from i where len(w) > 0
+), win as (
+  select array_to_string(x, ' ') as t, first(x) as x, list_distinct(first(x)) as words, len(first(x)) as n, list(distinct item) as items
+  from cut group by t
+), runs as (
+  select rid, n, list_transform(range(1, len(w) - n + 2), lambda k: array_to_string(w[k:k + n - 1], ' ')) as ts
+  from d, (select distinct n from win) where len(w) >= n
+), places as (
+  select rid, n, unnest(ts) as t, generate_subscripts(ts, 1) as a from runs
+), exact as (
+  select rid, a, n as length, items from places join win using (n, t)
+), has as (
+  select rid, t from (select distinct rid, unnest(w) as word from d)
+  join (select t, len(words) as least, unnest(words) as word from win) using (word) group by rid, t, least having count(*) = least
+), starts as (
+  select rid, w, words, n, items, unnest(list_filter(range(1, len(w) + 1),
+    lambda a: list_contains(words, w[a]) and list_has_all(w[a:a + n + {SLOP - 1}], words))) as a
+  from has join d using (rid) join win using (t)
+), near as (
+  select rid, a, items, list_max(list_transform(words, lambda x: list_position(w[a:a + n + {SLOP - 1}], x))) as length from starts
+), sums as (
+  select rid, kind, count(distinct place) as n from (
+    select rid, 0 as kind, unnest(range(a, a + length)) as place from exact
+    union all select rid, 1, unnest(range(a, a + length)) from near
+  ) group by rid, kind
+), ids as (
+  select rid, kind, list(distinct item order by item) as items from (
+    select rid, 0 as kind, unnest(items) as item from exact union all select rid, 1, unnest(items) from near
+  ) group by rid, kind
+)
+select doc_id, len(w) as n_words, coalesce(s0.n, 0) as n_hit, coalesce(len(i0.items), 0) as n_items,
+  sha256(coalesce(array_to_string(i0.items, ','), '')) as items_sha256, coalesce(s0.n, 0) > 0 as contaminated,
+  coalesce(s1.n, 0) as n_near, coalesce(len(i1.items), 0) as n_near_items
+from d left join sums s0 on s0.rid = d.rid and s0.kind = 0 left join sums s1 on s1.rid = d.rid and s1.kind = 1
+left join ids i0 on i0.rid = d.rid and i0.kind = 0 left join ids i1 on i1.rid = d.rid and i1.kind = 1
+"""
+
+
+def _divergence_sql() -> str:
+    """The rules with their usual limits; histograms are lists, references their sums by language."""
+    lim, quoted = Limits(), lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
+    lists = " ".join(f"when '{k}' then {quoted(ws)}" for k, ws in COMMON_WORDS.items())
+    marks = MARKS.replace("'", "''")
+    most = max(map(len, COMMON_WORDS.values())) + 1
+    count = lambda pattern: f"length(regexp_replace(text, '[^{pattern}]', '', 'g'))"
+    classes = [r"\p{Ll}", r"\x20\x09-\x0D", r"\p{Lu}", r"\p{N}", ".,;:!?''\"()\\-", "#*$%&|<>", "=+_/\\\\^~`@\\[\\]{}"]
+    refs = ", ".join(f"[{', '.join(f'sum(coalesce({name}[{k + 1}], 0))' for k in range(n))}] as ref_{name}" for name, n in (("classes", 8), ("common", most)))
+
+    def far(name: str, out: str, ok: str) -> str:
+        a, b = f"list_sum({name})", f"list_sum(ref_{name})"
+        p, q = f"(coalesce(z[1], 0) / {a}::double)", f"(coalesce(z[2], 0) / {b}::double)"
+        half = lambda x: f"case when {x} > 0 then {x} * log2({x} / (({p} + {q}) / 2)) else 0 end"
+        terms = f"list_transform(list_zip({name}, ref_{name}), lambda z: {half(p)} + {half(q)})"
+        return f"case when {ok} and {a} > 0 and {b} > 0 then sqrt(greatest(0, list_sum({terms}) / 2)) end as {out}"
+
+    measured = f"""select c.*, {far("classes", "cd", f"chars >= {lim.class_least_chars}")},
+  {far("common", "wd", f"n_words >= {lim.word_least_words} and lang <> ''")} from counts c left join"""
+    passed = f"coalesce(cd, 0) <= {lim.class_distance} and coalesce(wd, 0) <= {lim.word_distance}"
+    return f"""
+with texts as (
+  select row_number() over () as rid, doc_id, coalesce(text, '') as text, case when lang in ({quoted(COMMON_WORDS)[1:-1]}) then lang else '' end as lang
+  from documents
+), words as (
+  select *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') as w, list_filter(string_split(text, chr(10)),
+    lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as lines, coalesce(case lang {lists} end, []) as known from texts
+), five as (
+  select rid, list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')) as ts from words where len(w) >= 5
+), runs as (
+  select rid, unnest(ts) as t, generate_subscripts(ts, 1) as a from five
+), twice as (
+  select rid, unnest(range(a, a + 5)) as place from (select rid, a, count(*) over (partition by rid, t) as n from runs) where n > 1
+), again as (
+  select rid, count(distinct place) as n from twice group by rid
+), counted as (
+  select rid, doc_id, lang, len(w) as n_words, {count(classes[5])} as n_symbols, len(lines) - len(list_distinct(lines)) as n_dup_lines,
+    length(text) as chars, [{", ".join(map(count, classes))}] as cs, known,
+    list_transform(w, lambda x: lower(trim(x, '{marks}'))) as plain from words
+), found as (
+  select *, list_transform(known, lambda x: len(list_filter(plain, lambda y: y = x))) as ws from counted
+), counts as (
+  select f.* exclude (plain, known), chars - cs[2] as word_chars, coalesce(n, 0) as n_repeat_words,
+    list_append(cs, chars - list_sum(cs)) as classes, list_append(ws, n_words - coalesce(list_sum(ws), 0)) as common,
+    n_words < {lim.least_words} or 100 * coalesce(n, 0) > {lim.repeat_percent} * n_words as base_failed
+  from found f left join again using (rid)
+), once as (
+  {measured} (select lang, {refs} from counts where not base_failed group by lang) r using (lang)
+), last as (
+  {measured} (select lang, {refs} from once where not base_failed and {passed} group by lang) r using (lang)
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(cd, 9) as class_distance,
+  round(wd, 9) as word_distance, not base_failed and {passed} as kept from last
+"""
+
+
+ORACLE_SQL["op9_quality_rules"] = _divergence_sql()

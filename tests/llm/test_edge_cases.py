@@ -200,3 +200,13 @@ def test_mixing_equal_rows(spark, monkeypatch):
     again = mix.mix(docs, carry=["doc_id"]).collect()
     key = lambda r: str((r.row.doc_id, r.copies))
     assert sorted(map(key, out)) == sorted(map(key, again))
+
+
+def test_common_words_in_many_marks(spark):
+    """A common word counts however many marks stand around it, in capitals too; longer words and inner marks don't."""
+    text = '("((....the....))") !!!!!!!!!!!!THE the-the "and,,,,,,,," andandand,,,,,,,,,, ............... the'
+    df = spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string")
+    limits = divergence.Limits()
+    common = divergence.text_counts(df, limits, "doc_id", "text", "lang").first().common
+    words = limits.common["en"]
+    assert {w: n for w, n in zip(words, common, strict=False) if n} == {"the": 3, "and": 1} and sum(common) == 7
