@@ -12,7 +12,8 @@ A text is its set of hashed words, whatever its length: the features are present
 more or less frequent among the positives get a weight, and a proximal step in each round takes small weights to zero,
 so that the thousands of neutral words of a long text add nothing. Classifiers are fitted on the driver to bounded samples of
 different texts: at most MOST_POSITIVE confirmed ones, of as many ids, and MOST_UNLABELLED others, those with the smallest
-hashes. Samples are of texts, so repeated ids or rows can't make them larger. Scoring reads every whole text once.
+hashes, and of either so many of the first that they have MOST_FEATURES words in all, however long they are. Samples are of texts, so repeated
+ids or rows can't make them larger. Scoring reads every whole text once; a task holds one text's words at a time.
 
 Nothing but the text enters a score, so equal texts have equal scores. Null and empty texts have the score of a text without
 known words. Labels of texts that aren't there have no effect; repeated labels count as toxic if one of them says so, null
@@ -33,10 +34,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxwright.llm.common import words_of
+from boxwright.llm.common import drop_stored, stored, words_of
 
 MOST_POSITIVE = 6000
 MOST_UNLABELLED = 12000
+#: Features of a sample, 4 bytes each on the driver; a text has at most SPACE of them.
+MOST_FEATURES = 16 << 20
 #: Hashed words; a word's number is its CRC-32 modulo this.
 SPACE = 1 << 20
 LEAST_TEXTS = 5
@@ -137,7 +140,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float)
 
 
 def _sample(docs: DataFrame, most: int, share: float = 1.0) -> list[np.ndarray]:
-    """Features of at most `most` different texts: of about `share` of all, those with the smallest hashes."""
+    """Features of at most `most` different texts, MOST_FEATURES in all: of about `share` of all texts, those with the smallest hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = _Numbers()
@@ -147,9 +150,20 @@ def _sample(docs: DataFrame, most: int, share: float = 1.0) -> list[np.ndarray]:
 
     place = F.xxhash64("text", F.lit(11))
     few = docs.select(place.alias("place"), "text").where(F.pmod("place", F.lit(1 << 30)) < int(share * (1 << 30)))
-    rows = few.mapInArrow(run, "place long, features binary").groupBy("place").agg(F.min("features").alias("features"))
-    rows = rows.orderBy(F.pmod("place", F.lit(1 << 30)), "place").limit(most).collect()
-    return [np.frombuffer(r["features"], np.int32) for r in rows]
+    made = few.mapInArrow(run, "place long, features binary").groupBy("place").agg(F.min("features").alias("features"))
+    rows = stored(made.withColumn("rank", F.pmod("place", F.lit(1 << 30))), "toxicity-sample")
+    # the places and sizes of the sample tell how many of its texts fit; only their features come to the driver
+    sizes = rows.select("rank", "place", F.octet_length("features").alias("n")).orderBy("rank", "place").limit(most).collect()
+    fits = int(np.searchsorted(np.cumsum([r["n"] // 4 for r in sizes]), MOST_FEATURES, "right"))
+    if not fits:
+        drop_stored(rows)
+        return []
+    last = sizes[fits - 1]
+    key = lambda rank, place: F.struct(rank.alias("rank"), place.alias("place"))
+    inside = key(F.col("rank"), F.col("place")) <= key(F.lit(last["rank"]), F.lit(last["place"]))
+    found = sorted(rows.where(inside).collect(), key=lambda r: (r["rank"], r["place"]))
+    drop_stored(rows)
+    return [np.frombuffer(r["features"], np.int32) for r in found]
 
 
 def score(

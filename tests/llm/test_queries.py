@@ -6,13 +6,14 @@ import math
 import os
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from boxwright.llm import divergence, order_minhash, phrase_index, queries, shards, token_pack, warc, weak_quality
+from boxwright.llm import divergence, order_minhash, phrase_index, queries, shards, token_pack, toxicity, warc, weak_quality
 
 SF = "/root/testdata/sf0.001"
 LARGE = "/root/testdata/sf0.1"
@@ -25,7 +26,7 @@ def documents(spark):
 
 
 @needs_tables
-@pytest.mark.parametrize(("name", "tables"), [("op5_warc", ["pages"]), ("op6_chat", ["conversations"])])
+@pytest.mark.parametrize(("name", "tables"), [("op5_warc", ["pages"]), ("op6_chat", ["conversations"]), ("op2_decontaminate", ["documents", "benchmark"]), ("op9_quality_rules", ["documents"])])
 def test_sql(spark, name, tables):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
@@ -293,3 +294,78 @@ def test_stages_against_plain_versions(spark, tmp_path):
     assert kept == sorted(str(tuple(r["row"])) for r in scored if r.score >= weak_quality.LEAST_SCORE)
     shards_ = corpus_pipeline.packed(spark, docs, str(tmp_path)).collect()
     assert sorted(map(str, (d for s in shards_ for d in s.doc_ids))) == sorted(str(r[0]) for r in rows)
+
+
+@needs_tables
+def test_toxicity_scores_again(spark):
+    """Every score from dense matrices and plain Python: the samples hold all texts of these tables, so nothing is left to chance."""
+    import struct
+
+    xxhash = pytest.importorskip("xxhash")
+    folder = SF.replace("sf0.001", "sf0.01")
+    rows = spark.read.parquet(f"{folder}/documents.parquet").collect()
+    marks = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect() if r.toxic is not None}
+    out = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    number = lambda text: {zlib.crc32(w) % toxicity.SPACE for w in phrase_index.words_of((text or "").encode())}
+    learned = {i: t for i, t in marks.items() if not out(i)}
+    prior = sum(learned.values()) / len(learned)
+
+    def place(text):
+        h = 42 if text is None else xxhash.xxh64(text.encode(), seed=42).intdigest()
+        h = xxhash.xxh64(struct.pack("<i", 11), seed=h).intdigest()
+        return h % (1 << 30), h - (1 << 64 if h >> 63 else 0)
+
+    def sample(chosen):
+        texts = sorted({r.text for r in rows if chosen(r.doc_id)}, key=place)
+        return list(dict.fromkeys(frozenset(number(t)) for t in texts if number(t)))
+
+    pos, unl = sample(lambda i: learned.get(i) == 1), sample(lambda i: not out(i))
+    known = []
+    for w in sorted(set().union(*pos, *unl)):
+        n, m = sum(w in x for x in pos), sum(w in x for x in unl)
+        p = (n + m) / (len(pos) + len(unl))
+        spread = math.sqrt(p * (1 - p) * (1 / len(pos) + 1 / len(unl))) + 1e-12
+        if n + m >= toxicity.LEAST_TEXTS and abs(n / len(pos) - m / len(unl)) / spread >= toxicity.DEVIATIONS:
+            known.append(w)
+    dense = lambda sets: np.array([[float(w in x) for w in known] for x in sets])
+    x, fits = dense(pos), []
+    for k in range(toxicity.MODELS):
+        y = dense(unl)[k % 2 :: 2]
+        w, b = np.random.default_rng(k).normal(0, 0.01, len(known)), math.log(prior / (1 - prior))
+        step = 1 / (0.25 * (2 * prior * (1 + x.sum() / len(x)) + 1 + y.sum() / len(y)))
+        old, old_b, t = w, b, 1.0
+        for _ in range(toxicity.ROUNDS):
+            p, u = 1 / (1 + np.exp(-(x @ w + b))), 1 / (1 + np.exp(-(y @ w + b)))
+            if np.mean(-np.log(1 - u)) - prior * np.mean(-np.log(1 - p)) >= 0:
+                # d/dg of prior * -log(p) + mean(-log(1 - u)) - prior * -log(1 - p)
+                gp, gu = prior * (p - 1) / len(x) - prior * p / len(x), u / len(y)
+            else:
+                gp, gu = prior * p / len(x), -u / len(y)
+            new, new_b = w - step * (x.T @ gp + y.T @ gu), b - step * (gp.sum() + gu.sum())
+            new = np.where(np.abs(new) > step * toxicity.LASSO, new - np.sign(new) * step * toxicity.LASSO, 0)
+            later = (1 + math.sqrt(1 + 4 * t * t)) / 2
+            w, b = new + (t - 1) / later * (new - old), new_b + (t - 1) / later * (new_b - old_b)
+            old, old_b, t = new, new_b, later
+        fits.append((old, old_b))
+    weight, bias = dict(zip(known, np.mean([w for w, _ in fits], axis=0), strict=True)), np.mean([b for _, b in fits])
+    got = {r.doc_id: r for r in queries.op8_toxicity(spark, folder).collect()}
+    assert len(got) == len(rows) and len(known) > 3
+    for r in rows:
+        words = {w for w in phrase_index.words_of((r.text or "").encode())}
+        score = 1 / (1 + math.exp(-(sum(weight.get(zlib.crc32(w) % toxicity.SPACE, 0.0) for w in words) + bias)))
+        g = got[r.doc_id]
+        assert g.held_out == out(r.doc_id) and g.score == pytest.approx(score, abs=1e-6) and g.predicted == (g.score >= 0.5)
+
+
+def test_toxicity_samples_by_features(spark, monkeypatch):
+    """The samples' features are bounded, however long the texts: the first by hash that fit are taken."""
+    rows = [(" ".join(f"w{k}x{j}" for j in range(10 + k)),) for k in range(20)]
+    df = spark.createDataFrame(rows, "text string").select(F.lit(1).alias("doc_id"), F.col("text").cast("binary").alias("text")).repartition(3)
+    whole = toxicity._sample(df.select("doc_id", "text"), 100)
+    assert sorted(map(len, whole)) == list(range(10, 30))
+    for most in (9, 60, 200):
+        monkeypatch.setattr(toxicity, "MOST_FEATURES", most)
+        some = toxicity._sample(df, 100)
+        total = np.cumsum([len(x) for x in whole])
+        assert [x.tolist() for x in some] == [x.tolist() for x in whole[: int((total <= most).sum())]]
+    assert len(toxicity._sample(df, 3)) <= 3
