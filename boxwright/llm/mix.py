@@ -12,8 +12,9 @@ long to short documents, and each gets the number of copies that brings the word
 so far, so that errors of long documents are made up by shorter ones. That takes a row for each different size of a source,
 however many documents it has. A cell's copies go to its documents evenly, the odd ones by a hash order of id and text. What is put in
 order are numbers: each different hash of a cell with the number of its documents, by salts of the hash, so that neither a large cell nor
-a large group of equal documents is one task; the copies of a hash then come to its documents by a join. Of the one group of equal
-documents in a cell at which the odd copies end, some get one more: these rows are kept with a random salt and numbered by salts.
+a large group of equal documents is one task. The place in that order at which a cell's odd copies end is one row for each cell, which
+the documents meet by a join: they compare their own place with it. Of the one group of equal documents at that place, some get one more:
+these rows are kept with a random salt and numbered by salts.
 
 Lambdas are rounded to a grid, all else is integers and hashes: reruns agree. Null and empty texts have size 0; rows with a null
 source are a source of their own, the last one; null and repeated ids and repeated rows are documents of their own, and
@@ -38,6 +39,8 @@ from boxwright.llm.common import drop_stored, stored
 #: Documents of a cell that are put in order at once.
 SALT_ROWS = 2000
 MOST_SOURCES = 100_000
+#: Cells up to which their rows are broadcast; more meet the documents by a shuffle.
+MOST_CELLS = 100_000
 ITERATIONS = 60
 
 
@@ -188,18 +191,29 @@ def mix(
     by = ["key", "size", "order"]
     # a row for each different document of a cell: how many there are of it, and how many come before it in the cell's order
     orders = light.withColumn("key", source_key()).groupBy(*by).agg(F.count(F.lit(1)).alias("m")).join(shares, ["key", "size"])
-    orders = stored(orders.withColumn("salt", F.pmod("order", F.ceil(F.col("n") / SALT_ROWS)).cast("int")), "mix-orders")
+    orders = orders.withColumn("salt", salt_of("order", "n"))
+    orders = stored(orders.select(*by, "salt", "m", "n", "all"), "mix-orders")
     salts = prefix_counts(orders.groupBy("key", "size", "salt").agg(F.sum("m").alias("m")), ["key", "size"], "salt").drop("m")
-    inside = prefix_counts(orders.select(*by, "salt", "m"), ["key", "size", "salt"], "order").withColumnRenamed("before", "inside")
+    inside = prefix_counts(orders, ["key", "size", "salt"], "order").withColumnRenamed("before", "inside")
     each = F.floor(F.col("all") / F.col("n"))
     odd = F.least(F.col("m"), F.greatest(F.lit(0), F.col("all") - each * F.col("n") - F.col("before") - F.col("inside")))
-    ranked = orders.drop("m").join(salts, ["key", "size", "salt"]).join(inside.select(*by, "inside", "m"), by)
-    ranked = stored(ranked.select(*by, "m", "source_size", "target", "rate", each.cast("int").alias("each"), odd.alias("odd")), "mix-ranked")
+    ranked = inside.join(salts, ["key", "size", "salt"]).withColumn("odd", odd).where("odd > 0")
+    # the last group of a cell that gets odd copies: all before it get one more, all after it none
+    edges = ranked.groupBy("key", "size").agg(F.max(F.struct("salt", "order", "m", "odd")).alias("edge"))
+    edges = shares.join(edges, ["key", "size"], "left").withColumn("each", each.cast("int"))
+    edges = stored(edges.select("key", "size", "n", "source_size", "target", "rate", "each", "edge"), "mix-edges")
     drop_stored(orders)
-    out = rows.withColumn("key", source_key()).join(ranked, by)
+    # a row for each cell, which sizes bound, is all that the texts meet: they are shuffled only if that is a large table
+    few = edges.limit(MOST_CELLS + 1).count() <= MOST_CELLS
+    out = rows.withColumn("key", source_key()).join(F.broadcast(edges) if few else edges, ["key", "size"])
     columns = ["row", "size", "source_size", "target", "rate", "copies"]
-    whole = out.where("odd = 0 or odd = m").withColumn("copies", F.col("each") + (F.col("odd") > 0).cast("int")).select(columns)
-    some = ranked.where("odd > 0 and odd < m")
+    place, last = F.struct(salt_of("order", "n").alias("salt"), F.col("order")), F.struct("edge.salt", "edge.order")
+    more = (F.col("edge").isNotNull() & (place <= last)).cast("int")
+    parted = F.col("edge").isNotNull() & (F.col("edge.odd") < F.col("edge.m"))
+    whole = out.where(~(parted & (place == last))).withColumn("copies", F.col("each") + more).select(columns)
+    some = edges.where(parted).select(
+        "key", "size", "edge.order", "edge.m", "edge.odd", "source_size", "target", "rate", "each"
+    )
     if not some.isEmpty():
         # at most one group of a cell: its rows are kept, so that their numbers stay what they are
         part = rows.withColumn("key", source_key()).join(some, by).withColumn("salt", F.floor(F.rand(5) * F.ceil(F.col("m") / SALT_ROWS)).cast("int"))
@@ -214,6 +228,11 @@ def mix(
     return whole
 
 
+def salt_of(order: str, n: str) -> Column:
+    """The salt of a hash, of as many as a cell of n documents has."""
+    return F.pmod(order, F.ceil(F.col(n) / SALT_ROWS)).cast("int")
+
+
 def prefix_counts(counts: DataFrame, by: list[str], order: str) -> DataFrame:
     """counts with `before`, the sum of m over the rows of the same `by` that come earlier in `order`."""
     earlier = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)

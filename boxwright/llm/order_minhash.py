@@ -564,11 +564,13 @@ def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.count(F.lit(1)).alias("agree"), F.min("n").alias("n")
     )
     links = stored(links, "links")
-    # one row for each text that shares a bucket, with the text
-    linked = met.select(F.col("key").alias("_key")).distinct()
-    linked = linked.join(vertices.select(F.col("key").alias("_key"), F.col("doc_id").alias("_d")), "_key")
-    same = (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_d"))
-    texts = stored(rows.join(linked, same).select("key", "text").dropDuplicates(["key"]), "texts")
+    # one row for each text that shares a bucket, with the text. Copies are left out before the join and by its keys, so that
+    # texts are shuffled once; with the id among the keys a large group of copies is spread
+    by = ["key", "_id", "_null"]
+    keys = {"_id": F.coalesce("doc_id", F.lit(0)), "_null": F.col("doc_id").isNull()}
+    linked = vertices.join(met.select("key").distinct(), "key", "left_semi").withColumns(keys).select(*by)
+    texts = rows.where("key is not null").withColumns(keys).select(*by, "text").dropDuplicates(by)
+    texts = stored(texts.join(linked, by, "left_semi").select("key", "text"), "texts")
 
     def verify(some: DataFrame) -> DataFrame:
         of = lambda v: texts.select(F.col("key").alias(v), F.col("text").alias(f"t{v}"))

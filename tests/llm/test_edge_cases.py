@@ -202,6 +202,50 @@ def test_mixing_equal_rows(spark, monkeypatch):
     assert sorted(map(key, out)) == sorted(map(key, again))
 
 
+def test_texts_of_links_are_shuffled_once(spark, monkeypatch):
+    """Texts are made different and found by one exchange; copies with null and repeated ids give one text."""
+    plans, kept = {}, {}
+    inner = order_minhash.stored
+
+    def noted(df, name, **options):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        out = inner(df, name, **options)
+        if name == "texts":
+            kept[name] = sorted(r.text.decode() for r in out.collect())
+        return out
+
+    monkeypatch.setattr(order_minhash, "stored", noted)
+    long = " ".join(f"w{k}" for k in range(40))
+    near, other = long + " more", " ".join(f"v{k}" for k in range(40))
+    rows = [(1, long), (None, long), (None, near), (None, near), (7, near), (7, near), (None, other), (3, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = sorted((str(r.doc_id), r.text or "") for r in order_minhash.keep_one(docs).collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert kept["texts"] == sorted([long, near])
+    assert got == sorted([("1", long), ("None", other), ("3", ""), ("4", "")])
+    # of the texts, of the links twice, and of the vertices
+    assert plans["texts"].count("Exchange hashpartitioning") == 4
+
+
+def test_mixing_leaves_texts_in_place(spark, monkeypatch):
+    """The texts of a mix meet a broadcast row for each cell; by a shuffle, for more cells, they get the same copies."""
+    rows = [(k, "word " * (k % 7), "en", "st"[k % 2], 1) for k in range(300)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = mix.mix(docs)
+        assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.setattr(mix, "MOST_CELLS", 5)
+        many = mix.mix(docs)
+        assert "SortMergeJoin" in many._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r.row.doc_id, r.copies) for r in got.collect()) == sorted((r.row.doc_id, r.copies) for r in many.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_common_words_in_many_marks(spark):
     """A common word counts however many marks stand around it, in capitals too; longer words and inner marks don't."""
     text = '("((....the....))") !!!!!!!!!!!!THE the-the "and,,,,,,,," andandand,,,,,,,,,, ............... the'
