@@ -101,18 +101,19 @@ _G = ("ann_ord", "annotation_id", "category", *_BOX)
 
 
 def image_rows(
-    ground_truth: DataFrame, predictions: DataFrame, models: Sequence[str], key: str = "image_id", more: Sequence[str] = ()
-) -> DataFrame:
-    """A row for each model and image with a box: its predictions p and ground-truth boxes g, with columns `more`, as arrays."""
+    ground_truth: DataFrame, predictions: DataFrame, models: Sequence[str], key: str = "image_id", more: Sequence[str] = (),
+    more_p: Sequence[str] = (),
+) -> DataFrame:
+    """A row for each model and image with a box: its predictions p, with columns `more_p`, and ground-truth boxes g, with columns `more`, as arrays."""
     # all models' predictions of an image travel together, so that each side is dealt out by image once
     p = predictions.groupBy(key).agg(
-        F.sort_array(F.collect_list(F.struct((-F.col("confidence")).alias("_order"), *_P, "model_name"))).alias("all")
+        F.sort_array(F.collect_list(F.struct((-F.col("confidence")).alias("_order"), *_P, "model_name", *more_p))).alias("all")
     )
     g = ground_truth.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*_G, *more))).alias("g"))
     both = p.join(g, key, "full").withColumn("model_name", F.explode(F.array(*map(F.lit, models))))
     both = both.withColumn("p", F.filter("all", lambda x: x["model_name"] == F.col("model_name"))).drop("all")
     none = lambda c, kind: F.coalesce(c, F.array().cast(kind))
-    both = both.withColumn("p", numbered("p", _P)).withColumn("g", numbered("g", (*_G, *more)))
+    both = both.withColumn("p", numbered("p", (*_P, *more_p))).withColumn("g", numbered("g", (*_G, *more)))
     kinds = dict(both.dtypes)
     return both.withColumn("p", none(F.col("p"), kinds["p"])).withColumn("g", none(F.col("g"), kinds["g"]))
 

@@ -203,6 +203,50 @@ def test_crowded_image(spark, least):
         crowds.grid_pairs(p_df, g_df, 0.0)
 
 
+def shuffled(spark):
+    """Rows that the session's stages have shuffled so far."""
+    context = spark.sparkContext
+    none = context._gateway.new_array(context._jvm.double, 0)
+    context._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, none, None)
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_crowded_image_moves_a_row_about_once(spark):
+    """Boxes of one crowded image go to the tile of their place; so far a prediction was dealt out to a cell for each size and place of a partner."""
+    n = 3000
+    at = lambda k: (1000.0 * k, 20.0 * (k % 5), 1000.0 * k + 60 + k % 20, 20.0 * (k % 5) + 50 + k % 30)
+    g = spark.createDataFrame([("a", k, k, L, *at(k)) for k in range(n)], GT)
+    p = spark.createDataFrame([("m", "a", k, L, 0.9, *(x + 1 for x in at(k))) for k in range(n)], PR)
+    before = shuffled(spark)
+    pairs = crowds.grid_pairs(p, g, 0.5).select("a.det_pos", "b.ann_ord").collect()
+    assert sorted(map(tuple, pairs)) == [(k, k) for k in range(n)]
+    assert shuffled(spark) - before < 5 * n  # 2 n for the boxes, as many for the counts of tiles
+    before = shuffled(spark)
+    found = crowds.match_crowds(g, p, ["m"], 0.3)
+    assert {(r.match_type, r.det_pos, r.annotation_id) for r in found.collect()} == {("true_positive", k, k) for k in range(n)}
+    assert shuffled(spark) - before < 7 * n
+
+
+@pytest.mark.parametrize("pairs", [1, 50, 10**6])
+def test_tiles_that_hang_together(spark, pairs):
+    """Chains of boxes across many tiles, boxes of two levels of size, and a second model, as the walk over whole images has them."""
+    rng = random.Random(pairs)
+    g, p = [], []
+    for k in range(400):
+        size = rng.choice([14.0, 15.9, 16.1, 40.0, 255.0, 300.0])
+        x, y = rng.uniform(-300, 300), rng.uniform(-20, 20)
+        g.append(("ab"[k % 2], k, k, rng.choice([L, R]), x, y, x + size, y + size * rng.uniform(0.8, 1.2)))
+        for model in "mn":
+            dx = size * rng.uniform(-0.3, 0.3)
+            p.append((model, "ab"[k % 2], k, rng.choice([L, L, R]), rng.choice([0.3, 0.5, 0.5, 0.9]), x + dx, y, x + dx + size, y + size))
+    g_df, p_df = spark.createDataFrame(g, GT), spark.createDataFrame(p, PR)
+    rows = lambda df: sorted(str(tuple(r)) for r in df.drop("p", "g").collect())
+    found = crowds.match_crowds(g_df, p_df, ["m", "n"], 0.4, 0.5, pairs=pairs)
+    assert rows(found) == rows(matching.match(g_df, p_df, ["m", "n"], 0.4, 0.5))
+    assert found.where("p is null").count() == found.where("match_type = 'false_negative'").count()
+
+
 def test_no_crowd_at_all(spark):
     none = matching.match(spark.createDataFrame([], GT), spark.createDataFrame([], PR), ["m"])
     assert none.isEmpty()
