@@ -244,7 +244,9 @@ def crowded_matches(s: SparkSession, d: str) -> DataFrame:
  g.image_id*100+g.ann_ord as ann_ord, p.category=g.category as same, {_iou("p", "g")} as iou from pr0 p join gt g using (image_id)) where iou>=0.3"""
 )
 def crowded_pairs(s: SparkSession, d: str) -> DataFrame:
-    met = crowds.grid_pairs(_mosaic(_pr(s, d), "det_pos"), _mosaic(_gt(s, d), "ann_ord"), 0.3)
+    box = ("image_id", "category", "x1", "y1", "x2", "y2")
+    found, truth = _mosaic(_pr(s, d), "det_pos").select("model_name", "det_pos", *box), _mosaic(_gt(s, d), "ann_ord").select("ann_ord", *box)
+    met = crowds.grid_pairs(found, truth, 0.3)
     same = (F.col("a.category") == F.col("b.category")).alias("same")
     return met.select("a.model_name", "image_id", "a.det_pos", "b.ann_ord", same, "iou")
 
