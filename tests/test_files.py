@@ -150,3 +150,41 @@ def test_coco_file(spark, tmp_path):
     assert json.loads((tmp_path / "a.json").read_text())["annotations"] == []
     with pytest.raises(ValueError, match="repeated ids"):
         sinks.write_coco_file(images.unionByName(images), boxes, [], path)
+
+
+def test_objects_of_a_document_are_not_taken_to_be_few(spark, tmp_path):
+    """A join with the objects of a COCO document has no broadcast of all of these; their size was taken for that of the document's ranges."""
+    from boxwright.sources import files
+
+    images = spark.range(40).selectExpr("id", "concat(id, '.jpg') as file_name", "64 as width", "48 as height")
+    boxes = spark.range(90).selectExpr("id", "id % 40 as image_id", "1L as category_id", "array(1D, 2D, 3D, 4D) as bbox", "12D as area", "0 as iscrowd")
+    sinks.write_coco_file(images, boxes, [(1, "left_hand")], str(tmp_path / "train/_annotations.coco.json"))
+    found, annotations, _ = files.read_coco(spark, str(tmp_path), "train")
+    both = annotations.join(found.select("image_id", "file_name"), "image_id")
+    assert both._jdf.queryExecution().sparkPlan().toString().count("BroadcastHashJoin") == 1  # of the categories
+    assert sorted((r.annotation_id, r.file_name) for r in both.collect()) == [(k, f"{k % 40}.jpg") for k in range(90)]
+
+
+def test_parts_of_a_file_go_when_they_are_in_it(spark, tmp_path, monkeypatch):
+    """The parts are compressed and don't lie beside the whole file; a file that can't be made leaves nothing behind."""
+    kept = tmp_path / "shared"
+    kept.mkdir()
+    monkeypatch.setattr(sinks, "shared_folder", lambda s: f"file://{kept}")
+    sizes = []
+    lines = spark.range(0, 40_000, 1, 4).select(F.concat(F.lit("a line like any other, of number "), "id").alias("value"))
+    append = sinks._append
+
+    def appended(*a):
+        sizes.append(sum(f.stat().st_size for f in kept.rglob("part-*")))
+        return append(*a)
+
+    monkeypatch.setattr(sinks, "_append", appended)
+    sinks.write_lines(lines, str(tmp_path / "a.txt"), "\n", "head")
+    text = (tmp_path / "a.txt").read_text()
+    assert text.splitlines() == ["head", *(f"a line like any other, of number {k}" for k in range(40_000))]
+    assert not list(kept.iterdir())
+    assert sizes == sorted(sizes, reverse=True) and sizes[0] < len(text) / 2 and sizes[-1] < sizes[0] / 2
+    before = sorted(tmp_path.rglob("*"))
+    with pytest.raises(Exception, match="(?i)is a directory|not a directory|mkdirs|exist|parent"):
+        sinks.write_lines(lines, str(tmp_path / "a.txt/b.txt"), "\n")
+    assert [p for p in sorted(tmp_path.rglob("*")) if not p.name.endswith(".crc")] == [p for p in before if not p.name.endswith(".crc")]
