@@ -4,6 +4,7 @@ import csv
 import io
 import json
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -188,3 +189,34 @@ def test_parts_of_a_file_go_when_they_are_in_it(spark, tmp_path, monkeypatch):
     with pytest.raises(Exception, match="(?i)is a directory|not a directory|mkdirs|exist|parent"):
         sinks.write_lines(lines, str(tmp_path / "a.txt/b.txt"), "\n")
     assert [p for p in sorted(tmp_path.rglob("*")) if not p.name.endswith(".crc")] == [p for p in before if not p.name.endswith(".crc")]
+
+
+def test_label_folders_one_after_another(spark, monkeypatch):
+    """A query over label folders has a bounded number of label files on disk; it had one for each image at once."""
+    from boxwright.plans import queries
+    from boxwright.sources import files
+
+    made, kept = [], []
+    export, read = sinks.export_yolo, files.read_label_folder
+
+    def exported(*a):
+        made.append(export(*a))
+        kept.append(a[3])
+        assert [k for k in kept if Path(k.removeprefix("file:")).exists()] == [a[3]]
+
+    def broken(s, folder):
+        found = read(s, folder)
+        if len(made) == 2:
+            next(Path(folder.removeprefix("file:")).glob("labels/train/*.txt")).unlink()
+        return found
+
+    monkeypatch.setattr(queries, "_FOLDER", 400)
+    monkeypatch.setattr(sinks, "export_yolo", exported)
+    want = sorted(map(tuple, queries.label_files(spark, "/root/testdata/sf0.001").collect()))
+    assert sorted(map(tuple, queries.label_folder(spark, "/root/testdata/sf0.001").collect())) == want
+    assert len(made) == 4 and sum(m["images"] for m in made) == len(want) == 1500 and max(m["images"] for m in made) < 450
+    # a label file that the manifest names and that isn't there was taken for an empty one
+    made.clear()
+    monkeypatch.setattr(files, "read_label_folder", broken)
+    with pytest.raises(Exception, match="(?i)no such file|cannot open"):
+        queries.label_folder(spark, "/root/testdata/sf0.001")
