@@ -220,3 +220,33 @@ def test_label_folders_one_after_another(spark, monkeypatch):
     monkeypatch.setattr(files, "read_label_folder", broken)
     with pytest.raises(Exception, match="(?i)no such file|cannot open"):
         queries.label_folder(spark, "/root/testdata/sf0.001")
+
+
+def kept_by(spark, run):
+    """What a query gives, and the bytes that it leaves in the shared folder."""
+    from boxwright.sources.scratch import shared_folder
+
+    folder = Path(shared_folder(spark).removeprefix("file:").replace("//", "/"))
+    size = lambda: sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+    before = size()
+    rows = run().collect()
+    return rows, size() - before
+
+
+def test_records_read_back_are_kept_as_their_sums(spark):
+    """Not as a row for each detection."""
+    from boxwright.plans import queries
+
+    found = queries.detection_records(spark, "/root/testdata/sf0.001")
+    want = found.groupBy("file_name", "model_name").agg(F.count(F.lit(1)), F.max("confidence"), F.min("x1")).collect()
+    rows, size = kept_by(spark, lambda: queries.prediction_file(spark, "/root/testdata/sf0.001"))
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, want)) and size < 20 * found.count()
+
+
+def test_ranked_detections_are_kept_compressed(spark):
+    """Once, those that take a box, with their counts; before, rows of all detections twice, and of 20 numbers for each that takes a box."""
+    from boxwright.plans import queries
+
+    n = queries.confidence_filter(spark, "/root/testdata/sf0.001").count()
+    rows, size = kept_by(spark, lambda: queries.coco_ap(spark, "/root/testdata/sf0.001"))
+    assert len(rows) == 18 and size < 60 * n
