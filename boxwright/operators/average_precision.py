@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 from boxwright.functions.geometry import area, fields
 from boxwright.operators.evaluation import MICRO
 from boxwright.operators.matching import edges, image_rows
-from boxwright.sources.scratch import cut
+from boxwright.sources.scratch import drop_stored, stored
 
 THRESHOLDS = tuple(round(0.5 + 0.05 * k, 2) for k in range(10))
 MOST_DETECTIONS = 100
@@ -92,7 +92,9 @@ def average_precision(
     order = [F.desc("confidence"), F.asc(key), F.asc("place")]
     flags = _flags(image_rows(truth, predictions, models, key, ["iscrowd"]), key).join(split, key)
     # kept before they are dealt out too, as the ranges' sample is a pass of its own
-    flags = cut(cut(flags).repartitionByRange(*by, *order).withColumn("range", F.spark_partition_id()))
+    found = stored(flags)
+    flags = stored(found.repartitionByRange(*by, *order).withColumn("range", F.spark_partition_id()))
+    drop_stored(found)
     bit = lambda column, k: F.shiftright(column, k).bitwiseAND(F.lit(1))
     # counts of detections that are right, and of those that count, by threshold; without crowds the latter are the same for all
     ranks = {k: f"n{k if crowds else 0}" for k in _K}
@@ -105,8 +107,10 @@ def average_precision(
     hits = flags.withColumns({c: F.sum(v).over(inside) for c, v in counts.items()}).where("hits <> 0")
     # precision only matters where a box is taken: elsewhere recall stays and precision falls
     hits = hits.join(sums, [*by, "range"]).withColumns({c: F.col(c) + F.col(f"before_{c}") for c in counts})
+    # what is right and what counts, from which the precision follows
+    hits = stored(hits.select(*by, "range", "confidence", key, "place", "hits", *counts))
+    drop_stored(flags)
     hits = hits.withColumns({f"p{k}": F.when(bit("hits", k) == 1, F.col(f"tp{k}") / F.col(ranks[k])) for k in _K})
-    hits = cut(hits.select(*by, "range", "confidence", key, "place", "hits", *[f"{c}{k}" for c in ("tp", "p") for k in _K]))
     after = Window.partitionBy(*by).orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
     best = hits.groupBy(*by, "range").agg(*[F.max(f"p{k}").alias(f"m{k}") for k in _K])
     best = best.select(*by, "range", *[F.max(f"m{k}").over(after).alias(f"after{k}") for k in _K])
